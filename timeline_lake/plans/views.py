@@ -272,3 +272,87 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         ((F.floor(F.col("value") / 4.0) + 1) * 15.0).alias("duration_seconds"),
     )
+
+
+def specs(spark: SparkSession, folder: str) -> DataFrame:
+    """Render specs as JSON documents, one per order: key, default_project, spec_json.
+
+    Even keys are written in snake_case, odd ones in camelCase; every kind of mistake occurs in some documents.
+    """
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+
+    def text(*parts) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def member(name: str, value: Column, when: Column | None = None, quoted: bool = False) -> Column:
+        shown = text('"', value, '"') if quoted else value.cast("string")
+        piece = text(f'"{name}":', shown)
+        return piece if when is None else F.when(when, piece)
+
+    def document(*members: Column) -> Column:
+        return text("{", F.concat_ws(",", *members), "}")
+
+    def listed(count: Column, of) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)).cast("int") - 1), lambda i: i < count)
+        return text("[", F.array_join(F.transform(numbers, of), ","), "]")
+
+    def source(i: Column) -> Column:
+        return document(
+            member("id", text("s", F.when((F.pmod(k, F.lit(19)) == 0) & (i > 0), F.lit(0)).otherwise(i)), quoted=True),
+            member("path", text("/media/", F.pmod(c + i, F.lit(1000)), ".mp4"), quoted=True),
+            member("transcript_id", text("p", F.pmod(k, F.lit(5)), "/c", F.pmod(k + i, F.lit(140))), (F.pmod(k, F.lit(2)) == 0) & (i < 2), quoted=True),
+        )
+
+    def segment(i: Column) -> Column:
+        start = i * 2.0 - F.when(F.pmod(k, F.lit(23)) == 0, F.lit(3.0)).otherwise(F.lit(0.0))
+        return document(
+            member("source_id", text("s", F.pmod(i, F.pmod(k, F.lit(3)) + 1 + F.when(F.pmod(k, F.lit(11)) == 0, 1).otherwise(0))), quoted=True),
+            member("start", start),
+            member("end", start + F.pmod(k + i, F.lit(5)) * 0.5),
+            member("speed", F.when(F.pmod(k, F.lit(4)) == 1, F.lit(2.0)).otherwise(F.lit(0.125)), F.pmod(k + i, F.lit(4)) == 1),
+            member("transition", text('{"type":"crossfade","duration":', F.pmod(k, F.lit(8)) * 0.25, "}"), F.pmod(i, F.lit(2)) == 1),
+            member("volume", F.lit(0.5), F.pmod(i, F.lit(3)) == 2),
+            member("audio_from_prev", F.lit(True), F.pmod(k, F.lit(31)) == 5),
+            member("keyframes", F.lit('[{"time":0,"scale":1.5,"pan_x":0.25},{"time":1.0,"pan_y":-0.5}]'), F.pmod(k + i, F.lit(6)) == 0),
+        )
+
+    def overlay(i: Column) -> Column:
+        kind = F.pmod(k + i, F.lit(5))
+        return document(
+            member("source_id", text("s", F.pmod(k, F.lit(4))), kind == 0, quoted=True),
+            member("background_color", F.when(F.pmod(k, F.lit(3)) == 0, F.lit("#12345")).otherwise(F.lit("#1a1a2eff")), kind == 1, quoted=True),
+            member("text", F.when(F.pmod(k, F.lit(2)) == 0, text('{"title":"T', c, '"}')).otherwise(F.lit('{"title":""}')), kind == 2),
+            member("image_path", text("/img/", F.pmod(c, F.lit(50)), ".png"), kind == 3, quoted=True),
+            member("start", i * 0.5), member("end", i * 0.5 + F.pmod(c, F.lit(6)) * 0.5),
+            member("x", F.pmod(k, F.lit(6)) * 0.25), member("y", F.lit(0.0)), member("width", F.lit(0.5)),
+            member("height", F.pmod(c, F.lit(4)) * 0.5),
+            member("speed", F.when(F.pmod(k, F.lit(3)) == 0, F.lit(8.0)).otherwise(F.lit(2.0)), F.pmod(c, F.lit(3)) == 0),
+            member("keyframes", F.lit('[{"time":0,"scale":2.0},{"time":0.5,"opacity":0.5,"rotation":90}]'), F.pmod(k, F.lit(10)) == 0),
+        )
+
+    caption = document(
+        member("preset", F.when(F.pmod(k, F.lit(9)) == 0, F.lit("nope")).otherwise(F.lit("minimal")), F.pmod(k, F.lit(6)) != 3, quoted=True),
+        member("transcript_id", text("c", F.pmod(k, F.lit(140))), F.pmod(k, F.lit(5)) == 1, quoted=True),
+        member("font_size", F.lit(6.5), F.pmod(k, F.lit(4)) == 0),
+        member("all_caps", F.lit(True)),
+    )
+    body = document(
+        member("sources", listed(F.pmod(k, F.lit(3)) + 1, source)),
+        member("segments", listed(F.pmod(k, F.lit(4)), segment), F.pmod(k, F.lit(37)) != 1),
+        member("overlays", listed(F.pmod(c, F.lit(3)), overlay), F.pmod(c, F.lit(3)) > 0),
+        member("captions", caption, F.pmod(k, F.lit(3)) == 0),
+        member("audio", text('{"music_path":"/music/', F.pmod(c, F.lit(30)), '.mp3","music_volume":0.25}'), F.pmod(k, F.lit(4)) == 1),
+        member("quality", F.lit('{"codec":"hevc"}'), F.pmod(k, F.lit(7)) == 2),
+        member("aspect_ratio", F.lit("9:16"), F.pmod(k, F.lit(5)) == 2, quoted=True),
+        member("resolution", F.when(F.pmod(k, F.lit(3)) == 1, F.lit('{"width":640,"height":360}')).otherwise(F.lit('"720p"')), F.pmod(k, F.lit(5)) > 2),
+        member("fps", F.lit(30), F.pmod(k, F.lit(2)) == 0),
+        member("output_path", text("/out/", F.pmod(c, F.lit(20)), "/r", k, ".mp4"), F.pmod(k, F.lit(29)) != 3, quoted=True),
+    )
+    camel = body
+    for name in ("source_id", "transcript_id", "audio_from_prev", "pan_x", "pan_y", "background_color", "image_path", "font_size", "all_caps", "music_path", "music_volume", "aspect_ratio", "output_path"):
+        head, *tail = name.split("_")
+        camel = F.replace(camel, F.lit(f'"{name}":'), F.lit(f'"{head}{"".join(t.title() for t in tail)}":'))
+    return table(spark, folder, "orders").select(
+        k.alias("spec_id"), text("p", F.pmod(c, F.lit(5))).alias("default_project"),
+        F.when(F.pmod(k, F.lit(2)) == 0, body).otherwise(camel).alias("spec_json"),
+    )
