@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_GROUPS = ["transcripts", "timeline", "warehouse", "search", "streams"]
+_GROUPS = ["transcripts", "timeline", "warehouse", "ingest", "specs", "search", "streams"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

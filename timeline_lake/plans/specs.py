@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeline_lake.functions.text import split_compound_id
+from timeline_lake.session import cut_lineage
 
 # The document's fields. Keys may be written in snake_case or camelCase.
 SPEC_DDL = (
@@ -76,10 +77,16 @@ def _nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row. A plain projection would be merged into its consumers, and the
+    document parsed again for every field they take; a one-element explode is a border the optimizer keeps."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_specs(documents: DataFrame, text: str = "spec_json") -> DataFrame:
     """Add ``spec`` (typed) and ``problem``, the first required field that is missing or has the wrong type."""
-    raw = documents.withColumn("_raw", F.from_json(text, _both_spellings(spec_schema())))
-    parsed = raw.withColumn("spec", _settle(F.col("_raw"), spec_schema())).drop("_raw")
+    raw = _once(documents, "_raw", F.from_json(text, _both_spellings(spec_schema())))
+    parsed = _once(raw, "spec", _settle(F.col("_raw"), spec_schema())).drop("_raw")
 
     def lacks(array: str, *fields: str) -> Column:
         def missing(e: Column) -> Column:
@@ -235,6 +242,7 @@ def validate_specs(specs: DataFrame, keys: list[str], media: DataFrame, transcri
     ``folders``: folder (writable output folders). ``specs`` also carries default_project for bare transcript ids.
     """
     spec = F.col("spec")
+    specs = cut_lineage(specs.select(*keys, "default_project", "spec"))  # asked nine ways below, parsed once
     inside = specs.select(*keys, F.explode(F.concat(_document_issues(spec), _segment_issues(spec), _overlay_issues(spec))).alias("issue"))
 
     sources = explode_part(specs, "sources", keys)
@@ -307,9 +315,8 @@ def merge_specs(base: DataFrame, overrides: DataFrame, keys: list[str]) -> DataF
 def resolve_presets(specs: DataFrame, presets: DataFrame, keys: list[str]) -> DataFrame:
     """Caption settings with the named preset's values under the explicit ones; ``problem`` for an unknown preset."""
     kind = spec_schema()["captions"].dataType
-    styles = presets.select(
-        F.col("name").alias("_preset"), _settle(F.from_json("config_json", _both_spellings(kind)), kind).alias("_style")
-    )
+    read = _once(presets, "_raw", F.from_json("config_json", _both_spellings(kind)))
+    styles = read.select(F.col("name").alias("_preset"), _settle(F.col("_raw"), kind).alias("_style"))
     asked = specs.withColumn("_preset", F.col("spec.captions.preset"))
     joined = asked.join(styles, "_preset", "left")
     own = F.col("spec.captions")
