@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeline_lake.catalog.sql import DURATIONS, UTTERANCES, WORDS, with_
+from timeline_lake.catalog.sql import DOC_WORDS, DURATIONS, UTTERANCES, WORDS, with_
+from timeline_lake.plans import retakes as R
 from timeline_lake.plans import transcripts as T
 from timeline_lake.plans import views as V
 
@@ -96,7 +97,18 @@ def transcript_text(spark: SparkSession, folder: str) -> DataFrame:
     return T.transcript_text(V.words(spark, folder), words_per_part=100)
 
 
+def near_duplicate_next(spark: SparkSession, folder: str) -> DataFrame:
+    return R.nearest_alike(V.doc_words(spark, folder)).select(*KEYS, "i", "j", F.floor(F.col("similarity") * 100).cast("long").alias("percent"))
+
+
+def retake_flags(spark: SparkSession, folder: str) -> DataFrame:
+    flags = R.retake_flags(V.doc_words(spark, folder))
+    return flags.select(*KEYS, "i", "j", "text", "start", "end", "reason", F.col("duplicate_of.text").alias("of_text"))
+
+
 QUERIES = {
+    "near_duplicate_next": near_duplicate_next,
+    "retake_flags": retake_flags,
     "utterances": utterances,
     "gaps": gaps,
     "compact_json": compact_json,
@@ -131,7 +143,24 @@ flagged AS (SELECT project_slug, source_slug, word_index, word, round(start_time
 
 _NORMALIZED = r"regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
 
+_ALIKE = """
+tok AS (SELECT project_slug AS p, source_slug AS s, first_index AS i, n_words AS n, list_distinct(list_transform(string_split(text, ' '), lambda x: lower(x))) AS t FROM utt WHERE n_words >= 3),
+pre AS (SELECT p, s, i, n, t, unnest(list_sort(list_transform(t, lambda x: {'l': -length(x), 'w': x}))[:len(t) - ((7 * len(t) + 9) // 10) + 1]).w AS w FROM tok),
+pairs AS (SELECT DISTINCT a.p, a.s, a.i, b.i AS j, a.n AS na, b.n AS nb, a.t AS ta, b.t AS tb FROM pre a JOIN pre b ON a.p = b.p AND a.s = b.s AND a.w = b.w AND b.i > a.i),
+alike AS (SELECT p, s, i, j, len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(ta || tb)) AS sim FROM pairs WHERE least(na, nb)::DOUBLE / greatest(na, nb) >= 0.5 AND len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(ta || tb)) >= 0.7)"""
+
 ORACLES = {
+    "near_duplicate_next": with_(DOC_WORDS, UTTERANCES, _ALIKE)
+    + " SELECT p AS project_slug, s AS source_slug, i, MIN(j) AS j, floor(arg_min(sim, j) * 100)::BIGINT AS percent FROM alike GROUP BY p, s, i",
+    "retake_flags": with_(DOC_WORDS, UTTERANCES, _ALIKE)
+    + """, cand AS (SELECT p, s, i, list(j ORDER BY j) AS js, row_number() OVER (PARTITION BY p, s ORDER BY i) AS rn FROM alike GROUP BY p, s, i),
+greedy AS (SELECT p, s, i, rn, js[1] AS j, [js[1]] AS taken FROM cand WHERE rn = 1
+  UNION ALL SELECT c.p, c.s, c.i, c.rn, list_filter(c.js, lambda x: NOT list_contains(g.taken, x))[1], list_append(g.taken, list_filter(c.js, lambda x: NOT list_contains(g.taken, x))[1])
+  FROM greedy g JOIN cand c ON c.p = g.p AND c.s = g.s AND c.rn = g.rn + 1)
+SELECT g.p AS project_slug, g.s AS source_slug, g.i, g.j, b.text, round(b.s * 10) / 10 AS start, round(b.e * 10) / 10 AS "end",
+  'near-duplicate of earlier utterance (' || floor(sim * 100)::BIGINT || '% match) — possible retake' AS reason, a.text AS of_text
+FROM greedy g JOIN alike k ON k.p = g.p AND k.s = g.s AND k.i = g.i AND k.j = g.j JOIN utt b ON b.project_slug = g.p AND b.source_slug = g.s AND b.first_index = g.j
+JOIN utt a ON a.project_slug = g.p AND a.source_slug = g.s AND a.first_index = g.i""",
     "utterances": with_(WORDS, UTTERANCES)
     + """ SELECT project_slug, source_slug, first_index AS word_index, round(s * 10) / 10 AS start, round(e * 10) / 10 AS "end", text FROM utt""",
     "gaps": with_(WORDS, UTTERANCES)

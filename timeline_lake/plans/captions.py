@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeline_lake.functions._columns import ColumnOrName, col
 from timeline_lake.operators.blocks import BLOCK, BLOCK_ROWS, block_of, block_window, core_rows, halo, last_known, next_known, row_numbers
 from timeline_lake.operators.joins import overlapping_intervals
+from timeline_lake.session import cut_lineage
 
 BREAK_SECONDS = 1.0  # fixed value: a longer pause starts a new caption
 
@@ -20,7 +21,7 @@ def caption_groups(words: DataFrame, keys: list[str], totals: DataFrame, size: i
     """
     start, end = F.col("start_time"), F.col("end_time")
     valid = words.join(totals, keys).filter((start >= 0) & (end > start) & (start < F.col("total")))
-    placed = row_numbers(valid, keys, ["word_index"], block_of("word_index", rows), "position")
+    placed = cut_lineage(row_numbers(valid, keys, ["word_index"], block_of("word_index", rows), "position"))
     near = halo(placed, "position", before=1, rows=rows)
     pause = start - F.lag("end_time").over(block_window(keys, "position"))
     broken = core_rows(near.withColumn("_pause", pause)).drop(BLOCK)

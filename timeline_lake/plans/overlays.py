@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from timeline_lake.functions.numbers import clamp, even_floor, lerp
 from timeline_lake.operators.joins import bracket, overlapping_intervals, points_in_intervals
+from timeline_lake.session import cut_lineage
 from timeline_lake.operators.blocks import last_known, next_known
 
 SPEC = ["spec_id"]
@@ -67,13 +68,14 @@ def split_at_overlays(ranges: DataFrame, windows: DataFrame, ids: list[str]) ->
         )
     )
     cuts = windows.select(*SPEC, F.explode(instants).alias("cut")).distinct()
-    inner = points_in_intervals(cuts, ranges, SPEC, "cut", "start", "end").filter(F.col("cut") > F.col("start"))
     keys = [*SPEC, *ids]
+    ranges = cut_lineage(ranges)
+    inner = points_in_intervals(cuts, ranges, SPEC, "cut", "start", "end").filter(F.col("cut") > F.col("start"))
     points = ranges.filter(F.col("end") > F.col("start")).select(*keys, F.col("start").alias("piece_start"), "end").unionByName(
         inner.select(*keys, F.col("cut").alias("piece_start"), "end")
     )
     block = F.floor(F.col("piece_start") / SPLIT_BLOCK_SECONDS).cast("long")
-    followed = next_known(points, keys, "piece_start", {"_next": F.col("piece_start")}, block)
+    followed = next_known(cut_lineage(points), keys, "piece_start", {"_next": F.col("piece_start")}, block)
     return followed.select(*keys, "piece_start", F.coalesce("_next", "end").alias("piece_end"))
 
 
@@ -122,6 +124,7 @@ def fill_keyframes(keyframes: DataFrame) -> DataFrame:
 def sample_keyframes(points: DataFrame, filled: DataFrame) -> DataFrame:
     """Channel values at arbitrary instants (track_id, time, …): linear between neighbours, held outside."""
     channels = list(CHANNEL_DEFAULTS)
+    filled = cut_lineage(filled)
     known = points.join(filled.select("track_id").distinct(), "track_id", "left_semi")
     near = bracket(known, filled, ["track_id"], "time", channels, _track_block("time"))
     a, b = F.col("before"), F.col("after")

@@ -185,7 +185,7 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     timed = running_sums(joined, SPEC, "seg_index", {"_t": step, "speaker_index": speaker}, block)
     own_track = F.when(~F.col("cross_cut") & ~F.col("bridged"), F.pmod("speaker_index", F.lit(2)))
     tracked = last_known(timed, SPEC, "seg_index", {"_track": own_track}, block)
-    return tracked.select(
+    layout = tracked.select(
         *SPEC,
         "seg_index",
         "source_id",
@@ -200,6 +200,7 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         F.coalesce("volume", F.lit(1.0)).alias("volume"),
         F.coalesce("_fade", F.lit(0.0)).alias("fade_in"),
     )
+    return cut_lineage(layout)  # the plans below read it several times
 
 
 def _walk_stretch(segments: Column) -> Column:

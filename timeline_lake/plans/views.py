@@ -16,7 +16,10 @@ TURNS_PER_BLOCK = 1 << 14
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. One that lies in fewer splits than there are cores is spread; a large one is read as it lies."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _tokens(text: Column) -> Column:

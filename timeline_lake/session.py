@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +39,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that lost executors do not replay it."""
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    What follows reads that table (only the columns it needs) instead of working everything out again, and lost
+    executors do not replay what came before.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
