@@ -320,7 +320,7 @@ captions AS (SELECT spec_id, 0 AS part, seg_index AS element, word_index, word,
 _BUILD = """
 ticks AS (SELECT *, round(("end" - start) * 600)::BIGINT AS l0 FROM rated),
 ticked AS (SELECT *, CASE WHEN rate = 1.0 THEN l0 ELSE round(l0 / 600.0::DOUBLE / rate * 600)::BIGINT END AS l FROM ticks),
-steps AS (SELECT *, CASE WHEN seg_index > 0 THEN COALESCE(round(least(fade, l / 600.0::DOUBLE) * 600)::BIGINT, 0) ELSE 0 END AS p FROM ticked),
+steps AS (SELECT *, CASE WHEN seg_index > 0 AND fade IS NOT NULL THEN round(least(fade, l / 600.0::DOUBLE) * 600)::BIGINT ELSE 0 END AS p FROM ticked),
 walk AS (SELECT spec_id, seg_index, cc, l, p, 0::BIGINT AS t, false AS bridged, 0::BIGINT AS spk, 0::BIGINT AS track,
     l::BIGINT AS t_next, 1::BIGINT AS spk_next, []::STRUCT(a BIGINT, b BIGINT)[] AS shown FROM steps WHERE seg_index = 0
   UNION ALL SELECT s.spec_id, s.seg_index, s.cc, s.l, s.p, w.t_next - CASE WHEN s.cc OR x.br THEN 0 ELSE s.p END, x.br, w.spk_next,

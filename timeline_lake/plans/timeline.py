@@ -162,9 +162,8 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         _crossfade().alias("_fade"),
     )
     fade = _ticks(F.least("_fade", _seconds(F.col("_len"))))
-    laid = cut_lineage(
-        laid.withColumn("_pull", F.when(F.col("seg_index") > 0, F.coalesce(fade, F.lit(0))).otherwise(F.lit(0)))
-    )
+    fades = (F.col("seg_index") > 0) & F.col("_fade").isNotNull()  # least() would pass over a missing fade
+    laid = cut_lineage(laid.withColumn("_pull", F.when(fades, fade).otherwise(F.lit(0))))
     least_step = F.when(F.col("cross_cut"), F.lit(0)).otherwise(F.col("_len") - F.col("_pull"))
     pressed = running_sums(laid, SPEC, "seg_index", {"_p": least_step}, block)
     reach = F.when(F.col("cross_cut"), F.col("_p") + F.col("_len") - F.col("_pull"))
