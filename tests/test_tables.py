@@ -149,7 +149,7 @@ def test_quota_walk_and_halving_agree(spark):
         rows += [(f"u{user}", "free", i, T0 + datetime.timedelta(minutes=7 * i), m * 60) for i, m in enumerate(minutes)]
     rows.append(("payer", "pro", 0, T0, 1e6))
     frame = spark.createDataFrame(rows, "uid string, tier string, request_id bigint, ts timestamp, duration_seconds double")
-    for limit in (20_000, 30):
+    for limit in (5_000, 30):
         got = {}
         for r in Y.quota_decisions(frame, fold_limit=limit).orderBy("uid", "request_id").collect():
             got.setdefault(r.uid, []).append(r.accepted)

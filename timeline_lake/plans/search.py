@@ -63,14 +63,13 @@ def search(index: DataFrame, lengths: DataFrame, terms: list[str], project: str
     wanted = _normal(terms, stemmed)
     hits = index.filter(F.col("term").isin(wanted))
     rarity = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = lengths.groupBy().agg(F.count(F.lit(1)).alias("_docs"), F.avg("length").alias("_mean"))
+    docs = lengths.select(F.count(F.lit(1)).alias("n")).scalar()
+    mean = lengths.select(F.avg("length").alias("n")).scalar()
+    counted = rarity.withColumn("_docs", docs).withColumn("_mean", mean)
     idf = F.log((F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = F.lit(1)
-    # Both broadcast sides are bounded: one row of totals, and one row per query term.
-    weighted = rarity.withColumn("_one", one).join(F.broadcast(totals.withColumn("_one", one)), "_one").select(
-        "term", "_mean", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf")
-    )
+    weighted = counted.select("term", "_mean", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
     mine = hits if project is None else hits.filter(F.col("project_slug") == project)
+    # One row per query term, so the broadcast side is bounded.
     scored = mine.join(F.broadcast(weighted), "term").join(lengths, KEYS)
     tf = F.col("tf")
     part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("length") / F.col("_mean")))

@@ -15,7 +15,7 @@ PAYLOAD = (
     "segment_count bigint, captions_applied boolean"
 )
 DURATION_BINS = 4.0  # blocks per second of frame time when ranking frames
-FOLD_LIMIT = 20_000  # requests of one user that are walked as one array
+FOLD_LIMIT = 5_000  # requests of one user that are walked as one array
 
 
 def phase_profile(records: DataFrame) -> DataFrame:
