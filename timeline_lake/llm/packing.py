@@ -25,7 +25,7 @@ from timeline_lake.session import cut_lineage
 
 CAPACITY = 1024
 END_ID = 2
-ROWS_PER_BLOCK = 1 << 16
+ROWS_PER_BLOCK = 1 << 10
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -147,9 +147,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rows_per_block: int = ROWS_
         nth = rank.to_numpy() - first[at]
         return pd.DataFrame({"sequence_id": sequence[at] + nth // times[at], "offset": offset[at] + nth % times[at] * length.to_numpy()})
 
-    # Ranks among equal lengths: a block holds about `rows_per_block` pieces, whatever their lengths are.
-    blocks = max(1, sum(counts.values()) // rows_per_block)
-    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))
+    # Ranks among equal lengths: a frequent length is cut into blocks of about `rows_per_block` pieces.
+    blocks = F.array(*[F.lit(1 + counts.get(n, 0) // rows_per_block) for n in range(1, capacity + 1)])
+    block = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(blocks, F.col("length").cast("int")))
     ranked = row_numbers(found, ["length"], ["doc_id", "piece"], block, "_rank")
     placed = ranked.withColumn("_place", place("length", "_rank"))
     return placed.select(*found.columns, "_place.sequence_id", "_place.offset")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from timeline_lake.llm import bpe, exact_dedup, packing, token_files
+from timeline_lake.llm import bpe, exact_dedup, packing, quality_rank, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_quality_ranking": quality_rank.op3_quality_ranking,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_bpe_prefix": bpe.op5_bpe_prefix,
+    "op6_toxicity_neighbours": toxicity.op6_toxicity_neighbours,
     "op7_token_files": token_files.op7_token_files,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
