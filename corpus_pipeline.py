@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeline_lake.llm import exact_dedup, packing
+from timeline_lake.llm import exact_dedup, near_dedup, packing, quality_rank, quality_rules
 from timeline_lake.llm.shared import given
 from timeline_lake.llm.tokens import BYTE_BPE_JSON, vocabulary
 from timeline_lake.session import cut_lineage
 
 
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and resemble trusted text."""
+    return quality_rules.keep_good(docs)
+
+
+def ranking_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the preference ranking, learned on those of ``docs`` that have labels, accepts."""
+    return quality_rank.keep_accepted(docs, quality_rank.fitted(spark, docs, sf_dir))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts, the one with the largest doc_id stays."""
+    """Of documents with equal texts, the one with the largest doc_id."""
     return exact_dedup.without_duplicates(docs, keep="largest")
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity, the one with the smallest doc_id."""
+    return near_dedup.without_near_duplicates(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their sequences and offsets."""
     return packing.pack(cut_lineage(packing.pieces(docs, vocabulary(BYTE_BPE_JSON))))
 
 
-STAGES = [("exact_dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", ranking_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("packing", packing_stage),
+]
 
-#: Learned models and packing have no counterpart in SQL; tests compare the stages with plain versions.
+#: Learned models, hashed counts and packing have no counterpart in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 

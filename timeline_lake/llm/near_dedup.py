@@ -266,5 +266,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one document of each component, and all without a doc_id."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(given(spark, folder, "documents"))

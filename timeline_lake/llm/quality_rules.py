@@ -86,11 +86,20 @@ def log_ratios(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOO
     return np.log((good + smoothing) / (expected + smoothing)).astype(np.float32)
 
 
+def _verdict(text: str, data: bytes, table: np.ndarray, bits: int) -> tuple[tuple, float]:
+    """(base figures, mean log ratio); the ratio of a text that fails the base rules is minus infinity."""
+    figures = base_figures(text, data)
+    if base_failed(figures[0], figures[4]):
+        return figures, -np.inf
+    total = sum(float(table[part].sum(dtype=np.float64)) for part in buckets(data, bits))
+    return figures, total / max(1, len(data) - NGRAM_BYTES + 1)
+
+
 def judge(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base figures, base_failed, log_ratio, kept.
 
-    A null text counts as empty; a text shorter than an n-gram has the ratio 0. Without a trusted text every ratio is 0.
-    Equal rows are judged alike; a null doc_id makes no difference.
+    A null text counts as empty. A text that fails the base rules, as every one of under 50 words does, has a null ratio and
+    is not kept. Without a trusted text every ratio is 0. Equal rows are judged alike; a null doc_id makes no difference.
     """
     table = log_ratios(docs, bits)
 
@@ -98,11 +107,9 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS
         for batch in batches:
             out = []
             for doc_id, text, data in _texts([batch]):
-                figures = base_figures(text, data)
-                failed = base_failed(figures[0], figures[4])
-                total = sum(float(table[part].sum(dtype=np.float64)) for part in buckets(data, bits))
-                ratio = total / max(1, len(data) - NGRAM_BYTES + 1)
-                out.append((doc_id, *figures, failed, ratio, not failed and ratio >= threshold))
+                figures, ratio = _verdict(text, data, table, bits)
+                failed = ratio == -np.inf
+                out.append((doc_id, *figures, failed, None if failed else ratio, ratio >= threshold))
             columns = list(zip(*out)) or [[]] * 9
             kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _COLUMNS)
@@ -111,6 +118,22 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS
     return asked.mapInArrow(rows, ", ".join(f"{c} {k}" for c, k in zip(_COLUMNS, ["long"] * 6 + ["boolean", "double", "boolean"])))
 
 
+def keep_good(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are; counts come from these ``docs``. Nothing is shuffled."""
+    table = log_ratios(docs, bits)
+    at = docs.columns.index("text")
+
+    def rows(batches):
+        for batch in batches:
+            good = []
+            for text in batch.column(at):
+                whole = text.as_py() or ""
+                good.append(_verdict(whole, whole.encode("utf-8"), table, bits)[1] >= threshold)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 _COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
 
 

@@ -200,7 +200,8 @@ def fit_vocabulary(docs: DataFrame, sample: DataFrame, terms: int = TERMS, least
     if not totals["n"] or totals["pos"] in (0, totals["n"]):
         return {}
     share = totals["pos"] / totals["n"]
-    texts = docs.join(F.broadcast(sample), "doc_id").select(F.col("text").cast("string"), F.col("label").cast("int"))
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = asked.join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("int"))
     counts = texts.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = F.col("pos") + F.col("neg")
     ratio = F.col("pos") * F.log(F.col("pos") / (n * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - share)))).otherwise(0.0)
