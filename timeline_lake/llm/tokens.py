@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 BYTE_BPE_JSON = "byte_bpe_50k.json"
 SEGMENT_CHARS = 1 << 20
-CACHE_WORDS = 700_000
-JOINED_WORDS = 500
+CACHE_WORDS = 400_000
+MARKS = ".,;:!?|\n"
 
 _BOUNDARY = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -43,13 +44,15 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
 class WordCache:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    ``words`` encodes a list of cuts that begin with a space each, ``whole`` any text. At most ``limit`` cuts are kept; a
-    full cache is emptied, which costs time and changes nothing.
+    ``word`` encodes one run of letters, with or without a space before it; ``whole`` any text. The cuts met last are kept
+    in two generations of about ``limit`` each: a full one becomes the older, and what is met again moves to the newer.
     """
 
-    def __init__(self, words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], limit: int = CACHE_WORDS):
-        self.words, self.whole, self.limit = words, whole, limit
-        self.spaced: dict[str, bytes] = {}
+    def __init__(self, word: Callable[[str], bytes], whole: Callable[[str], bytes], limit: int = CACHE_WORDS):
+        self.word, self.whole, self.limit = word, whole, limit
+        self.marks = {m: whole(m) for m in MARKS}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return b"".join(self._segment(part) for part in segments(text) if part)
@@ -59,14 +62,47 @@ class WordCache:
             return self.whole(text)
         first, *rest = text.split(" ")
         head = self.whole(first) if first else b""
-        known = self.spaced
-        new = [w for w in set(rest) if w not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(rest))
-            known.update(zip(new, self.words([" " + w for w in new])))
-        return head + b"".join(map(known.__getitem__, rest))
+        met = set(rest)
+        unknown = met.difference(self.new)
+        if unknown:
+            if len(self.new) + len(unknown) > self.limit:
+                self.old, self.new = self.new, {}
+                unknown = met
+            new, old = self.new, self.old
+            for cut in unknown:
+                new[cut] = old[cut] if cut in old else self._cut(cut)
+        return head + b"".join(map(self.new.__getitem__, rest))
+
+    def _cut(self, cut: str) -> bytes:
+        """A cut without its space: a word, perhaps with a mark after it, perhaps with one more such word in the next line."""
+        if letters(cut):
+            return self.word(" " + cut)
+        if cut[-1] in self.marks and letters(base := cut[:-1]):
+            return self._known(base) + self.marks[cut[-1]]
+        before, line, after = cut.partition("\n")
+        mark = self.marks.get(after[-1:], b"")
+        if line and before and letters(after[:-1] if mark else after) and (letters(before) or before[-1] in self.marks and letters(before[:-1])):
+            left = self._known(before) if letters(before) else self._known(before[:-1]) + self.marks[before[-1]]
+            return left + self.marks["\n"] + self.word(after[:-1] if mark else after) + mark
+        return self.whole(" " + cut)
+
+    def _known(self, word: str) -> bytes:
+        ids = self.new.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.new[word] = self.word(" " + word)
+        return ids
+
+
+def letters(text: str) -> bool:
+    """Whether a text is one run of letters of long-standing scripts, which every version of Unicode classes alike."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0500")
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell the 256 bytes: printable Latin-1 characters as they are, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 _ENCODERS: dict[str, WordCache] = {}
@@ -78,27 +114,18 @@ def tokenizer_cache(path: str) -> WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        # A cut begins with a space and holds no other, so among the ids of joined cuts each first id shows itself.
-        begins = np.zeros(model.get_vocab_size(), bool)
-        begins[[i for token, i in model.get_vocab().items() if token.startswith("Ġ")]] = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        # A run of letters is one match of the splitting pattern, so the library's model can be asked for it directly.
+        merge, spelled = tokenizer.model.tokenize, byte_letters()
+        space = spelled[0x20]
+
+        def word(text: str) -> bytes:
+            text = space + text[1:] if text.isascii() and text[0] == " " else text.encode("utf-8").decode("latin-1").translate(spelled)
+            return array("I", [token.id for token in merge(text)]).tobytes()
 
         def whole(text: str) -> bytes:
-            return np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        def words(cuts: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for at in range(0, len(cuts), JOINED_WORDS):
-                some = cuts[at : at + JOINED_WORDS]
-                ids = np.array(model.encode("".join(some), add_special_tokens=False).ids, "<u4")
-                first = np.flatnonzero(begins[ids]).tolist()
-                if len(first) != len(some):
-                    out += map(whole, some)
-                    continue
-                flat = ids.tobytes()
-                out += [flat[4 * a : 4 * b] for a, b in zip(first, [*first[1:], len(ids)])]
-            return out
-
-        _ENCODERS[path] = WordCache(words, whole)
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        _ENCODERS[path] = WordCache(word, whole)
     return _ENCODERS[path]
