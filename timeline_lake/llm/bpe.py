@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,10 +23,7 @@ from timeline_lake.llm.shared import given
 from timeline_lake.llm.tokens import WordCache, vocabulary
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-MEMO_PREFIXES = 400_000
-CACHE_WORDS = 500_000
-MEMO_PAIRS = 400_000
-MEMO_BYTES = 48
+MEMO_PAIRS = 500_000
 
 
 class PrefixBpe:
@@ -33,77 +32,75 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        # Every token with its length and what is known about the tokens that may stand before it.
+        self.suffixes = ahocorasick.Automaton()
+        self.before: list[dict[int, bool]] = [{} for _ in self.bytes_of]
+        self.n_pairs = 0
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        # The lengths of the tokens that end in given three bytes, longest first; those of one or two bytes always count.
-        ends: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], {1, 2}).add(len(token))
-        self.ends = {end: tuple(sorted(n, reverse=True)) for end, n in ends.items()}
+            self.suffixes.add_word(token.decode("latin-1"), (len(token), rank, self.before[rank]))
+        self.suffixes.make_automaton()
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[bytes, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first, of a string of at most two tokens' length."""
         parts = [data[i : i + 1] for i in range(len(data))]
+        none = len(self.bytes_of)
         while len(parts) > 1:
-            best = min((self.ranks.get(a + b, len(self.bytes_of)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == len(self.bytes_of):
+            rank, i = min((self.ranks.get(a + b, none), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == none:
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, before: int, token: int) -> bool:
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
-        return known
-
-    def last_token(self, data: bytes, end: int, last) -> int:
-        """The last token of the encoding of ``data[:end]``; ``last(i)`` is that of ``data[:i]``."""
-        ranks, pairs = self.ranks, self.pairs
-        for n in self.ends.get(data[max(0, end - 3) : end], (2, 1)):
-            if n > end:
+        if self.n_pairs >= MEMO_PAIRS:
+            for known in self.before:
+                known.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        valid = self.before[token][before] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        return valid
+
+    def extend(self, data: bytes, last: list[int], to: int | None = None) -> None:
+        """Add the last tokens of the prefixes of ``data`` that ``last`` does not hold yet, up to length ``to``."""
+        to = len(data) if to is None else to
+        have = len(last)
+        base = max(0, have - self.longest)
+        # Tokens that end at each byte, longest first. Every byte is a token, so none is passed over.
+        for at, (n, token, allowed) in self.suffixes.iter(data[base:to].decode("latin-1")):
+            end = base + at + 1
+            if end <= have:
                 continue
-            token = ranks.get(data[end - n : end])
-            if token is None:
-                continue
-            if n == end:
-                return token
-            pair = (last(end - n), token)
-            valid = pairs.get(pair)
-            if valid or valid is None and self.may_follow(*pair):
-                return token
-        raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
+            if end > have + 1:
+                break
+            if n < end:
+                before = last[end - n - 1]
+                valid = allowed.get(before)
+                if not (self.may_follow(before, token) if valid is None else valid):
+                    continue
+            last.append(token)
+            have = end
+        if have != to:
+            raise ValueError(f"no token may end at byte {have}")
+
+    def tokens(self, last: list[int]) -> list[int]:
+        out, end = [], len(last)
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= len(self.bytes_of[token])
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one piece (one match of the splitting pattern)."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(data) > MEMO_BYTES:
-            state = PrefixTokens(self)
-            state.append(data)
-            return state.tokens()
-        memo = self.memo
-        if len(memo) > MEMO_PREFIXES:
-            memo.clear()
-        last = lambda i: memo[data[:i]]
-        known = len(data)
-        while known and data[:known] not in memo:
-            known -= 1
-        for end in range(known + 1, len(data) + 1):
-            memo[data[:end]] = self.last_token(data, end, last)
-        out, end = [], len(data)
-        while end:
-            out.append(memo[data[:end]])
-            end -= len(self.bytes_of[out[-1]])
-        return out[::-1]
+        last: list[int] = []
+        self.extend(data, last)
+        return self.tokens(last)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -112,17 +109,13 @@ class PrefixBpe:
 class PrefixTokens:
     """One byte string with the last token of each of its prefixes. Appends and edits keep it exact."""
 
-    def __init__(self, model: PrefixBpe):
+    def __init__(self, model: PrefixBpe, data: bytes = b""):
         self.model, self.data, self.last = model, b"", []
+        self.append(data)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        self._extend(len(self.data))
-
-    def _extend(self, to: int) -> None:
-        last = self.last
-        for end in range(len(last) + 1, to + 1):
-            last.append(self.model.last_token(self.data, end, lambda i: last[i - 1]))
+        self.model.extend(self.data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in the place of ``data[start:end]``. Returns how many entries had to be worked out.
@@ -130,26 +123,22 @@ class PrefixTokens:
         An entry depends only on the bytes and entries of the longest token's length before it. Once that many entries
         behind the edit come out as they were, so do all that follow.
         """
-        old, tail = self.last[end:], self.data[end:]
-        self.data = self.data[:start] + new + tail
+        old = self.last[end:]
+        self.data = self.data[:start] + new + self.data[end:]
         del self.last[start:]
-        self._extend(start + len(new))
-        same = 0
-        for i, before in enumerate(old):
-            self._extend(len(self.last) + 1)
-            same = same + 1 if self.last[-1] == before else 0
-            # The token itself must lie in the tail too, or its bytes may differ.
-            if same >= self.model.longest and i + 1 >= self.model.longest:
-                self.last.extend(old[i + 1 :])
-                return start + len(new) + i + 1 - start
+        edited = start + len(new)
+        step = self.model.longest
+        self.model.extend(self.data, self.last, edited)
+        for at in range(0, len(old), step):
+            self.model.extend(self.data, self.last, min(edited + at + step, len(self.data)))
+            if at and self.last[edited + at :] == old[at : at + step]:
+                worked_out = len(self.last) - start
+                self.last += old[at + step :]
+                return worked_out
         return len(self.last) - start
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.model.bytes_of[out[-1]])
-        return out[::-1]
+        return self.model.tokens(self.last)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,12 +156,17 @@ class TextEncoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.model, self.split = PrefixBpe(read_ranks(ranks_path)), splitter(pattern)
-        self.cache = WordCache(lambda words: [*map(self._pieces, words)], self._pieces, CACHE_WORDS)
+        self.decimals = [str(i) for i in range(len(self.model.bytes_of))]
+        self.cache = WordCache(self._word, self._pieces)
+
+    def _word(self, text: str) -> bytes:
+        return array("I", self.model.encode(text.encode("utf-8"))).tobytes()
 
     def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
+        encode = self.model.encode
         for piece in self.split.findall(text):
-            ids += self.model.encode(piece.encode("utf-8"))
+            ids += encode(piece.encode("utf-8"))
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -237,8 +231,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py() or "")
                 plain = ids.tolist()
-                back = encoder.decode(ids)
-                out.append((len(plain), hashlib.sha256(" ".join(map(str, plain)).encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                back = encoder.model.decode(plain)
+                out.append((len(plain), hashlib.sha256(" ".join(map(encoder.decimals.__getitem__, plain)).encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, a, b = list(zip(*out)) or ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
