@@ -35,7 +35,79 @@ def test_unique_slugs(spark):
     asked = spark.createDataFrame([("p", "my-slug", 1), ("p", "my-slug", 2), ("p", "new", 3), ("p", "full", 4)], "project string, base string, n bigint")
     got = {r.n: r.slug for r in K.unique_slugs(asked, taken, ["project"], ["n"], F.lit(0)).collect()}
     assert (got[1], got[2], got[3]) == ("my-slug-4", "my-slug-5", "new")
-    assert got[4].startswith("full-") and len(got[4]) == 13
+    assert got[4].startswith("full-") and len(got[4]) == len("full-") + 8
+
+
+def test_unique_slugs_across_bases_and_null_scopes(spark):
+    none = spark.createDataFrame([], "project string, slug string")
+    asked = spark.createDataFrame([("p", "x", 1), ("p", "x", 2), ("p", "x-2", 3), (None, "x", 4), (None, "x", 5)], "project string, base string, n bigint")
+    got = {r.n: r.slug for r in K.unique_slugs(asked, none, ["project"], ["n"], F.lit(0)).collect()}
+    assert got == {1: "x", 2: "x-3", 3: "x-2", 4: "x", 5: "x-2"}
+
+
+def test_many_requests_for_one_base_stay_apart(spark):
+    many = spark.range(100_000).select(F.lit("p").alias("project"), F.lit("x").alias("base"), "id")
+    first = K.unique_slugs(many, spark.createDataFrame([], "project string, slug string"), ["project"], ["id"], F.floor(F.col("id") / 10_000)).cache()
+    assert first.select("slug").distinct().count() == 100_000
+    # Asked again, every hashed name is taken.
+    again = K.unique_slugs(many, first.select("project", "slug"), ["project"], ["id"], F.floor(F.col("id") / 10_000))
+    assert again.unionByName(first).select("slug").distinct().count() == 200_000
+
+
+def test_get_or_create_keeps_every_name(spark):
+    table = spark.createDataFrame([("x", "X", "active")], "slug string, name string, status string")
+    names = spark.createDataFrame([(n,) for n in ("X", "x!", "x 2", "", "b", "日本", None, "X")], "name string")
+    after, answers = K.get_or_create(table, names, {"status": F.lit("active")})
+    rows = after.collect()
+    assert len(rows) == 7 and len({r.slug for r in rows}) == 7
+    assert {r.name: (r.slug, r.created_now) for r in answers.collect()}["X"] == ("x", False)
+
+
+def test_batch_order_counts(spark):
+    schema = "slug string, name string, created timestamp"
+    table = spark.createDataFrame([("a", "old", T0)], schema)
+    later = [T0 + datetime.timedelta(days=d) for d in (1, 2)]
+    batch = spark.createDataFrame([("a", "second", later[1], 2), ("a", "zfirst", later[0], 1), ("b", "zfirst", later[0], 1), ("b", "second", later[1], 2)], schema + ", nth int")
+    assert {r.slug: (r.name, r.created) for r in K.upsert(table, batch, ["slug"], order="nth").collect()} == {"a": ("second", T0), "b": ("second", later[0])}
+    _, inserted = K.insert_or_ignore(table, batch, ["slug"], order="nth")
+    assert [(r.slug, r.name) for r in inserted.collect()] == [("b", "zfirst")]
+
+
+def test_block_operators_keep_null_keys(spark):
+    from timeline_lake.operators import blocks as B
+
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("k", 1, 1)], "k string, at int, v int")
+    for block in (F.lit(None).cast("long"), F.floor(F.col("at") / 2)):
+        got = {(r.k, r.at): r.s for r in B.running_sums(rows, ["k"], "at", {"s": F.col("v")}, block).collect()}
+        assert got == {(None, 1): 0, (None, 2): 5, ("k", 1): 0}
+        assert {(r.k, r.at): r.n for r in B.row_numbers(rows, ["k"], ["at"], block, "n").collect()} == {(None, 1): 0, (None, 2): 1, ("k", 1): 0}
+        assert {(r.k, r.at): r.l for r in B.last_known(rows, ["k"], "at", {"l": F.col("v")}, block, include_current=False).collect()} == {(None, 1): None, (None, 2): 5, ("k", 1): None}
+        assert {(r.k, r.at): r.l for r in B.next_known(rows, ["k"], "at", {"l": F.col("v")}, block).collect()} == {(None, 1): 7, (None, 2): None, ("k", 1): None}
+
+
+def test_interval_joins_of_very_different_lengths(spark):
+    from timeline_lake.operators import joins as J
+
+    rng = random.Random(5)
+    spans = [("a", i, s, s + rng.choice([0.5, 3.0, 40.0, 3000.0, 1e5, 1e9])) for i, s in enumerate(rng.uniform(-100, 5000) for _ in range(60))]
+    points = [("a", i, rng.uniform(-200, 9000)) for i in range(80)]
+    left = spark.createDataFrame(spans, "k string, i int, s double, e double")
+    right = left.select("k", F.col("i").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    dots = spark.createDataFrame(points, "k string, p int, t double")
+    inside = sorted((r.p, r.i) for r in J.points_in_intervals(dots, left, ["k"], "t", "s", "e").collect())
+    assert inside == sorted((p, i) for _, p, t in points for _, i, s, e in spans if s <= t < e)
+    pairs = sorted((r.i, r.j) for r in J.overlapping_intervals(left, right, ["k"], ("s", "e"), ("s2", "e2")).collect())
+    assert pairs == sorted((i, j) for _, i, s, e in spans for _, j, s2, e2 in spans if max(s, s2) < min(e, e2))
+    assert J.with_bins(left, "s", "e", 16.0).count() < 60 * 67
+
+
+def test_of_marks_at_one_instant_the_last_counts(spark):
+    from timeline_lake.operators import joins as J
+
+    marks = spark.createDataFrame([("a", 1, 2.0, "x"), ("a", 2, 2.0, "b")], "k string, id int, t double, v string")
+    dots = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0)], "k string, t double")
+    got = J.bracket(dots, marks, ["k"], "t", ["v"], F.lit(0), tie="id").orderBy("t").collect()
+    assert [(r.before and r.before.v, r.after and r.after.v) for r in got] == [(None, "b"), ("b", "b"), ("b", None)]
 
 
 def test_upsert_keeps_created(spark):
@@ -114,7 +186,7 @@ def test_spec_spellings_merge_and_kind(spark):
     text = '{"sources":[{"id":"a","path":"/x/a.mp4"}],"segments":[{"sourceId":"a","start":0,"end":2}],"captions":{"fontSize":5},"outputPath":"/o/r.mp4","overlays":[{"source_id":"a","text":{"title":"t"},"start":0,"end":1,"x":0,"y":0,"width":1,"height":1}]}'
     docs = spark.createDataFrame([(1, text), (2, '{"sources":[],"segments":[]}'), (3, "nonsense")], "id bigint, spec_json string")
     parsed = E.parse_specs(docs)
-    assert {r.id: r.problem for r in parsed.collect()} == {1: None, 2: "output_path", 3: "sources"}
+    assert {r.id: r.problem for r in parsed.collect()} == {1: None, 2: "output_path", 3: "not a JSON object"}
     good = E.good_specs(parsed)
     assert good.select(E.overlay_kind(F.col("spec.overlays")[0])).first()[0] == "video"
     empty = good.limit(0)
@@ -132,28 +204,33 @@ def test_frame_ranks(spark):
     assert (row.n, row.mean, row.p50, row.p95, row.wall) == (4, 2.5, 3.0, 4.0, 3.0)
 
 
-def walk_quota(requests, limit=90.0):
-    used, out = 0.0, []
-    for minutes in requests:
-        out.append(used + minutes <= limit)
-        used += minutes if out[-1] else 0.0
+def walk_quota(requests, limit=5_400_000):
+    used, out = 0, []
+    for seconds in requests:
+        good = seconds is not None and seconds == seconds and 0 < seconds < float("inf")
+        out.append(good and used + round(seconds * 1000) <= limit)
+        used += round(seconds * 1000) if out[-1] else 0
     return out
 
 
-def test_quota_walk_and_halving_agree(spark):
+def test_quota_is_the_walk_for_every_user(spark):
     rng = random.Random(2)
     rows, expected = [], {}
     for user in range(12):
-        minutes = [rng.choice([0.25, 0.5, 3.0, 10.0, 45.5, 60.0, 95.0]) for _ in range(rng.randint(1, 60))]
-        expected[f"u{user}"] = walk_quota(minutes)
-        rows += [(f"u{user}", "free", i, T0 + datetime.timedelta(minutes=7 * i), m * 60) for i, m in enumerate(minutes)]
-    rows.append(("payer", "pro", 0, T0, 1e6))
+        n = 900 if user == 0 else rng.randint(1, 60)
+        choices = [6.0, 12.6, 0.1, 15.0, 180.0, 600.0, 2730.0, 3600.0, 5400.0, 5700.0, None, -60.0, 0.0, float("nan"), float("inf")]
+        seconds = [rng.choice(choices[:6] + choices if user else choices[:5]) for _ in range(n)]
+        expected[f"u{user}"] = walk_quota(seconds)
+        rows += [(f"u{user}", "free" if user % 2 else None, i, T0 + datetime.timedelta(minutes=7 * i), s) for i, s in enumerate(seconds)]
+    rows += [("payer", "pro", 0, T0, 1e6), ("payer", "pro", 1, T0, -1.0)]
     frame = spark.createDataFrame(rows, "uid string, tier string, request_id bigint, ts timestamp, duration_seconds double")
-    for limit in (5_000, 30):
-        got = {}
-        for r in Y.quota_decisions(frame, fold_limit=limit).orderBy("uid", "request_id").collect():
-            got.setdefault(r.uid, []).append(r.accepted)
-        assert got.pop("payer") == [True] and got == expected
+    got, reasons = {}, {}
+    for r in Y.quota_decisions(frame).orderBy("uid", "request_id").collect():
+        got.setdefault(r.uid, []).append(r.accepted)
+        reasons[r.uid, r.request_id] = r.reason
+    assert got.pop("payer") == [True, False] and reasons["payer", 1] == "missing_duration" and got == expected
+    used = spark.createDataFrame([("u0", 5_400_000)], "uid string, used_ms bigint")
+    assert Y.quota_decisions(frame.filter("uid = 'u0'"), used=used).filter("accepted").count() == 0
 
 
 def test_search(spark):

@@ -51,19 +51,21 @@ def front_matter_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """One words file per conversation turn, each a JSON array; every eleventh is cut short."""
+    """One words file per conversation turn, each a JSON array; every eleventh is cut short, every thirteenth has an element without a start."""
     t = V.table(spark, folder, "conversations")
     tokens = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")
     items = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.25).alias("end"), F.when(i % 2 == 0, F.lit(0.75)).alias("confidence")))
     json = F.to_json(items)
     return t.select(
         F.concat(F.lit("/data/projects/p"), F.pmod("conv_id", F.lit(5)), F.lit("/c"), "conv_id", F.lit("-t"), "turn", F.lit(".words.json")).alias("path"),
-        F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) == 0, F.substring(json, 1, 20)).otherwise(json).alias("text"),
+        F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) == 0, F.substring(json, 1, 20))
+        .when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(13)) == 0, F.concat(F.substring(json, 1, F.length(json) - 1), F.lit(',{"word":"x","start":"soon","end":1.0}]')))
+        .otherwise(json).alias("text"),
     )
 
 
 def json_sidecar_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return D.words_sidecars(_sidecars(spark, folder)).filter(F.col("word").isNotNull())
+    return D.words_sidecars(_sidecars(spark, folder))
 
 
 def insert_or_ignore(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,7 +192,7 @@ ORACLES = {
   CASE WHEN c_custkey % 9 <> 5 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || '|n ' || c_custkey END AS tags,
   'Body of ' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '---' || chr(10) || 'more' ELSE '' END AS body FROM customer WHERE c_custkey % 20 NOT IN (3, 4)""",
     "json_sidecar_scan": with_(_TURN_TOKENS) + """ SELECT 'p' || (conv_id % 5) AS project_slug, 'c' || conv_id || '-t' || turn AS source_slug, i AS word_index, word, i * 0.5::DOUBLE AS start_time, i * 0.5::DOUBLE + 0.25::DOUBLE AS end_time,
-  CASE WHEN i % 2 = 0 THEN 0.75::DOUBLE END AS confidence FROM tw WHERE (conv_id + turn) % 11 <> 0""",
+  CASE WHEN i % 2 = 0 THEN 0.75::DOUBLE END AS confidence FROM tw WHERE (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 13 <> 0""",
     "insert_or_ignore": with_(WORDS) + " SELECT project_slug, source_slug, word_index, word FROM words WHERE substr(source_slug, 2)::BIGINT % 2 = 1",
     "stt_response_ingest": with_(_TURN_TOKENS) + """ SELECT conv_id, turn, i AS word_index, word, i * 0.5::DOUBLE AS start_time, CASE WHEN i % 4 > 0 THEN i * 0.5::DOUBLE + 0.25::DOUBLE ELSE 0.0::DOUBLE END AS end_time,
   CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE END AS confidence FROM tw""",

@@ -10,6 +10,7 @@ from timeline_lake.catalog.streams import WALK
 from timeline_lake.plans import search as S
 from timeline_lake.plans import telemetry as Y
 from timeline_lake.plans import views as V
+from timeline_lake.streaming import runs
 
 KEYS = S.KEYS
 # Frequent English function words of the given documents are not known in advance; these occur in any of them.
@@ -43,9 +44,17 @@ def fts_terms(spark: SparkSession, folder: str) -> DataFrame:
     return S.term_counts(_index(spark, folder))
 
 
+def _stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index as a table sorted by term: a search reads the row groups of its terms, and texts are cut into terms once."""
+    path = runs.work_folder(spark, "index")
+    index = _index(spark, folder)
+    S.write_index(index, path)
+    return spark.read.schema(index.schema).parquet(path)
+
+
 def fts_search(spark: SparkSession, folder: str) -> DataFrame:
-    lengths = S.document_lengths(_documents(spark, folder))
-    hits = S.search(_index(spark, folder), lengths, TERMS, project="en", stemmed=False)
+    index = _stored_index(spark, folder)
+    hits = S.search(index, S.lengths_of(index), TERMS, project="en", stemmed=False)
     return hits.select(*KEYS, F.round(F.col("score") * 1e6).cast("long").alias("score_ppm"))
 
 
@@ -53,6 +62,15 @@ def fts_boolean(spark: SparkSession, folder: str) -> DataFrame:
     return S.boolean_search(_index(spark, folder), any_of=["license", "copyright"], none_of=["apache"], prefix="th", stemmed=False)
 
 
+def fts_folded_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches as they are typed: accents, capitals and a word that is cut in two."""
+    index = _stored_index(spark, folder)
+    accented = S.boolean_search(index, any_of=["MÉNT", "Öch"], stemmed=False).withColumn("asked", F.lit("accents"))
+    prefix = S.boolean_search(index, prefix="Él", stemmed=False).withColumn("asked", F.lit("prefix"))
+    cut = S.search(index, S.lengths_of(index), ["of-THE"], stemmed=False).select(*KEYS, F.lit("phrase").alias("asked"))
+    return accented.unionByName(prefix).unionByName(cut)
+
+
 def fts_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return S.phrase_search(_index(spark, folder), ["of", "the"], stemmed=False)
 
@@ -106,7 +124,7 @@ def usage_rollup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fts_tokens, fts_tokens_stemmed, fts_index, fts_terms, fts_search, fts_boolean, fts_phrase, fts_maintain, phase_profile, frame_stats, render_fact,
+        fts_tokens, fts_tokens_stemmed, fts_index, fts_terms, fts_search, fts_boolean, fts_folded_terms, fts_phrase, fts_maintain, phase_profile, frame_stats, render_fact,
         render_timing, usage_quota, usage_rollup,
     )
 }
@@ -131,6 +149,9 @@ sc AS (SELECT hit.project_slug, hit.source_slug, COUNT(*) AS m, SUM(idf * (tf *
 SELECT project_slug, source_slug, round(score * 1e6)::BIGINT AS score_ppm FROM sc WHERE m = {len(TERMS)}""",
     "fts_boolean": with_(_TOKENS, _POST) + """ SELECT DISTINCT project_slug, source_slug FROM post p WHERE term IN ('license', 'copyright')
   AND source_slug IN (SELECT source_slug FROM post WHERE term LIKE 'th%') AND source_slug NOT IN (SELECT source_slug FROM post WHERE term = 'apache')""",
+    "fts_folded_terms": with_(_TOKENS, _POST) + """ SELECT DISTINCT project_slug, source_slug, 'accents' AS asked FROM post WHERE term IN ('ment', 'och')
+UNION ALL SELECT DISTINCT project_slug, source_slug, 'prefix' FROM post WHERE term LIKE 'el%'
+UNION ALL SELECT DISTINCT a.project_slug, a.source_slug, 'phrase' FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the'""",
     "fts_phrase": with_(_TOKENS) + " SELECT DISTINCT a.project_slug, a.source_slug FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the'",
     "fts_maintain": r"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'changed ' || lang ELSE text END AS t FROM documents WHERE doc_id % 6 <> 1),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(t)), '[\p{L}\p{N}]+')) AS term FROM now)
@@ -143,7 +164,7 @@ SELECT render_id, any_value(n) AS n, SUM(elapsed) / any_value(n) AS mean, MAX(CA
   CASE WHEN arg_max(recorded_at, seq) - arg_min(recorded_at, seq) > 0 THEN any_value(n) / (arg_max(recorded_at, seq) - arg_min(recorded_at, seq)) ELSE 0.0 END AS fps FROM s GROUP BY render_id""",
     "render_fact": with_(_FACT) + " SELECT * EXCLUDE (k) FROM fact",
     "render_timing": with_(_FACT) + " SELECT render_id, 'wall_seconds' AS measure, (k % 90) * 0.5::DOUBLE AS seconds FROM fact UNION ALL SELECT render_id, 'export_total_seconds', (k % 50) * 0.25::DOUBLE FROM fact",
-    "usage_quota": with_(USAGE, WALK) + " SELECT uid, request_id, accepted, minutes FROM walk",
-    "usage_rollup": with_(USAGE, WALK) + """ SELECT uid, SUM(CASE WHEN accepted THEN minutes ELSE 0.0 END) AS minutes_used, MAX(CASE WHEN accepted THEN ts END) AS last_use, COUNT(*) FILTER (NOT accepted) AS rejected
+    "usage_quota": with_(USAGE, WALK) + " SELECT * FROM walk",
+    "usage_rollup": with_(USAGE, WALK) + """ SELECT uid, SUM(CASE WHEN accepted THEN CAST(round(minutes * 60000) AS BIGINT) ELSE 0 END) / 60000.0::DOUBLE AS minutes_used, MAX(CASE WHEN accepted THEN ts END) AS last_use, COUNT(*) FILTER (NOT accepted) AS rejected
 FROM walk JOIN (SELECT uid, request_id, ts FROM usage) USING (uid, request_id) GROUP BY uid""",
 }

@@ -32,6 +32,37 @@ def spec_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _faulty(spark: SparkSession, folder: str) -> DataFrame:
+    """One small document per order, every kind of fault in turn."""
+    k = F.col("o_orderkey")
+    segment = {
+        1: ',"transition":{"type":"wipe","duration":1}', 2: ',"transition":{"type":"crossfade"}', 3: ',"keyframes":[{"time":0},{"scale":2}]',
+        4: ',"speed":"fast"', 5: ',"transition":{"type":"crossfade","duration":0.5},"keyframes":[{"time":0.5}]',
+    }
+    rest = {
+        6: ',"aspect_ratio":"7:3"', 7: ',"quality":{"codec":"av1"}', 8: ',"resolution":"8k"', 9: ',"fps":"fast"', 10: ',"lut":{"strength":0.5}',
+        11: ',"overlays":[{"start":0,"end":1,"x":0,"y":0,"width":1,"height":1,"keyframes":[{"opacity":1}]}]', 12: ',"overlays":[{"start":0,"end":1,"x":0,"y":0,"width":1}]',
+        13: ',"aspectRatio":"4:5","resolution":{"width":10,"height":20},"quality":{"codec":"h264"}', 14: ',"audio":{"normalizeAudio":"yes"}',
+    }
+    turn = F.pmod(k, F.lit(19))
+
+    def chosen(texts: dict[int, str]) -> Column:
+        value = F.lit("")
+        for n, t in texts.items():
+            value = F.when(turn == n, F.lit(t)).otherwise(value)
+        return value
+
+    whole = F.concat(
+        F.lit('{"sources":[{"id":"a","path":"/a"}],"segments":[{"source_id":"a","start":0,"end":'), F.when(turn == 15, F.lit('"2"')).otherwise(F.lit("2")), chosen(segment), F.lit('}],"outputPath":"/o'), k, F.lit('"'), chosen(rest), F.lit("}")
+    )
+    text = F.when(turn == 16, F.lit("nonsense")).when(turn == 17, F.concat(F.lit("["), whole, F.lit("]"))).when(turn == 18, F.substring(whole, 1, 60)).otherwise(whole)
+    return V.table(spark, folder, "orders").select(k.alias("spec_id"), text.alias("spec_json"))
+
+
+def spec_problems(spark: SparkSession, folder: str) -> DataFrame:
+    return S.parse_specs(_faulty(spark, folder)).select("spec_id", "problem")
+
+
 def spec_segments(spark: SparkSession, folder: str) -> DataFrame:
     return S.explode_part(_good(spark, folder), "segments", KEY).select(
         *KEY, "position", "source_id", "start", "end", "speed", F.col("transition.duration").alias("transition"), "volume", "audio_from_prev"
@@ -124,7 +155,7 @@ def numeric_coerce(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        spec_parse, spec_sources, spec_segments, spec_keyframes, overlay_kind, spec_validate, spec_valid, spec_merge, preset_resolve, rerender_naming,
+        spec_parse, spec_problems, spec_sources, spec_segments, spec_keyframes, overlay_kind, spec_validate, spec_valid, spec_merge, preset_resolve, rerender_naming,
         spec_lineage, numeric_coerce,
     )
 }
@@ -178,6 +209,9 @@ ORACLES = {
   CASE WHEN o_orderkey % 37 <> 1 THEN o_orderkey % 4 END AS n_segments, CASE WHEN o_orderkey % 12 = 0 THEN 6.5::DOUBLE END AS font_size, CASE WHEN o_orderkey % 4 = 1 THEN 0.25::DOUBLE END AS music_volume,
   CASE WHEN o_orderkey % 2 = 0 THEN 30.0::DOUBLE END AS fps, CASE WHEN o_orderkey % 5 > 2 AND o_orderkey % 3 <> 1 THEN '720p' END AS preset, CASE WHEN o_orderkey % 5 > 2 AND o_orderkey % 3 = 1 THEN 640 END AS width,
   CASE WHEN o_orderkey % 29 <> 3 THEN '/out/' || (o_custkey % 20) || '/r' || o_orderkey || '.mp4' END AS output_path FROM orders""",
+    "spec_problems": """SELECT o_orderkey AS spec_id, CASE o_orderkey % 19 WHEN 1 THEN 'segments.transition.type' WHEN 2 THEN 'segments.transition.type, duration' WHEN 3 THEN 'segments.keyframes.time'
+  WHEN 4 THEN 'a value of the wrong type' WHEN 6 THEN 'aspect_ratio' WHEN 7 THEN 'quality.codec' WHEN 8 THEN 'resolution' WHEN 9 THEN 'a value of the wrong type' WHEN 10 THEN 'lut.path' WHEN 11 THEN 'overlays.keyframes.time'
+  WHEN 12 THEN 'overlays.start, end, x, y, width, height' WHEN 14 THEN 'a value of the wrong type' WHEN 15 THEN 'segments.source_id, start, end' WHEN 16 THEN 'not a JSON object' WHEN 17 THEN 'not a JSON object' WHEN 18 THEN 'not a JSON object' END AS problem FROM orders""",
     "spec_sources": with_(_DOCS) + " SELECT k AS spec_id, i AS position, id, path, tid AS transcript_id FROM srcs",
     "spec_segments": with_(_DOCS) + """ SELECT k AS spec_id, i AS position, source_id, start, "end", speed, tr AS transition, volume, afp AS audio_from_prev FROM segs""",
     "spec_keyframes": with_(_DOCS) + """ SELECT k AS spec_id, 'segment' AS of, i AS element, p AS position, p::DOUBLE AS time, CASE WHEN p = 0 THEN 1.5::DOUBLE END AS scale, CASE WHEN p = 1 THEN -0.5::DOUBLE END AS extra FROM segs, range(0, 2) r(p) WHERE (k + i) % 6 = 0

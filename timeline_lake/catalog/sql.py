@@ -101,8 +101,9 @@ FRAMES = """
 frames AS (SELECT 'u' || user_id AS render_id, event_id AS seq, (floor(epoch(ts)) - 1704067200)::DOUBLE AS recorded_at, floor(value * 4) / 4.0::DOUBLE AS elapsed FROM events)"""
 
 USAGE = """
-usage AS (SELECT 'u' || user_id AS uid, CASE WHEN user_id % 3 = 0 THEN 'pro' ELSE 'free' END AS tier, event_id AS request_id, ts,
-  (floor(value / 4.0::DOUBLE) + 1) * 15.0::DOUBLE AS duration_seconds FROM events)"""
+asked AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS asker, (floor(value / 2.0::DOUBLE) + 1) * 6.0::DOUBLE AS tenths FROM events),
+usage AS (SELECT 'u' || asker AS uid, CASE WHEN asker % 3 = 0 THEN 'pro' ELSE 'free' END AS tier, event_id AS request_id, ts,
+  CASE event_id % 97 WHEN 1 THEN NULL WHEN 2 THEN -tenths WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN 'NaN'::DOUBLE ELSE tenths END AS duration_seconds FROM asked)"""
 
 
 def with_(*parts: str) -> str:

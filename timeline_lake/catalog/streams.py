@@ -90,12 +90,9 @@ def fts_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quota_stream(spark: SparkSession, folder: str) -> DataFrame:
-    events = _events(spark, folder)
-    requests = events.select(
-        F.concat(F.lit("u"), "user_id").alias("uid"), F.when(F.pmod("user_id", F.lit(3)) == 0, F.lit("pro")).otherwise(F.lit("free")).alias("tier"),
-        F.col("event_id").alias("request_id"), "ts", ((F.floor(F.col("value") / 4.0) + 1) * 15.0).alias("duration_seconds"),
-    )
-    return runs.collect_stream(usage.quota_decisions(requests), "quota")
+    path = runs.work_folder(spark, "quota")
+    usage.follow(V.usage_of(_events(spark, folder)), path, f"{path}/checkpoint")
+    return usage.decisions(spark, path)
 
 
 QUERIES = {
@@ -107,10 +104,12 @@ _FACTS = """
 facts AS (SELECT 'u' || (event_id - CASE WHEN event_id % 100 < 5 THEN 1 ELSE 0 END) AS render_id, 'p' || (user_id % 5) AS project, event_type AS codec, date_trunc('second', ts) AS finished_at,
   floor(value * 4) / 4.0::DOUBLE AS secs, (event_id % 60)::DOUBLE AS fps FROM events WHERE event_id % 50 <> 49)"""
 WALK = """
-reqs AS (SELECT *, duration_seconds / 60.0::DOUBLE AS minutes, row_number() OVER (PARTITION BY uid ORDER BY ts, request_id) AS rn FROM usage),
-walk AS (SELECT uid, request_id, rn, minutes, tier <> 'free' OR minutes <= 90 AS accepted, CASE WHEN tier <> 'free' OR minutes <= 90 THEN minutes ELSE 0.0::DOUBLE END AS used FROM reqs WHERE rn = 1
-  UNION ALL SELECT r.uid, r.request_id, r.rn, r.minutes, r.tier <> 'free' OR w.used + r.minutes <= 90, w.used + CASE WHEN r.tier <> 'free' OR w.used + r.minutes <= 90 THEN r.minutes ELSE 0.0::DOUBLE END
-  FROM walk w JOIN reqs r ON r.uid = w.uid AND r.rn = w.rn + 1)"""
+reqs AS (SELECT *, duration_seconds / 60.0::DOUBLE AS minutes, CASE WHEN isfinite(duration_seconds) AND duration_seconds > 0 THEN CAST(round(duration_seconds * 1000) AS BIGINT) END AS ms,
+  row_number() OVER (PARTITION BY uid ORDER BY ts, request_id) AS rn FROM usage),
+taken AS (SELECT uid, MIN(rn) AS rn, arg_min(ms, rn) AS used FROM reqs WHERE tier = 'free' AND ms <= 5400000 GROUP BY uid
+  UNION ALL SELECT t.uid, MIN(r.rn), arg_min(t.used + r.ms, r.rn) FROM taken t JOIN reqs r ON r.uid = t.uid AND r.rn > t.rn AND r.ms <= 5400000 - t.used GROUP BY t.uid),
+walk AS (SELECT r.uid, r.request_id, r.minutes, ms IS NOT NULL AND (tier <> 'free' OR t.rn IS NOT NULL) AS accepted,
+  CASE WHEN ms IS NULL THEN 'missing_duration' WHEN tier = 'free' AND t.rn IS NULL THEN 'quota_exceeded' END AS reason FROM reqs r LEFT JOIN taken t ON t.uid = r.uid AND t.rn = r.rn)"""
 
 
 def _windows_sql(length: int, slide: int) -> str:
@@ -132,5 +131,5 @@ SELECT project_slug, source_slug, MIN(word_index) AS first_index, COUNT(*) AS n_
     "fts_stream": """WITH now AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'changed ' || lang ELSE text END AS t FROM documents WHERE doc_id % 6 <> 1),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(t)), '[\\p{L}\\p{N}]+')) AS term FROM now)
 SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS occurrences FROM tok GROUP BY term""",
-    "quota_stream": with_(USAGE, WALK) + " SELECT uid, request_id, accepted, minutes FROM walk",
+    "quota_stream": with_(USAGE, WALK) + " SELECT * FROM walk",
 }

@@ -28,17 +28,19 @@ def _assets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _asset_batch(assets: DataFrame) -> DataFrame:
-    """Every third asset comes again, changed; every seventh under a new slug."""
+    """Every third asset comes again, changed, some of them twice; every seventh under a new slug. ``nth`` tells the order."""
     n = _number("slug")
     changed = assets.withColumns({"filename": F.concat(F.lit("v2 "), "filename"), "duration_seconds": F.when(F.pmod(n, F.lit(2)) == 0, F.col("duration_seconds") + 1.0), "has_audio": F.lit(False), "created": _later()})
     again = changed.filter(F.pmod(n, F.lit(3)) == 0)
     new = changed.filter(F.pmod(n, F.lit(7)) == 0).withColumn("slug", F.concat(F.lit("n"), "slug"))
-    return again.unionByName(new)
+    batch = again.unionByName(new).withColumn("nth", F.lit(1))
+    earlier = batch.filter(F.pmod(n, F.lit(2)) == 1).withColumns({"filename": F.lit("zz superseded"), "nth": F.lit(0), "created": _later() - F.expr("interval 1 day")})
+    return batch.unionByName(earlier)
 
 
 def upsert_assets(spark: SparkSession, folder: str) -> DataFrame:
     assets = _assets(spark, folder)
-    return K.upsert(assets, _asset_batch(assets), ASSET_KEY)
+    return K.upsert(assets, _asset_batch(assets), ASSET_KEY, order="nth")
 
 
 def upsert_renders(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +185,7 @@ def list_all_with_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_compound_id(spark: SparkSession, folder: str) -> DataFrame:
-    raw = V.renders(spark, folder).select(F.concat(F.when(F.pmod(_number("slug"), F.lit(3)) > 0, F.concat("project_slug", F.lit("/"))).otherwise(F.lit("")), "slug", F.when(F.pmod(_number("slug"), F.lit(5)) == 0, F.lit("/x")).otherwise(F.lit(""))).alias("id"))
+    raw = V.renders(spark, folder).select(F.concat(F.when(F.pmod(_number("slug"), F.lit(3)) > 0, F.concat("project_slug", F.lit("/"))).otherwise(F.lit("")), "slug", F.when(F.pmod(_number("slug"), F.lit(5)) == 0, F.lit("/x")).when(F.pmod(_number("slug"), F.lit(7)) == 0, F.lit("//y")).otherwise(F.lit(""))).alias("id"))
     parts = X.split_compound_id("id")
     return raw.select("id", parts["project"].alias("project"), parts["source"].alias("source"))
 
@@ -210,6 +212,21 @@ def unique_slug(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("project_slug", "base", "request_id", F.when(plain, F.col("slug")).otherwise(F.lit("hashed")).alias("slug"))
 
 
+def unique_slug_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line item asks for a slug: few bases, one of them for a third of all, some equal to numbered names of others, a null scope.
+
+    Rows, rows with a name, different names and names that were taken before, by scope.
+    """
+    lines = V.table(spark, folder, "lineitem")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    base = F.when(F.pmod(key, F.lit(3)) == 0, F.lit("clip")).when(F.pmod(key, F.lit(50)) == 1, F.concat(F.lit("clip-"), F.pmod(key, F.lit(120)))).otherwise(F.lower("l_returnflag"))
+    wanted = lines.select(F.when(F.col("l_linestatus") == "O", F.lit("p1")).alias("scope"), base.alias("base"), key.alias("request_id"))
+    taken = V.table(spark, folder, "supplier").select(F.lit("p1").alias("scope"), F.concat(F.lit("clip-"), F.col("s_suppkey") * 2).alias("slug"))
+    named = K.unique_slugs(wanted, taken, ["scope"], ["request_id"], F.floor(F.col("request_id") / 10000))
+    met = named.select("scope", "slug").join(taken.withColumn("was", F.lit(1)), ["scope", "slug"], "left")
+    return met.groupBy("scope").agg(F.count(F.lit(1)).alias("n_rows"), F.count("slug").alias("n_named"), F.countDistinct("slug").alias("n_names"), F.count("was").alias("n_taken"))
+
+
 def get_or_create(spark: SparkSession, folder: str) -> DataFrame:
     customers = V.table(spark, folder, "customer")
     key = F.col("c_custkey")
@@ -272,7 +289,7 @@ QUERIES = {
     for f in (
         upsert_assets, upsert_renders, upsert_presets, upsert_analyses, upsert_transcripts, replace_children, parent_rollup, cascade_delete, deletion_report,
         archive_projects, set_tags, get_by_key, get_by_keys, children_in_order, list_newest, list_presets, list_top_k, list_all_with_ids, split_compound_id,
-        slugify, derive_slugs_from_path, unique_slug, get_or_create, constraint_audit, parity_diff, parity_children, parity_summary, adhoc_sql,
+        slugify, derive_slugs_from_path, unique_slug, unique_slug_audit, get_or_create, constraint_audit, parity_diff, parity_children, parity_summary, adhoc_sql,
     )
 }
 
@@ -297,7 +314,7 @@ ORACLES = {
     "upsert_assets": with_(ASSETS) + f""", base AS (SELECT * EXCLUDE (tags_json, p_partkey), p_partkey AS k FROM assets)
 SELECT project_slug, slug, CASE WHEN k % 3 = 0 THEN 'v2 ' ELSE '' END || filename AS filename, file_path, file_size_bytes, CASE WHEN k % 3 > 0 THEN duration_seconds WHEN k % 2 = 0 THEN duration_seconds + 1.0 END AS duration_seconds,
   width, height, fps, codec, CASE WHEN k % 3 = 0 THEN false ELSE has_audio END AS has_audio, created FROM base
-UNION ALL SELECT project_slug, 'n' || slug, 'v2 ' || filename, file_path, file_size_bytes, CASE WHEN k % 2 = 0 THEN duration_seconds + 1.0 END, width, height, fps, codec, false, {_NOW} FROM base WHERE k % 7 = 0""",
+UNION ALL SELECT project_slug, 'n' || slug, 'v2 ' || filename, file_path, file_size_bytes, CASE WHEN k % 2 = 0 THEN duration_seconds + 1.0 END, width, height, fps, codec, false, CASE WHEN k % 2 = 1 THEN {_NOW} - INTERVAL 1 DAY ELSE {_NOW} END FROM base WHERE k % 7 = 0""",
     "upsert_renders": with_(RENDERS) + """ SELECT * REPLACE (CASE WHEN substr(slug, 2)::BIGINT % 4 = 1 THEN 'completed' ELSE status END AS status, CASE WHEN substr(slug, 2)::BIGINT % 4 = 1 THEN 'again' ELSE notes_md END AS notes_md) FROM renders""",
     "upsert_presets": with_(_PRESETS) + f""" SELECT name, type, description, CASE WHEN name LIKE '%promo' THEN '{{}}' ELSE config_json END AS config_json, {_OLD} AS created, CASE WHEN name LIKE '%promo' THEN {_NOW} ELSE {_OLD} END AS updated FROM presets""",
     "upsert_analyses": with_(_ANALYSES) + f""" SELECT * EXCLUDE (k) REPLACE (CASE WHEN k % 6 = 3 THEN 2.0::DOUBLE ELSE sample_fps END AS sample_fps) FROM analyses
@@ -322,7 +339,7 @@ UNION ALL SELECT 'transcripts', COUNT(*) FROM transcripts WHERE project_slug NOT
     "list_presets": with_(_PRESETS) + " SELECT name, description FROM presets ORDER BY name",
     "list_top_k": with_(RENDERS) + " SELECT project_slug, slug, status, created FROM renders ORDER BY created DESC, project_slug, slug LIMIT 50",
     "list_all_with_ids": with_(WORDS, _TRANSCRIPTS) + " SELECT project_slug || '/' || source_slug AS id, word_count, duration_seconds FROM transcripts",
-    "split_compound_id": with_(RENDERS) + """, raw AS (SELECT CASE WHEN k % 3 > 0 THEN project_slug || '/' ELSE '' END || slug || CASE WHEN k % 5 = 0 THEN '/x' ELSE '' END AS id FROM (SELECT *, substr(slug, 2)::BIGINT AS k FROM renders))
+    "split_compound_id": with_(RENDERS) + """, raw AS (SELECT CASE WHEN k % 3 > 0 THEN project_slug || '/' ELSE '' END || slug || CASE WHEN k % 5 = 0 THEN '/x' WHEN k % 7 = 0 THEN '//y' ELSE '' END AS id FROM (SELECT *, substr(slug, 2)::BIGINT AS k FROM renders))
 SELECT id, CASE WHEN id LIKE '%/%' THEN split_part(id, '/', 1) END AS project, CASE WHEN id LIKE '%/%' THEN substr(id, strpos(id, '/') + 1) END AS source FROM raw""",
     "slugify": f"WITH f AS (SELECT doc_id, trim({_FOLD}, '-') AS s FROM documents) SELECT doc_id, md5(CASE WHEN s = '' THEN 'untitled' ELSE s END) AS slug_md5 FROM f",
     "derive_slugs_from_path": with_(ASSETS) + """ SELECT file_path, trim(regexp_replace(lower(split_part(file_path, '/', 3)), '[^a-z0-9]+', '-', 'g'), '-') AS project,
@@ -332,6 +349,7 @@ wanted AS (SELECT *, row_number() OVER (PARTITION BY project_slug, base ORDER BY
 taken AS (SELECT project_slug, base, list(DISTINCT CASE WHEN request_id % 30 <= 1 THEN 1 ELSE request_id % 30 END) AS used FROM o WHERE st = 'F' GROUP BY ALL),
 free AS (SELECT w.*, list_filter(range(1, 101), lambda x: NOT list_contains(COALESCE(used, []), x))[k] AS n FROM wanted w LEFT JOIN taken USING (project_slug, base))
 SELECT project_slug, base, request_id, CASE WHEN n IS NULL THEN 'hashed' WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM free""",
+    "unique_slug_audit": """SELECT CASE WHEN l_linestatus = 'O' THEN 'p1' END AS scope, COUNT(*) AS n_rows, COUNT(*) AS n_named, COUNT(*) AS n_names, 0 AS n_taken FROM lineitem GROUP BY ALL""",
     "get_or_create": """WITH c AS (SELECT c_custkey AS k, c_name AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer)
 SELECT slug, CASE WHEN k % 6 = 0 THEN upper(name) ELSE name END AS name, 'active' AS status FROM c UNION ALL SELECT slug || '-2', name, 'active' FROM c WHERE k % 6 = 0""",
     "constraint_audit": with_(PROJECTS, RENDERS) + """, pr AS (SELECT * FROM projects WHERE substr(slug, 2)::BIGINT % 20 <> 7)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeline_lake.functions._columns import ColumnOrName, col
 
 
-def _accented() -> tuple[str, str]:
+def accented_letters() -> tuple[str, str]:
     """Latin letters that decompose into a base letter and marks, and those base letters."""
     import unicodedata
 
@@ -23,7 +23,7 @@ def _accented() -> tuple[str, str]:
 
 def fold_marks(text: ColumnOrName) -> Column:
     """Strip diacritics: accented Latin letters become their base letter, loose combining marks vanish."""
-    accented, base = _accented()
+    accented, base = accented_letters()
     return F.regexp_replace(F.translate(col(text), accented, base), "\\p{Mn}", "")
 
 
@@ -53,8 +53,8 @@ def source_slug_of(path: ColumnOrName) -> Column:
 
 
 def split_compound_id(value: ColumnOrName) -> Column:
-    """Struct (project, source) of `project/source`; null without two non-empty parts."""
-    pattern = "^/*([^/]+)/+(.+)$"
+    """Struct (project, source) of `project/source`, parted once: `a//b` gives `/b`; null without two non-empty parts."""
+    pattern = "(?s)^/*([^/]+)/(.+)$"
     return F.when(
         col(value).rlike(pattern),
         F.struct(F.regexp_extract(col(value), pattern, 1).alias("project"), F.regexp_extract(col(value), pattern, 2).alias("source")),

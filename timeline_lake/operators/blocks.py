@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
+SLOT = "_slot"
 CORE = "_core"
 
 
@@ -55,6 +56,20 @@ def block_window(keys: list[str], order: str | list[str]):
     return Window.partitionBy(*keys, BLOCK).orderBy(*names)
 
 
+def _slotted(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Add ``_slot``: a row's keys and block as one struct, which is never null, so rows with null keys meet as well."""
+    return df.withColumn(SLOT, F.struct(*[F.col(k) for k in keys], block.alias(BLOCK)))
+
+
+def _slot_window(order: str | list[str]):
+    return Window.partitionBy(SLOT).orderBy(*([order] if isinstance(order, str) else order))
+
+
+def _neighbours(keys: list[str], start: int, end: int):
+    """Window over the summaries of a key's blocks."""
+    return Window.partitionBy(*[f"{SLOT}.{k}" for k in keys]).orderBy(f"{SLOT}.{BLOCK}").rowsBetween(start, end)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -64,12 +79,12 @@ def running(
     agg: Callable[[Column], Column] = F.sum,
 ) -> DataFrame:
     """Add one column per entry of ``values``: ``agg`` (sum, max, min) over the key's earlier rows; null if there are none."""
-    blocked = df.withColumn(BLOCK, block)
-    totals = blocked.groupBy(*keys, BLOCK).agg(*[agg(c).alias(f"_t_{n}") for n, c in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, BLOCK, *[agg(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n in values])
-    inside = block_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = blocked.join(carried, [*keys, BLOCK])
+    blocked = _slotted(df, keys, block)
+    totals = blocked.groupBy(SLOT).agg(*[agg(c).alias(f"_t_{n}") for n, c in values.items()])
+    earlier = _neighbours(keys, Window.unboundedPreceding, -1)
+    carried = totals.select(SLOT, *[agg(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n in values])
+    inside = _slot_window(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = blocked.join(carried, SLOT)
     for name, value in values.items():
         here, before = agg(value).over(inside), F.col(f"_c_{name}")
         joined = joined.withColumn(f"_i_{name}", here)
@@ -79,7 +94,7 @@ def running(
         else:
             both = (F.greatest if agg is F.max else F.least)(before, here)
         joined = joined.withColumn(name, F.coalesce(both, before, here))
-    return joined.drop(BLOCK, *[f"_c_{n}" for n in values], *[f"_i_{n}" for n in values])
+    return joined.drop(SLOT, *[f"_c_{n}" for n in values], *[f"_i_{n}" for n in values])
 
 
 def running_sums(
@@ -92,14 +107,12 @@ def running_sums(
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:
     """Number a key's rows 0, 1, 2, … in ``order``. ``block`` must not decrease along ``order``."""
-    blocked = df.withColumn(BLOCK, block)
-    counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = blocked.join(carried, [*keys, BLOCK]).withColumn(
-        name, F.col("_before") + F.row_number().over(block_window(keys, order)) - 1
-    )
-    return numbered.drop(BLOCK, "_before")
+    blocked = _slotted(df, keys, block)
+    counts = blocked.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = _neighbours(keys, Window.unboundedPreceding, -1)
+    carried = counts.select(SLOT, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = blocked.join(carried, SLOT).withColumn(name, F.col("_before") + F.row_number().over(_slot_window(order)) - 1)
+    return numbered.drop(SLOT, "_before")
 
 
 def last_known(
@@ -111,19 +124,19 @@ def last_known(
     include_current: bool = True,
 ) -> DataFrame:
     """Add one column per entry of ``values``: its latest non-null value at or before (or only before) each row."""
-    blocked = df.withColumn(BLOCK, block)
+    blocked = _slotted(df, keys, block)
     latest = [
         F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"_t_{n}") for n, c in values.items()
     ]
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocked.groupBy(*keys, BLOCK).agg(*latest).select(
-        *keys, BLOCK, *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values]
+    earlier = _neighbours(keys, Window.unboundedPreceding, -1)
+    carried = blocked.groupBy(SLOT).agg(*latest).select(
+        SLOT, *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values]
     )
-    inside = block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    joined = blocked.join(carried, [*keys, BLOCK])
+    inside = _slot_window(order).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    joined = blocked.join(carried, SLOT)
     for name, value in values.items():
         joined = joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(f"_c_{name}")))
-    return joined.drop(BLOCK, *[f"_c_{n}" for n in values])
+    return joined.drop(SLOT, *[f"_c_{n}" for n in values])
 
 
 def next_known(
@@ -135,14 +148,14 @@ def next_known(
     include_current: bool = False,
 ) -> DataFrame:
     """Mirror of :func:`last_known`: the nearest non-null value after (or at) each row."""
-    blocked = df.withColumn(BLOCK, block)
+    blocked = _slotted(df, keys, block)
     first = [F.min_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"_t_{n}") for n, c in values.items()]
-    later = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    carried = blocked.groupBy(*keys, BLOCK).agg(*first).select(
-        *keys, BLOCK, *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in values]
+    later = _neighbours(keys, 1, Window.unboundedFollowing)
+    carried = blocked.groupBy(SLOT).agg(*first).select(
+        SLOT, *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in values]
     )
-    inside = block_window(keys, order).rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
-    joined = blocked.join(carried, [*keys, BLOCK])
+    inside = _slot_window(order).rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
+    joined = blocked.join(carried, SLOT)
     for name, value in values.items():
         joined = joined.withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(inside), F.col(f"_c_{name}")))
-    return joined.drop(BLOCK, *[f"_c_{n}" for n in values])
+    return joined.drop(SLOT, *[f"_c_{n}" for n in values])

@@ -9,16 +9,39 @@ from timeline_lake.functions.text import slugify
 from timeline_lake.operators.blocks import row_numbers
 
 
+def _one_per_key(batch: DataFrame, keys: list[str], order: str | None, last: bool) -> DataFrame:
+    """The last or first row of each key in ``order``; without one, the greatest or least row. Added up before the shuffle."""
+    row = F.struct(*batch.columns)
+    if order is None:
+        chosen = F.max(row) if last else F.min(row)
+    else:
+        # Rows with equal order are told apart by their values, so a repeated run chooses the same one.
+        place = F.struct(order, row)
+        chosen = (F.max(place) if last else F.min(place))["col2"]
+    return batch.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(chosen.alias("_row")).select("_row.*")
+
+
 def upsert(
-    table: DataFrame, batch: DataFrame, keys: list[str], update: list[str] | None = None, always: dict[str, Column] | None = None
+    table: DataFrame,
+    batch: DataFrame,
+    keys: list[str],
+    update: list[str] | None = None,
+    always: dict[str, Column] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Insert the batch's new keys and overwrite columns of known ones.
 
     ``update`` lists the columns a known key takes from the batch (default: all but `created`); a null in the batch
-    overwrites too. ``always`` sets columns of every batch row. One full outer join; batch keys must be unique.
+    overwrites too. ``always`` sets columns of every batch row. Rows of one key count as if applied in ``order`` (a column
+    of the batch): a new key is inserted as its first row says and then takes the updated columns of its last.
     """
     changed = [c for c in table.columns if c not in keys and c != "created"] if update is None else update
-    fresh = batch.withColumns(always or {})
+    placed = batch.withColumns(always or {})
+    fresh = _one_per_key(placed, keys, order, last=True)
+    fixed = [c for c in table.columns if c not in keys and c not in changed]
+    if fixed:
+        first = _one_per_key(placed, keys, order, last=False).select(*keys, *[F.col(c).alias(f"_f_{c}") for c in fixed])
+        fresh = fresh.drop(*fixed).join(first, keys).withColumnsRenamed({f"_f_{c}": c for c in fixed})
     marked = fresh.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in table.columns if c not in keys], F.lit(True).alias("_new"))
     joined = table.withColumn("_old", F.lit(True)).join(marked, keys, "full_outer")
     taken = {}
@@ -30,9 +53,12 @@ def upsert(
     return joined.select(*keys, *[c.alias(n) for n, c in taken.items()]).select(*table.columns)
 
 
-def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Append rows with new keys only. Returns the new table and the rows inserted, for their children to follow."""
-    inserted = batch.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti").select(*table.columns)
+def insert_or_ignore(table: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Append rows with new keys only; of several rows of one key the first in ``order`` counts.
+
+    Returns the new table and the rows inserted, for their children to follow.
+    """
+    inserted = _one_per_key(batch, keys, order, last=False).join(table.select(*keys), keys, "left_anti").select(*table.columns)
     return table.unionByName(inserted), inserted
 
 
@@ -105,40 +131,51 @@ def set_columns(table: DataFrame, changes: DataFrame, keys: list[str], columns:
 def unique_slugs(requests: DataFrame, taken: DataFrame, scope: list[str], order: list[str], block: Column, tries: int = 100) -> DataFrame:
     """Give each request (scope, base, …) a slug free in its scope: base, base-2 … base-100, then a hashed suffix.
 
-    Of several requests for one base the k-th, in ``order``, takes the k-th free name. At most ``tries`` taken names per
-    base matter, and only those are kept. ``taken``: scope, slug.
+    Of several requests for one base the k-th, in ``order``, takes the k-th free name. A name that some request asks for
+    as its base goes to such a request, so it counts as taken for the numbers of another base. Numbered names of two bases
+    never meet, as a name without its last number is its base. Hashed suffixes differ by construction within a base (an
+    odd multiple of the rank modulo 2^32); one that is taken or asked for is lengthened. Null scopes are a scope of their
+    own. ``taken``: scope, slug. At most ``tries`` taken names per base matter, and only those are kept.
     """
-    keys = [*scope, "base"]
-    ranked = row_numbers(requests, keys, order, block, "_k")
-    split = F.regexp_extract("slug", "^(.*)-([0-9]+)$", 2).try_cast("int")
-    stem = F.regexp_extract("slug", "^(.*)-([0-9]+)$", 1)
-    plain = taken.select(*scope, F.col("slug").alias("base"), F.lit(1).alias("_number"))
-    suffixed = taken.select(*scope, stem.alias("base"), split.alias("_number"), "slug").filter(
-        F.col("_number").between(2, tries) & (F.concat(F.col("base"), F.lit("-"), F.col("_number")) == F.col("slug"))
+    inside = F.struct(*[F.col(c) for c in scope], F.lit(0).alias("_")) if scope else F.struct(F.lit(0).alias("_"))
+    ranked = row_numbers(requests, [*scope, "base"], order, block, "_k").withColumn("_key", F.struct(inside.alias("in"), F.col("base")))
+    given = taken.select(inside.alias("in"), "slug")
+    asked = requests.select(inside.alias("in"), F.col("base").alias("slug"))
+    number = F.regexp_extract("slug", "-([0-9]+)$", 1).try_cast("int")
+    suffixed = given.unionByName(asked).select(F.struct("in", F.regexp_replace("slug", "-[0-9]+$", "").alias("base")).alias("_key"), number.alias("_number"), "slug").filter(
+        F.col("_number").between(2, tries) & (F.concat(F.col("_key.base"), F.lit("-"), F.col("_number")) == F.col("slug"))
     )
-    used = plain.unionByName(suffixed.drop("slug")).groupBy(*keys).agg(F.collect_set("_number").alias("_used"))
+    plain = given.select(F.struct("in", F.col("slug").alias("base")).alias("_key"), F.lit(1).alias("_number"))
+    used = plain.unionByName(suffixed.drop("slug")).groupBy("_key").agg(F.collect_set("_number").alias("_used"))
     free = F.array_except(F.sequence(F.lit(1), F.lit(tries)), F.coalesce("_used", F.array().cast("array<int>")))
-    number = F.get(free, F.col("_k").cast("int"))
-    hashed = F.substring(F.sha2(F.concat_ws("/", *scope, "base", F.col("_k").cast("string")), 256), 1, 8)
-    named = (
-        F.when(number == 1, F.col("base"))
-        .when(number.isNotNull(), F.concat(F.col("base"), F.lit("-"), number))
-        .otherwise(F.concat(F.col("base"), F.lit("-"), hashed))
-    )
-    return ranked.join(used, keys, "left").withColumn("slug", named).drop("_k", "_used")
-
-
-def get_or_create(table: DataFrame, names: DataFrame, defaults: dict[str, Column], tries_block: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    numbered = ranked.join(used, "_key", "left").withColumn("_number", F.get(free, F.col("_k").cast("int")))
+    suffix = F.lower(F.lpad(F.hex(F.pmod((F.col("_k") % F.lit(1 << 32)) * F.lit(0x9E3779B1), F.lit(1 << 32))), 8, "0"))
+    named = numbered.withColumn(
+        "slug",
+        F.when(F.col("_number") == 1, F.col("base"))
+        .when(F.col("_number").isNotNull(), F.concat(F.col("base"), F.lit("-"), F.col("_number")))
+        .otherwise(F.concat(F.col("base"), F.lit("-"), suffix)),
+    ).drop("_k", "_used")
+    hashed = named.filter(F.col("_number").isNull())
+    known = given.unionByName(asked).filter(F.col("slug").rlike("-[0-9a-f]{8}$")).distinct().select(F.struct("in", F.col("slug").alias("base")).alias("_name"), F.lit(True).alias("_met"))
+    longer = F.concat(F.col("slug"), F.substring(F.sha2(F.concat_ws("/", F.to_json("_key"), "slug"), 256), 1, 24))
+    apart = hashed.withColumn("_name", F.struct("_key.in", F.col("slug").alias("base"))).join(known, "_name", "left").withColumn("slug", F.when(F.col("_met"), longer).otherwise(F.col("slug")))
+    done = named.filter(F.col("_number").isNotNull()).drop("_key", "_number")
+    return done.unionByName(apart.select(*done.columns))
+
+
+def get_or_create(table: DataFrame, names: DataFrame, defaults: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Projects by name: reuse the one whose slug and name both match, else create it under a free slug.
 
-    Returns the new table and the answer per distinct name (name, slug, created_now).
+    Returns the new table and the answer per distinct name (name, slug, created_now). New names are numbered in the order
+    of their MD5, whose leading digits also spread them over blocks; a null name is slugged like an empty one.
     """
-    asked = names.select("name").distinct().withColumn("base", slugify("name"))
-    known = table.select(F.col("slug").alias("base"), "name")
-    reused = asked.join(known, ["base", "name"], "left_semi").select("name", F.col("base").alias("slug"), F.lit(False).alias("created_now"))
-    missing = asked.join(known, ["base", "name"], "left_anti")
-    block = tries_block if tries_block is not None else F.conv(F.substring(F.hex("name"), 1, 4), 16, 10).cast("long")
-    made = unique_slugs(missing, table.select("slug"), [], ["name"], block).select("name", "slug")
+    asked = names.select("name").distinct().withColumn("base", F.coalesce(slugify("name"), F.lit("untitled")))
+    known = table.select(F.struct(F.col("slug").alias("base"), "name").alias("_key")).distinct()
+    keyed = asked.withColumn("_key", F.struct("base", "name"))
+    reused = keyed.join(known, "_key", "left_semi").select("name", F.col("base").alias("slug"), F.lit(False).alias("created_now"))
+    missing = keyed.join(known, "_key", "left_anti").select("name", "base", F.md5(F.coalesce("name", F.lit(""))).alias("_md5"))
+    made = unique_slugs(missing, table.select("slug"), [], ["_md5"], F.substring("_md5", 1, 3)).select("name", "slug")
     rows = made.select("slug", "name").withColumns(defaults)
     answers = reused.unionByName(made.select("name", "slug", F.lit(True).alias("created_now")))
     return table.unionByName(rows.select(*table.columns)), answers

@@ -150,15 +150,20 @@ def layout_problems(sections: DataFrame) -> DataFrame:
     return sections.withColumn("problem", problem)
 
 
+def _sound_timelines(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """Sections of the timelines that have no section with a problem."""
+    judged = layout_problems(sections)
+    broken = judged.filter(F.col("problem").isNotNull()).select(*keys).distinct()
+    return judged.join(broken, keys, "left_anti").drop("problem")
+
+
 def layout_overlays(sections: DataFrame, keys: list[str], block: Column) -> DataFrame:
     """Named layout sections (keys, section_id, layout, start, end, aspect_ratio, screen, speaker) as one to three overlays.
 
     A timeline is laid out only if all its sections are sound. Sections are ordered by start; the first does not fade in
     and the last does not fade out. ``block`` cuts a timeline by start time, so that none has to fit in one task.
     """
-    judged = layout_problems(sections)
-    broken = judged.filter(F.col("problem").isNotNull()).select(*keys).distinct()
-    sound = judged.filter(F.col("problem").isNull()).join(broken, keys, "left_anti").drop("problem")
+    sound = _sound_timelines(sections, keys)
     placed = row_numbers(sound, keys, ["start", "section_id"], block, "position")
     counts = sound.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     presets = layout_table(sections.sparkSession)
@@ -205,9 +210,11 @@ def layout_overlays(sections: DataFrame, keys: list[str], block: Column) -> Data
 
 
 def layout_summary(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """Section count, the distinct layouts in order, and total seconds. At most six layout names exist."""
-    sound = layout_problems(sections).filter(F.col("problem").isNull())
-    return sound.groupBy(*keys).agg(
+    """Section count, the distinct layouts in order, and total seconds, of timelines without a bad section.
+
+    At most six layout names exist.
+    """
+    return _sound_timelines(sections, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sections"),
         F.array_join(F.array_sort(F.collect_set("layout")), ", ").alias("layouts"),
         F.sum(F.col("end") - F.col("start")).alias("seconds"),

@@ -126,7 +126,7 @@ def sample_keyframes(points: DataFrame, filled: DataFrame) -> DataFrame:
     channels = list(CHANNEL_DEFAULTS)
     filled = cut_lineage(filled)
     known = points.join(filled.select("track_id").distinct(), "track_id", "left_semi")
-    near = bracket(known, filled, ["track_id"], "time", channels, _track_block("time"))
+    near = bracket(known, filled, ["track_id"], "time", channels, _track_block("time"), tie="keyframe_id")
     a, b = F.col("before"), F.col("after")
     span = b["time"] - a["time"]
     share = F.when(span > 0, (F.col("time") - a["time"]) / span).otherwise(F.lit(0.0))

@@ -5,17 +5,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeline_lake.functions.stemming import porter_stem, stem
-from timeline_lake.functions.text import fold_marks
+from timeline_lake.functions.text import accented_letters, fold_marks
 
 KEYS = ["project_slug", "source_slug"]
 # BM25 constants.
 K1 = 1.2
 B = 0.75
 LEAST_IDF = 1e-6
+ACCENTED, BASE = accented_letters()
 
 
 def terms_of(text: Column) -> Column:
@@ -40,6 +43,11 @@ def postings(token_rows: DataFrame) -> DataFrame:
     )
 
 
+def lengths_of(index: DataFrame) -> DataFrame:
+    """Terms per document, from the index. Documents without a term have no row."""
+    return index.groupBy(*KEYS).agg(F.sum("tf").alias("length"))
+
+
 def document_lengths(documents: DataFrame) -> DataFrame:
     return documents.select(*KEYS, F.size(terms_of(F.col("full_text"))).cast("long").alias("length"))
 
@@ -54,13 +62,26 @@ def write_index(index: DataFrame, path: str) -> None:
     index.repartitionByRange("term", *KEYS).sortWithinPartitions("term", *KEYS).write.mode("error").parquet(path)
 
 
-def _normal(terms: list[str], stemmed: bool) -> list[str]:
-    return sorted({stem(t.lower()) if stemmed else t.lower() for t in terms})
+def query_terms(text: str, stemmed: bool) -> list[str]:
+    """The terms of a query word, folded and cut like those of a document."""
+    bare = "".join(c for c in text.translate(dict(zip(map(ord, ACCENTED), BASE))) if unicodedata.category(c) != "Mn").lower()
+    found = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split()
+    return [stem(t) for t in found] if stemmed else found
+
+
+def _words(texts: list[str], stemmed: bool) -> tuple[list[str], list[list[str]]]:
+    """(single terms, words that are cut into several terms and so stand for a phrase)."""
+    cut = [query_terms(t, stemmed) for t in texts]
+    return sorted({c[0] for c in cut if len(c) == 1}), [c for c in cut if len(c) > 1]
 
 
 def search(index: DataFrame, lengths: DataFrame, terms: list[str], project: str | None = None, stemmed: bool = True) -> DataFrame:
-    """Documents with all terms, best BM25 first. Rarity and mean length are over all projects; the project filters hits."""
-    wanted = _normal(terms, stemmed)
+    """Documents with all terms, best BM25 first. Rarity and mean length are over all projects; the project filters hits.
+
+    A word that is cut into several terms, as "it's" is, must occur as that phrase and scores by its terms.
+    """
+    single, phrases = _words(terms, stemmed)
+    wanted = sorted({*single, *[t for p in phrases for t in p]})
     hits = index.filter(F.col("term").isin(wanted))
     rarity = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs = lengths.select(F.count(F.lit(1)).alias("n")).scalar()
@@ -74,7 +95,10 @@ def search(index: DataFrame, lengths: DataFrame, terms: list[str], project: str
     tf = F.col("tf")
     part = F.col("idf") * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * F.col("length") / F.col("_mean")))
     found = scored.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_matched"), F.sum(part).alias("score"))
-    return found.filter(F.col("_matched") == len(wanted)).select(*KEYS, "score").orderBy(F.desc("score"), *KEYS)
+    found = found.filter(F.col("_matched") == len(wanted))
+    for phrase in phrases:
+        found = found.join(_phrase(index, phrase), KEYS, "left_semi")
+    return found.select(*KEYS, "score").orderBy(F.desc("score"), *KEYS)
 
 
 def boolean_search(
@@ -85,16 +109,26 @@ def boolean_search(
     prefix: str | None = None,
     stemmed: bool = True,
 ) -> DataFrame:
-    """Documents (keys) that satisfy every given condition."""
+    """Documents (keys) that satisfy every given condition. A word cut into several terms counts as that phrase."""
 
     def holding(condition: Column) -> DataFrame:
         return index.filter(condition).select(*KEYS).distinct()
 
+    def any_word(words: list[str]) -> DataFrame:
+        single, phrases = _words(words, stemmed)
+        found = holding(F.col("term").isin(single))
+        for more in phrases:
+            found = found.unionByName(_phrase(index, more))
+        return found.distinct() if phrases else found
+
     wanted: list[DataFrame] = []
     if any_of:
-        wanted.append(holding(F.col("term").isin(_normal(list(any_of), stemmed))))
+        wanted.append(any_word(list(any_of)))
     if prefix:
-        wanted.append(holding(F.col("term").startswith(prefix.lower())))
+        start = query_terms(prefix, stemmed=False)
+        if len(start) != 1:
+            raise ValueError("a prefix is the beginning of one term")
+        wanted.append(holding(F.col("term").startswith(start[0])))
     if phrase:
         wanted.append(phrase_search(index, list(phrase), stemmed))
     if not wanted:
@@ -103,13 +137,17 @@ def boolean_search(
     for more in wanted[1:]:
         found = found.join(more, KEYS, "left_semi")
     if none_of:
-        found = found.join(holding(F.col("term").isin(_normal(list(none_of), stemmed))), KEYS, "left_anti")
+        found = found.join(any_word(list(none_of)), KEYS, "left_anti")
     return found
 
 
 def phrase_search(index: DataFrame, phrase: list[str], stemmed: bool = True) -> DataFrame:
-    """Documents in which the words follow one another: positions shifted back by their place must meet."""
-    words = [stem(w.lower()) if stemmed else w.lower() for w in phrase]
+    """Documents in which the words follow one another."""
+    return _phrase(index, [t for w in phrase for t in query_terms(w, stemmed)])
+
+
+def _phrase(index: DataFrame, words: list[str]) -> DataFrame:
+    """Positions shifted back by their place in the phrase must meet."""
     slots = [(w, i) for i, w in enumerate(words)]
     places = F.array_compact(F.array(*[F.when(F.col("term") == w, F.lit(i)) for w, i in slots]))
     starts = (

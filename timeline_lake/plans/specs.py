@@ -36,6 +36,12 @@ SPEC_DDL = (
 )
 MERGED_PARTS = ("captions", "audio", "quality")
 RESOLUTIONS = ("720p", "1080p", "4k")
+# What these fields may say.
+CHOICES = {
+    "aspect_ratio": ("16:9", "9:16", "1:1", "4:5"),
+    "quality.codec": ("h264", "hevc"),
+}
+TRANSITIONS = ("crossfade",)
 HEX_COLOUR = "^#?([0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"
 
 
@@ -84,29 +90,57 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def parse_specs(documents: DataFrame, text: str = "spec_json") -> DataFrame:
-    """Add ``spec`` (typed) and ``problem``, the first required field that is missing or has the wrong type."""
-    raw = _once(documents, "_raw", F.from_json(text, _both_spellings(spec_schema())))
-    parsed = _once(raw, "spec", _settle(F.col("_raw"), spec_schema())).drop("_raw")
+    """Add ``spec`` (typed) and ``problem``: null, or the first thing that keeps the document from being decoded.
+
+    Checked in this order: the document is a JSON object; required fields, outside in; the values of enumerations; and
+    that no other field has a value of the wrong type.
+    """
+    kind = T.StructType([*_both_spellings(spec_schema()).fields, T.StructField("_corrupt_record", T.StringType())])
+    value = F.from_json(text, kind, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = _once(documents, "_raw", value)
+    shape = F.schema_of_variant(F.try_parse_json(text))
+    parsed = _once(raw, "spec", _settle(F.col("_raw"), spec_schema()))
+
+    def absent(of: Column, *fields: str) -> Column:
+        found = of.isNull()
+        for f in fields:
+            found = found | of[f].isNull()
+        return found
 
     def lacks(array: str, *fields: str) -> Column:
-        def missing(e: Column) -> Column:
-            found = e.isNull()
-            for f in fields:
-                found = found | e[f].isNull()
-            return found
+        return F.exists(F.col(f"spec.{array}"), lambda e: absent(e, *fields))
 
-        return F.exists(F.col(f"spec.{array}"), missing)
+    def part_lacks(array: str, part: str, *fields: str) -> Column:
+        """A part that is there lacks a field it must have."""
+        return F.exists(F.col(f"spec.{array}"), lambda e: e[part].isNotNull() & absent(e[part], *fields))
 
+    def frame_lacks(array: str) -> Column:
+        return F.exists(F.col(f"spec.{array}"), lambda e: F.coalesce(F.exists(e["keyframes"], lambda k: absent(k, "time")), F.lit(False)))
+
+    resolution = F.col("spec.resolution")
+    size = F.from_json(resolution, "width bigint, height bigint")
+    sized = resolution.startswith("{") & size["width"].isNotNull() & size["height"].isNotNull()
+    other = F.exists("spec.segments", lambda e: e["transition"].isNotNull() & ~e["transition"]["type"].isin(*TRANSITIONS))
     problem = (
-        F.when(F.col("spec").isNull(), F.lit("not a JSON object"))
+        F.when(~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.lit("not a JSON object"))
         .when(F.col("spec.sources").isNull(), F.lit("sources"))
         .when(F.col("spec.segments").isNull(), F.lit("segments"))
         .when(F.col("spec.output_path").isNull(), F.lit("output_path"))
         .when(lacks("sources", "id", "path"), F.lit("sources.id, path"))
         .when(lacks("segments", "source_id", "start", "end"), F.lit("segments.source_id, start, end"))
         .when(lacks("overlays", "start", "end", "x", "y", "width", "height"), F.lit("overlays.start, end, x, y, width, height"))
+        .when(part_lacks("segments", "transition", "type", "duration"), F.lit("segments.transition.type, duration"))
+        .when(frame_lacks("segments"), F.lit("segments.keyframes.time"))
+        .when(frame_lacks("overlays"), F.lit("overlays.keyframes.time"))
+        .when(part_lacks("overlays", "crop", "x", "y", "width", "height"), F.lit("overlays.crop.x, y, width, height"))
+        .when(F.col("spec.lut").isNotNull() & F.col("spec.lut.path").isNull(), F.lit("lut.path"))
+        .when(other, F.lit("segments.transition.type"))
     )
-    return parsed.withColumn("problem", problem)
+    for name, allowed in CHOICES.items():
+        problem = problem.when(~F.col(f"spec.{name}").isin(*allowed), F.lit(name))
+    problem = problem.when(resolution.isNotNull() & ~resolution.isin(*RESOLUTIONS) & ~F.coalesce(sized, F.lit(False)), F.lit("resolution"))
+    problem = problem.when(F.col("_raw._corrupt_record").isNotNull(), F.lit("a value of the wrong type"))
+    return parsed.withColumn("problem", problem).drop("_raw")
 
 
 def good_specs(parsed: DataFrame) -> DataFrame:

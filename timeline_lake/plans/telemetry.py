@@ -15,7 +15,6 @@ PAYLOAD = (
     "segment_count bigint, captions_applied boolean"
 )
 DURATION_BINS = 4.0  # blocks per second of frame time when ranking frames
-FOLD_LIMIT = 5_000  # requests of one user that are walked as one array
 
 
 def phase_profile(records: DataFrame) -> DataFrame:
@@ -73,93 +72,80 @@ def timing_rows(facts: DataFrame) -> DataFrame:
     return facts.filter(~F.col("bad")).select("render_id", F.explode("timing").alias("measure", "seconds"))
 
 
-def quota_decisions(requests: DataFrame, limit: float = FREE_MINUTES, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Accept or reject each metered request: uid, request_id, accepted, minutes.
-
-    Paying users are always accepted. A free user's request is accepted while the minutes accepted so far plus its own
-    stay within the limit; a rejected one costs nothing, so this is not a running sum. Users with few requests are
-    walked as one ordered array each; for the others see :func:`_decide_by_halving`. ``requests``: uid, tier,
-    request_id, ts, duration_seconds.
-    """
-    timed = requests.select("uid", "tier", "request_id", "ts", (F.col("duration_seconds") / 60.0).alias("minutes"))
-    paying = timed.filter(F.col("tier") != "free").select("uid", "request_id", F.lit(True).alias("accepted"), "minutes")
-    free = timed.filter(F.coalesce("tier", F.lit("free")) == "free")
-    # A request over the whole limit can never be accepted and would only lengthen the walk.
-    hopeless = free.filter(F.col("minutes") > limit).select("uid", "request_id", F.lit(False).alias("accepted"), "minutes")
-    open_ = free.filter(F.col("minutes") <= limit)
-    busy = open_.groupBy("uid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select("uid")
-    if busy.isEmpty():
-        return paying.unionByName(hopeless).unionByName(_decide_by_walking(open_, limit))
-    few = _decide_by_walking(open_.join(busy, "uid", "left_anti"), limit)
-    many = _decide_by_halving(open_.join(busy, "uid", "left_semi"), limit)
-    return paying.unionByName(hopeless).unionByName(few).unionByName(many)
-
-
-def _decide_by_walking(requests: DataFrame, limit: float) -> DataFrame:
-    listed = requests.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("ts", "request_id", "minutes"))).alias("_list"))
-    note = "array<struct<request_id:bigint,accepted:boolean,minutes:double>>"
-    begin = F.struct(F.lit(0.0).alias("used"), F.array().cast(note).alias("out"))
-
-    def step(state: Column, r: Column) -> Column:
-        fits = state["used"] + r["minutes"] <= limit
-        decided = F.struct(r["request_id"].cast("bigint").alias("request_id"), fits.alias("accepted"), r["minutes"].alias("minutes"))
-        return F.struct(
-            F.when(fits, state["used"] + r["minutes"]).otherwise(state["used"]).alias("used"),
-            F.concat(state["out"], F.array(decided)).alias("out"),
-        )
+def metered(requests: DataFrame) -> DataFrame:
+    """Requests with ``minutes`` as given and ``ms``, whole milliseconds; null for a duration that is missing, not finite or not positive."""
+    seconds = F.col("duration_seconds")
+    valid = seconds.isNotNull() & ~F.isnan(seconds) & (seconds > 0) & (seconds < float("inf"))
+    # Beyond any limit one length is as good as another, and a request costs at least one unit.
+    whole = F.greatest(F.round(F.least(seconds, F.lit(1e12)) * 1000).cast("long"), F.lit(1).cast("long"))
+    return requests.select(
+        "uid", F.coalesce("tier", F.lit("free")).alias("tier"), "request_id", "ts", (seconds / 60.0).alias("minutes"), F.when(valid, whole).alias("ms")
+    )
 
-    return listed.select("uid", F.inline(F.aggregate("_list", begin, step)["out"]))
 
+def quota_decisions(requests: DataFrame, limit: float = FREE_MINUTES, used: DataFrame | None = None, block_seconds: int = 3600) -> DataFrame:
+    """Accept or reject each metered request: uid, request_id, accepted, minutes, reason.
 
-def _decide_by_halving(requests: DataFrame, limit: float, block_seconds: int = 3600) -> DataFrame:
-    """The same decisions for users with very many requests, as a few distributed passes.
+    Requests without a usable duration are rejected (``missing_duration``), whoever asks. Paying users are accepted
+    otherwise. A free user's request is accepted while the time accepted so far plus its own stays within the limit; a
+    rejected one (``quota_exceeded``) costs nothing, so this is not a running sum. Time is counted in milliseconds.
 
-    With R minutes left, requests over R are lost for good and those up to R/2 fit for as long as the small ones taken
-    in this pass sum to no more than R/2. A pass therefore ends, per user, at the first request where the small ones
-    pass R/2 or a larger one still fits: all before it are decided, it is accepted, and less than R/2 is left. Each
-    pass halves R, so there are about log2(limit / shortest request) of them, over ever fewer requests.
+    It takes a few distributed passes. With R left, requests over R are lost for good and those up to R/2 fit for as long
+    as the small ones taken in this pass sum to no more than R/2. A pass therefore ends, per user, at the first request
+    where the small ones pass R/2 or a larger one still fits: all before it are decided, it is accepted, and less than
+    R/2 is left. So there are at most log2(limit in ms) = 23 passes, over ever fewer requests, and no user's requests
+    have to fit in one task. ``requests``: uid, tier, request_id, ts, duration_seconds; ``used`` (uid, used_ms): what
+    was accepted before.
     """
-    order = F.struct("ts", "request_id")
-    rest = cut_lineage(requests.select("uid", "request_id", "ts", "minutes", F.lit(limit).alias("left")))
-    decided: list[DataFrame] = []
+    timed = metered(requests)
+    columns = ["uid", "request_id", "accepted", "minutes", "reason"]
+    none = F.lit(None).cast("string")
+
+    def decided(rows: DataFrame, accepted: bool, reason: Column) -> DataFrame:
+        return rows.select("uid", "request_id", F.lit(accepted).alias("accepted"), "minutes", reason.alias("reason"))
+
+    parts = [
+        decided(timed.filter("ms is null"), False, F.lit("missing_duration")),
+        decided(timed.filter("ms is not null and tier <> 'free'"), True, none),
+    ]
+    left = F.lit(round(limit * 60_000)).cast("long")
+    free = timed.filter("ms is not null and tier = 'free'")
+    if used is not None:
+        free = free.join(used.select("uid", "used_ms"), "uid", "left")
+        left = left - F.coalesce("used_ms", F.lit(0))
+    rest = cut_lineage(free.select("uid", "request_id", "ts", "minutes", "ms", left.alias("left")))
     while not rest.isEmpty():
-        lost = rest.filter(F.col("minutes") > F.col("left")).select("uid", "request_id", F.lit(False).alias("accepted"), "minutes")
-        able = rest.filter(F.col("minutes") <= F.col("left")).withColumn("_order", order)
-        small = F.when(F.col("minutes") <= F.col("left") / 2, F.col("minutes")).otherwise(F.lit(0.0))
+        parts.append(decided(rest.filter("ms > left"), False, F.lit("quota_exceeded")))
+        able = rest.filter("ms <= left").withColumn("_order", F.struct("ts", "request_id"))
+        is_small = F.col("ms") * 2 <= F.col("left")
         block = F.floor(F.unix_timestamp("ts") / block_seconds).cast("long")
-        summed = running_sums(able, ["uid"], "_order", {"_taken": small}, block)
-        is_small = F.col("minutes") <= F.col("left") / 2
-        turning = F.when(is_small, F.col("_taken") + F.col("minutes") > F.col("left") / 2).otherwise(
-            F.col("_taken") + F.col("minutes") <= F.col("left")
-        )
-        marked = cut_lineage(summed.withColumn("_turn", turning))
-        ends = marked.filter("_turn").groupBy("uid").agg(
-            F.min("_order").alias("_end"), F.min_by(F.col("_taken") + F.col("minutes"), "_order").alias("_spent")
-        )
-        joined = marked.join(ends, "uid", "left")
-        before = F.col("_end").isNull() | (F.col("_order") < F.col("_end"))
-        at_end = F.col("_order") == F.col("_end")
-        done = joined.filter(before | at_end).select(
-            "uid", "request_id", (F.coalesce(at_end, F.lit(False)) | is_small).alias("accepted"), "minutes"
-        )
-        decided += [lost, cut_lineage(done)]
-        rest = cut_lineage(
-            joined.filter(F.col("_order") > F.col("_end")).select(
-                "uid", "request_id", "ts", "minutes", (F.col("left") - F.col("_spent")).alias("left")
+        summed = running_sums(able, ["uid"], "_order", {"_taken": F.when(is_small, F.col("ms")).otherwise(F.lit(0))}, block)
+        spent = F.col("_taken") + F.col("ms")
+        marked = summed.withColumn("_turn", F.when(is_small, spent * 2 > F.col("left")).otherwise(spent <= F.col("left")))
+        ends = marked.filter("_turn").groupBy("uid").agg(F.min("_order").alias("_end"), F.min_by(spent, "_order").alias("_spent"))
+        after = F.coalesce(F.col("_order") > F.col("_end"), F.lit(False))
+        passed = cut_lineage(
+            marked.join(ends, "uid", "left").select(
+                "uid", "request_id", "ts", "minutes", "ms", F.when(after, F.col("left") - F.col("_spent")).alias("left"),
+                (is_small | F.coalesce(F.col("_order") == F.col("_end"), F.lit(False))).alias("accepted"),
             )
         )
-    result = decided[0]
-    for more in decided[1:]:
+        parts.append(
+            passed.filter("left is null").select("uid", "request_id", "accepted", "minutes", F.when(~F.col("accepted"), F.lit("quota_exceeded")).alias("reason"))
+        )
+        rest = passed.filter("left is not null").drop("accepted")
+    result = parts[0]
+    for more in parts[1:]:
         result = result.unionByName(more)
-    return result
+    return result.select(*columns)
 
 
 def usage_rollup(decisions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per user: minutes used, last accepted request, rejected count."""
+    """Per user: minutes used (added up in milliseconds), last accepted request, rejected count."""
     timed = decisions.join(requests.select("uid", "request_id", "ts"), ["uid", "request_id"])
     took = F.col("accepted")
     return timed.groupBy("uid").agg(
-        F.sum(F.when(took, F.col("minutes")).otherwise(F.lit(0.0))).alias("minutes_used"),
+        (F.sum(F.when(took, F.round(F.col("minutes") * 60_000).cast("long")).otherwise(F.lit(0))) / 60_000.0).alias("minutes_used"),
         F.max(F.when(took, F.col("ts"))).alias("last_use"),
         F.count_if(~took).alias("rejected"),
     )

@@ -252,19 +252,21 @@ def caption_drift(layout: DataFrame, segments: DataFrame, rows: int = BLOCK_ROWS
 def cross_cut_overlays(layout: DataFrame, source_lengths: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Cross-cuts as full-frame overlays: shown from their fade-in before the seam, faded out by the next speaker's fade.
 
-    ``source_lengths``: source_id, source_length. An overlay ends with its source; one with nothing left is dropped.
+    ``source_lengths``: source_id, source_length. An overlay ends with its source; one with nothing left is dropped. A cut
+    of a source that is not listed comes back without a span and with a ``problem``.
     """
     returning = F.when(~F.col("cross_cut"), F.col("fade_in"))
     followed = next_known(layout, SPEC, "seg_index", {"_next": returning}, block_of("seg_index", rows))
-    cuts = followed.filter("cross_cut").join(source_lengths, "source_id")
+    cuts = followed.filter("cross_cut").join(source_lengths, "source_id", "left")
+    known = F.col("source_length").isNotNull()
     left = F.col("source_length") - F.col("source_start")
     shown = F.col("comp_start") - F.least("fade_in", "length")
     return (
-        cuts.withColumn("shown_for", F.least("length", left))
-        .filter(F.col("shown_for") > 0)
+        cuts.withColumn("shown_for", F.when(known, F.least("length", left)))
+        .filter((F.col("shown_for") > 0) | ~known)
         .select(
-            *SPEC, "seg_index", "source_id", shown.alias("overlay_start"), (shown + F.col("shown_for")).alias("overlay_end"),
-            "fade_in", F.coalesce("_next", F.lit(0.0)).alias("fade_out"),
+            *SPEC, "seg_index", "source_id", F.when(known, shown).alias("overlay_start"), (shown + F.col("shown_for")).alias("overlay_end"),
+            "fade_in", F.coalesce("_next", F.lit(0.0)).alias("fade_out"), F.when(~known, F.lit("unknown source")).alias("problem"),
         )
     )
 

@@ -16,10 +16,8 @@ TURNS_PER_BLOCK = 1 << 14
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One that lies in fewer splits than there are cores is spread; a large one is read as it lies."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _tokens(text: Column) -> Column:
@@ -266,17 +264,27 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def usage(spark: SparkSession, folder: str) -> DataFrame:
-    """Metered requests; every third user pays. Minutes are multiples of 1/4, so sums are exact."""
-    return table(spark, folder, "events").select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("uid"),
-        F.when(F.pmod("user_id", F.lit(3)) == 0, F.lit("pro")).otherwise(F.lit("free")).alias("tier"),
+def usage_of(events: DataFrame) -> DataFrame:
+    """Metered requests of events: tenths of a minute, every third user pays, user 1 makes a third of all requests.
+
+    Some durations are missing, negative, zero or not a number.
+    """
+    user = F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit(1)).otherwise(F.col("user_id"))
+    spoilt = F.pmod("event_id", F.lit(97))
+    tenths = (F.floor(F.col("value") / 2.0) + 1) * 6.0
+    return events.select(
+        F.concat(F.lit("u"), user).alias("uid"),
+        F.when(F.pmod(user, F.lit(3)) == 0, F.lit("pro")).otherwise(F.lit("free")).alias("tier"),
         F.col("event_id").alias("request_id"),
         "ts",
-        ((F.floor(F.col("value") / 4.0) + 1) * 15.0).alias("duration_seconds"),
+        F.when(spoilt == 2, -tenths).when(spoilt == 3, F.lit(0.0)).when(spoilt == 4, F.lit(float("nan"))).when(spoilt != 1, tenths).alias("duration_seconds"),
     )
 
 
+def usage(spark: SparkSession, folder: str) -> DataFrame:
+    return usage_of(table(spark, folder, "events"))
+
+
 def specs(spark: SparkSession, folder: str) -> DataFrame:
     """Render specs as JSON documents, one per order: key, default_project, spec_json.
 

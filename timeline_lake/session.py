@@ -32,7 +32,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's own setting, or a local one when none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
         folder = os.path.join(tempfile.gettempdir(), f"timeline-lake-{spark.sparkContext.applicationId}")
     return folder

@@ -83,7 +83,7 @@ def sidecar_owner(path: ColumnOrName, suffix: str) -> tuple[Column, Column]:
 def words_sidecars(documents: DataFrame) -> DataFrame:
     """`<project>/<source>.words.json` arrays as rows; a word's index is its position. Malformed files give no rows."""
     project, source = sidecar_owner("path", ".words.json")
-    parsed = documents.select(project.alias("project_slug"), source.alias("source_slug"), F.from_json("text", WORD_SCHEMA).alias("_a"))
+    parsed = documents.select(project.alias("project_slug"), source.alias("source_slug"), _whole_list(WORD_SCHEMA, "word", "start", "end").alias("_a"))
     rows = parsed.select("project_slug", "source_slug", F.posexplode("_a").alias("word_index", "_w"))
     return rows.select(
         "project_slug", "source_slug", F.col("word_index").cast("long").alias("word_index"), "_w.word",
@@ -91,9 +91,23 @@ def words_sidecars(documents: DataFrame) -> DataFrame:
     )
 
 
+def _whole_list(schema: str, *required: str) -> Column:
+    """The elements of a JSON array, or null if one of them lacks a field or has a value of the wrong type."""
+    listed = F.from_json("text", schema, {"mode": "PERMISSIVE"})
+
+    def spoilt(e: Column) -> Column:
+        bad = e.isNull()
+        for name in required:
+            bad = bad | e[name].isNull()
+        return bad
+
+    return F.when(~F.coalesce(F.exists(listed, spoilt), F.lit(True)), listed)
+
+
 def scenes_sidecars(documents: DataFrame) -> DataFrame:
+    """`<project>/<source>.scenes.json` arrays as rows. Files with a spoilt element give no rows."""
     project, source = sidecar_owner("path", ".scenes.json")
-    parsed = documents.select(project.alias("project_slug"), source.alias("source_slug"), F.from_json("text", SCENE_SCHEMA).alias("_a"))
+    parsed = documents.select(project.alias("project_slug"), source.alias("source_slug"), _whole_list(SCENE_SCHEMA, "scene_index", "start_time", "end_time").alias("_a"))
     return parsed.select("project_slug", "source_slug", F.inline("_a"))
 
 

@@ -1,35 +1,37 @@
-"""Metered requests as a stream, with the minutes used so far as state per user."""
+"""Metered requests as a stream, with the time used so far as a table per user."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from timeline_lake.plans.telemetry import FREE_MINUTES
+from timeline_lake.plans import telemetry
+from timeline_lake.streaming.runs import run_batches
+
+DECISION = "uid string, request_id bigint, accepted boolean, minutes double, reason string"
+SPENT = "uid string, ms bigint, batch bigint"
+
+
+def follow(requests: DataFrame, folder: str, checkpoint: str, limit: float = telemetry.FREE_MINUTES) -> None:
+    """Decide what is available, then stop. ``requests``: uid, tier, request_id, ts, duration_seconds.
 
-DECISION = "uid string, request_id bigint, accepted boolean, minutes double"
+    Micro-batches must be in time order. Each is decided like a batch, given what earlier ones accepted, and adds its
+    decisions and what they cost under its own number; nothing is kept per user in one process.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], SPENT).write.mode("append").partitionBy("batch").parquet(f"{folder}/spent")
 
+    def apply(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(SPENT).parquet(f"{folder}/spent").filter(F.col("batch") < number)
+        used = before.groupBy("uid").agg(F.sum("ms").alias("used_ms"))
+        # Writing to the batch's own folder makes a repeated batch harmless.
+        telemetry.quota_decisions(batch, limit, used).write.mode("overwrite").parquet(f"{folder}/decisions/batch={number}")
+        made = spark.read.schema(DECISION).parquet(f"{folder}/decisions/batch={number}").filter("accepted")
+        cost = telemetry.metered(batch).filter("tier = 'free'").join(made, ["uid", "request_id"], "left_semi")
+        cost.groupBy("uid").agg(F.sum("ms").alias("ms")).write.mode("overwrite").parquet(f"{folder}/spent/batch={number}")
 
-def decide(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Decide one user's requests of a micro-batch in time order; only the minutes used are kept between batches."""
-    used = state.get[0] if state.exists else 0.0
-    requests = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-    accepted = []
-    for tier, minutes in zip(requests["tier"], requests["minutes"]):
-        fits = tier != "free" or used + minutes <= FREE_MINUTES
-        used += minutes if fits else 0.0
-        accepted.append(fits)
-    state.update((used,))
-    yield pd.DataFrame({"uid": key[0], "request_id": requests["request_id"], "accepted": accepted, "minutes": requests["minutes"]})
+    run_batches(requests, apply, checkpoint)
 
 
-def quota_decisions(requests: DataFrame) -> DataFrame:
-    """`requests`: uid, tier, request_id, ts, duration_seconds. Micro-batches must be in time order."""
-    timed = requests.select(
-        "uid", F.coalesce("tier", F.lit("free")).alias("tier"), "request_id", "ts", (F.col("duration_seconds") / 60.0).alias("minutes")
-    )
-    return timed.groupBy("uid").applyInPandasWithState(decide, DECISION, "used double", "append", GroupStateTimeout.NoTimeout)
+def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(DECISION).parquet(f"{folder}/decisions").drop("batch")
