@@ -13,6 +13,7 @@ from timeline_lake.plans import views as V
 from timeline_lake.sources import documents as D
 from timeline_lake.sources import presets as P
 from timeline_lake.sources import tables as S
+from timeline_lake.streaming import runs
 
 
 def _number(column: str) -> Column:
@@ -25,6 +26,40 @@ def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
     return S.decode(raw).select(*ASSET_KEY, "duration_seconds", "has_audio", F.array_join("tags", "|").alias("tags"))
 
 
+def scan_warehouse(spark: SparkSession, folder: str) -> DataFrame:
+    """All eight tables written as they are stored, range-partitioned by key, and read through their declared schemas."""
+    words = V.words(spark, folder).select(*SOURCE_KEY, "word_index", "word", "start_time", "end_time", "confidence")
+    renders = V.renders(spark, folder).withColumn("spec_json", F.concat(F.lit('{"of":"'), "slug", F.lit('"}')))
+    old = F.lit("2024-01-01").cast("timestamp")
+    stored = {
+        "projects": V.projects(spark, folder).withColumn("tags_json", F.when(_number("slug") % 3 > 0, F.concat(F.lit('["t'), _number("slug"), F.lit('"]')))),
+        "assets": V.assets(spark, folder).withColumn("has_audio", F.when(_number("slug") % 10 > 0, F.col("has_audio").cast("int"))),
+        "transcripts": words.groupBy(*SOURCE_KEY).agg(F.count(F.lit(1)).cast("int").alias("word_count"), F.max("end_time").alias("duration_seconds")).withColumns(
+            {"source_path": F.concat(F.lit("/media/"), "source_slug"), "language": F.lit("en"), "mode": F.lit("words"), "full_text": F.lit(""), "created": old}),
+        "transcript_words": words,
+        "analyses": words.select(*SOURCE_KEY).distinct().withColumns(
+            {"source_path": F.concat(F.lit("/media/"), "source_slug"), "status": F.lit("new"), "sample_fps": F.lit(1.0), "frame_count": F.lit(0), "scene_count": F.lit(0),
+             "duration_seconds": F.lit(0.0), "frames_dir": F.concat(F.lit("/frames/"), "source_slug"), "created": old}),
+        "scenes": V.turns(spark, folder).withColumns({"description": F.lit("turn"), "tags_json": F.lit("broken"), "scene_type": F.lit(None).cast("string")}),
+        "renders": renders,
+        "presets": _presets(spark, folder),
+    }
+    shown = {
+        "projects": ["slug", "name", F.array_join("tags", "|")], "assets": ["slug", "has_audio", F.array_join("tags", "|")], "transcripts": [*SOURCE_KEY, "word_count"],
+        "transcript_words": [*SOURCE_KEY, "word_index", "word"], "analyses": [*SOURCE_KEY, "frames_dir"], "scenes": [*SOURCE_KEY, "scene_index", F.coalesce(F.array_join("tags", "|"), F.lit("none"))],
+        "renders": ["slug", F.array_join("sources", "|"), "spec_json"], "presets": ["name", "config_json"],
+    }
+    keys = {"projects": ["slug"], "assets": ASSET_KEY, "renders": ASSET_KEY, "presets": ["name"], "transcript_words": [*SOURCE_KEY, "word_index"], "scenes": [*SOURCE_KEY, "scene_index"]}
+    path = runs.work_folder(spark, "warehouse")
+    result = None
+    for name, df in stored.items():
+        columns = [c.split()[0] for c in S.SCHEMAS[name].split(", ")]
+        S.write_table(df.select(*[F.col(c).cast(S.column_type(name, c)) for c in columns]), path, name, keys.get(name, SOURCE_KEY))
+        rows = S.read_table(spark, path, name).select(F.lit(name).alias("table_name"), F.concat_ws("/", *shown[name]).alias("shown"))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 def _project_files(spark: SparkSession, folder: str) -> DataFrame:
     """Project documents as (path, text): some unclosed, some without a header, quoted and folded values, tag lists."""
     k = F.col("c_custkey")
@@ -142,9 +177,11 @@ def transcript_markdown_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_sink(spark: SparkSession, folder: str) -> DataFrame:
-    rows = D.json_rows(V.renders(spark, folder).select("project_slug", "slug", "duration_seconds", "file_size_bytes"))
-    back = F.from_json("json", "project_slug string, slug string, duration_seconds double, file_size_bytes bigint")
-    return rows.select(back.alias("_r")).select("_r.*")
+    """Rows written as JSON files and read back."""
+    path = runs.work_folder(spark, "json")
+    rows = V.renders(spark, folder).select("project_slug", "slug", "duration_seconds", "file_size_bytes")
+    D.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
 
 
 def preset_seed(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +200,7 @@ def stt_chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_tables, front_matter_scan, json_sidecar_scan, insert_or_ignore, stt_response_ingest, stt_response_text, render_body_split, transcript_markdown,
+        scan_tables, scan_warehouse, front_matter_scan, json_sidecar_scan, insert_or_ignore, stt_response_ingest, stt_response_text, render_body_split, transcript_markdown,
         transcript_markdown_parse, render_markdown, json_sink, preset_seed, frame_sample_plan, stt_chunk_plan,
     )
 }
@@ -187,6 +224,15 @@ _SEEDS = ", ".join(
 ORACLES = {
     "scan_tables": with_(ASSETS) + """ SELECT project_slug, slug, duration_seconds, CASE WHEN p_partkey % 10 = 0 THEN true ELSE has_audio END AS has_audio,
   CASE WHEN p_partkey % 7 <> 0 THEN array_to_string(from_json(tags_json, '["VARCHAR"]'), '|') END AS tags FROM assets""",
+    "scan_warehouse": with_(WORDS, ASSETS, PROJECTS, RENDERS) + """, sources AS (SELECT DISTINCT project_slug, source_slug FROM words)
+SELECT 'projects' AS table_name, concat_ws('/', slug, name, CASE WHEN substr(slug, 2)::BIGINT % 3 > 0 THEN 't' || substr(slug, 2) END) AS shown FROM projects
+UNION ALL SELECT 'assets', concat_ws('/', slug, CASE WHEN p_partkey % 10 = 0 OR has_audio THEN 'true' ELSE 'false' END, replace(replace(replace(replace(tags_json, '["', ''), '"]', ''), '","', '|'), '"', '')) FROM assets
+UNION ALL SELECT 'transcripts', concat_ws('/', project_slug, source_slug, COUNT(*)) FROM words GROUP BY project_slug, source_slug
+UNION ALL SELECT 'transcript_words', concat_ws('/', project_slug, source_slug, word_index, word) FROM words
+UNION ALL SELECT 'analyses', concat_ws('/', project_slug, source_slug, '/frames/' || source_slug) FROM sources
+UNION ALL SELECT 'scenes', concat_ws('/', project_slug, source_slug, turn, 'none') FROM (SELECT DISTINCT project_slug, source_slug, turn FROM words)
+UNION ALL SELECT 'renders', concat_ws('/', slug, 'c' || (substr(slug, 2)::BIGINT % 100) || '|c' || ((substr(slug, 2)::BIGINT * 7) % 100), '{"of":"' || slug || '"}') FROM renders
+UNION ALL SELECT 'presets', lower(p_brand) || '-' || lower(p_type) || '/{"wordsPerGroup":' || MAX(p_size) || '}' FROM part GROUP BY lower(p_brand) || '-' || lower(p_type)""",
     "front_matter_scan": """SELECT '/data/projects/p' || c_custkey || '/project.md' AS path, 'p' || c_custkey AS slug, c_name AS name,
   CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'say "' || c_mktsegment || '" twice' WHEN 2 THEN 'it''s ' || c_mktsegment ELSE c_mktsegment END AS description,
   CASE WHEN c_custkey % 9 <> 5 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || '|n ' || c_custkey END AS tags,

@@ -114,24 +114,23 @@ def parent_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return K.parent_rollup(analyses, saved, K.children_of(scenes, saved, SOURCE_KEY), SOURCE_KEY)
 
 
-def _cascade(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the projects goes, and with them assets, renders, transcripts with words and analyses with scenes."""
     tables = {
-        "projects": V.projects(spark, folder), "renders": V.renders(spark, folder), "transcripts": _transcripts(spark, folder), "words": _word_table(spark, folder),
+        "projects": V.projects(spark, folder), "assets": _assets(spark, folder), "renders": V.renders(spark, folder), "transcripts": _transcripts(spark, folder),
+        "words": _word_table(spark, folder), "analyses": _analyses(spark, folder), "scenes": V.turns(spark, folder),
     }
     links = {
-        "renders": ("projects", {"project_slug": "slug"}), "transcripts": ("projects", {"project_slug": "slug"}),
-        "words": ("transcripts", {"project_slug": "project_slug"}),
+        **{child: ("projects", {"project_slug": "slug"}) for child in ("assets", "renders", "transcripts", "analyses")},
+        "words": ("transcripts", {"project_slug": "project_slug"}), "scenes": ("analyses", {"project_slug": "project_slug"}),
     }
     doomed = tables["projects"].filter(F.pmod(_number("slug"), F.lit(4)) == 1).select("slug")
-    return K.cascade_delete(tables, links, "projects", doomed)
-
-
-def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
-    left = _cascade(spark, folder)
-    counted = [df.groupBy().agg(F.count(F.lit(1)).alias("n_left")).withColumn("table_name", F.lit(name)) for name, df in left.items()]
-    result = counted[0]
-    for more in counted[1:]:
-        result = result.unionByName(more)
+    left = K.cascade_delete(tables, links, "projects", doomed)
+    keys = {"projects": ["slug"], "assets": ASSET_KEY, "renders": ASSET_KEY, "transcripts": SOURCE_KEY, "words": [*SOURCE_KEY, "word_index"], "analyses": SOURCE_KEY, "scenes": [*SOURCE_KEY, "scene_index"]}
+    result = None
+    for name, df in left.items():
+        rows = df.select(F.lit(name).alias("table_name"), F.concat_ws("/", *keys[name]).alias("key"))
+        result = rows if result is None else result.unionByName(rows)
     return result
 
 
@@ -325,9 +324,12 @@ UNION ALL SELECT project_slug, source_slug, row_number() OVER (PARTITION BY proj
     "parent_rollup": with_(WORDS, _ANALYSES) + """, sc AS (SELECT project_slug, source_slug, COUNT(DISTINCT turn) AS n, MAX(end_time) AS e FROM words WHERE substr(source_slug, 2)::BIGINT % 4 <> 0 GROUP BY ALL)
 SELECT * EXCLUDE (k, n, e) REPLACE (CASE WHEN k % 6 <> 5 THEN 'analyzed' ELSE status END AS status, CASE WHEN k % 6 <> 5 THEN COALESCE(n, 0) ELSE scene_count END AS scene_count,
   CASE WHEN k % 6 <> 5 THEN greatest(duration_seconds, COALESCE(e, 0)) ELSE duration_seconds END AS duration_seconds) FROM analyses LEFT JOIN sc USING (project_slug, source_slug)""",
-    "cascade_delete": with_(WORDS, PROJECTS, RENDERS, _TRANSCRIPTS) + """, doomed AS (SELECT slug FROM projects WHERE substr(slug, 2)::BIGINT % 4 = 1)
-SELECT 'projects' AS table_name, COUNT(*) AS n_left FROM projects WHERE slug NOT IN (FROM doomed) UNION ALL SELECT 'renders', COUNT(*) FROM renders WHERE project_slug NOT IN (FROM doomed)
-UNION ALL SELECT 'transcripts', COUNT(*) FROM transcripts WHERE project_slug NOT IN (FROM doomed) UNION ALL SELECT 'words', COUNT(*) FROM words WHERE project_slug NOT IN (FROM doomed)""",
+    "cascade_delete": with_(WORDS, PROJECTS, ASSETS, RENDERS) + """, doomed AS (SELECT slug FROM projects WHERE substr(slug, 2)::BIGINT % 4 = 1), sources AS (SELECT DISTINCT project_slug, source_slug FROM words)
+SELECT 'projects' AS table_name, slug AS key FROM projects WHERE slug NOT IN (FROM doomed)
+UNION ALL SELECT 'assets', project_slug || '/' || slug FROM assets WHERE project_slug NOT IN (FROM doomed) UNION ALL SELECT 'renders', project_slug || '/' || slug FROM renders WHERE project_slug NOT IN (FROM doomed)
+UNION ALL SELECT t, project_slug || '/' || source_slug FROM sources, (VALUES ('transcripts'), ('analyses')) v(t) WHERE project_slug NOT IN (FROM doomed)
+UNION ALL SELECT 'words', project_slug || '/' || source_slug || '/' || word_index FROM words WHERE project_slug NOT IN (FROM doomed)
+UNION ALL SELECT 'scenes', project_slug || '/' || source_slug || '/' || turn FROM (SELECT DISTINCT project_slug, source_slug, turn FROM words) WHERE project_slug NOT IN (FROM doomed)""",
     "deletion_report": with_(PROJECTS) + """ SELECT 'p' || (s_suppkey * 20) AS slug, 'p' || (s_suppkey * 20) IN (SELECT slug FROM projects) AS deleted FROM supplier""",
     "archive_projects": with_(PROJECTS) + f""" SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'archived' ELSE status END AS status, CASE WHEN hit THEN {_NOW} ELSE updated END AS updated) FROM (SELECT slug, name, status, description, created, updated FROM projects),
   LATERAL (SELECT slug IN (SELECT 'p' || (s_suppkey * 20) FROM supplier) AS hit)""",

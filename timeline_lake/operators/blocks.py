@@ -77,8 +77,12 @@ def running(
     values: dict[str, Column],
     block: Column,
     agg: Callable[[Column], Column] = F.sum,
+    keep_slot: bool = False,
 ) -> DataFrame:
-    """Add one column per entry of ``values``: ``agg`` (sum, max, min) over the key's earlier rows; null if there are none."""
+    """Add one column per entry of ``values``: ``agg`` (sum, max, min) over the key's earlier rows; null if there are none.
+
+    With ``keep_slot`` the column the rows are dealt by stays, so that a later window within it needs no exchange.
+    """
     blocked = _slotted(df, keys, block)
     totals = blocked.groupBy(SLOT).agg(*[agg(c).alias(f"_t_{n}") for n, c in values.items()])
     earlier = _neighbours(keys, Window.unboundedPreceding, -1)
@@ -94,14 +98,14 @@ def running(
         else:
             both = (F.greatest if agg is F.max else F.least)(before, here)
         joined = joined.withColumn(name, F.coalesce(both, before, here))
-    return joined.drop(SLOT, *[f"_c_{n}" for n in values], *[f"_i_{n}" for n in values])
+    return joined.drop(*([] if keep_slot else [SLOT]), *[f"_c_{n}" for n in values], *[f"_i_{n}" for n in values])
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str | list[str], sums: dict[str, Column], block: Column
+    df: DataFrame, keys: list[str], order: str | list[str], sums: dict[str, Column], block: Column, keep_slot: bool = False
 ) -> DataFrame:
     """Totals over the key's earlier rows, this row not included; 0 for the first."""
-    summed = running(df, keys, order, sums, block)
+    summed = running(df, keys, order, sums, block, keep_slot=keep_slot)
     return summed.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in sums})
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeline_lake.operators.blocks import row_numbers, running_sums
+from timeline_lake.operators.blocks import SLOT, row_numbers, running_sums
 
 WORD_KEYS = ["project_slug", "source_slug"]
 TURNS_PER_BLOCK = 1 << 14
@@ -43,15 +43,15 @@ def _words_of_turns(turns: DataFrame) -> DataFrame:
     block = F.floor(F.col("turn") / F.lit(TURNS_PER_BLOCK)).cast("long")
     cost = F.transform("tokens", lambda w, i: _duration_ms(w) + _gap_ms(w, i, i == F.col("_n") - 1))
     costed = sized.withColumn("_ms", F.aggregate(cost, F.lit(0).cast("long"), lambda a, x: a + x))
-    timed = running_sums(costed, WORD_KEYS, "turn", {"_first": F.col("_n"), "_offset": F.col("_ms")}, block)
-    words = timed.select(*WORD_KEYS, "turn", "_first", "_n", "_offset", F.posexplode("tokens").alias("_pos", "word"))
+    timed = running_sums(costed, WORD_KEYS, "turn", {"_first": F.col("_n"), "_offset": F.col("_ms")}, block, keep_slot=True)
+    words = timed.select(SLOT, *WORD_KEYS, "turn", "_first", "_n", "_offset", F.posexplode("tokens").alias("_pos", "word"))
     words = words.withColumn("word_index", F.col("_first") + F.col("_pos"))
     words = words.withColumn("_dur", _duration_ms(F.col("word")))
     words = words.withColumn(
         "_step", F.col("_dur") + _gap_ms(F.col("word"), F.col("_pos"), F.col("_pos") == F.col("_n") - 1)
     )
-    # A turn is the text of one input row, so this window is bounded by a row.
-    inside = Window.partitionBy(*WORD_KEYS, "turn").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    # A turn is the text of one input row, so this window is bounded by a row; its words already lie together.
+    inside = Window.partitionBy(SLOT, "turn").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("_offset") + F.coalesce(F.sum("_step").over(inside), F.lit(0))
     confidence = F.pmod(F.col("word_index") * 37 + F.length("word") * 11, F.lit(100)) / F.lit(100.0)
     return words.withColumn("_at", at).select(

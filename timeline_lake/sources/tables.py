@@ -23,6 +23,10 @@ SCHEMAS = {
 LISTS = {"tags_json": "tags", "sources_json": "sources"}
 
 
+def column_type(table: str, column: str) -> str:
+    return dict(c.split() for c in SCHEMAS[table].split(", "))[column]
+
+
 def decode(raw: DataFrame) -> DataFrame:
     """JSON list columns as arrays (null when malformed), 0/1 flags as booleans (missing counts as true)."""
     out = raw
