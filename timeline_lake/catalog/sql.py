@@ -39,7 +39,7 @@ durations AS (SELECT project_slug, source_slug, MAX(end_time) AS duration_second
 SEGMENTS = """
 segments AS (SELECT l_orderkey AS spec_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) - 1 AS seg_index,
-  'c' || l_suppkey AS source_id, l_quantity - 1.0::DOUBLE AS start, l_quantity + l_partkey % 20 AS "end",
+  'c' || l_suppkey AS source_id, l_quantity - 1.0::DOUBLE + (l_partkey % 8) / 1024.0::DOUBLE AS start, l_quantity + (l_partkey % 8) / 1024.0::DOUBLE + l_partkey % 20 + (l_linenumber % 4) / 1024.0::DOUBLE AS "end",
   CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN 1.0::DOUBLE WHEN l_linenumber % 3 = 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS speed,
   CASE WHEN l_returnflag = 'R' OR l_partkey % 5 = 0 THEN 'crossfade' END AS transition_type,
   CASE WHEN l_returnflag = 'R' THEN 0.5::DOUBLE WHEN l_partkey % 5 = 0 THEN 1.5::DOUBLE END AS transition_duration,

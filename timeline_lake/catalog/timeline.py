@@ -11,6 +11,7 @@ from timeline_lake.plans import formats as M
 from timeline_lake.plans import overlays as O
 from timeline_lake.plans import timeline as L
 from timeline_lake.plans import views as V
+from timeline_lake.session import cut_lineage
 from timeline_lake.plans.transcripts import KEYS
 
 SPEC = ["spec_id"]
@@ -117,8 +118,16 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
     return O.overlay_windows(V.overlays(spark, folder), _source_lengths(spark, folder), 1920, 1080)
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return O.split_at_overlays(_plan(spark, folder), _windows(spark, folder), ["seg_index", "kind", "piece"])
+def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces of the timeline and what lies over them: overlays and cross-cuts. The layout is worked out once.
+
+    Cross-cuts of unknown sources, which cannot be rendered, are reported by `cross_cut_overlays`.
+    """
+    segments, lengths = V.segments(spark, folder), cut_lineage(_source_lengths(spark, folder))
+    layout = L.builder_timeline(segments)
+    windows = O.overlay_windows(V.overlays(spark, folder), lengths, 1920, 1080)
+    windows = cut_lineage(O.with_cross_cuts(windows, L.cross_cut_overlays(layout, lengths), 1920, 1080))
+    return O.split_at_overlays(L.timeline_plan(layout, _segment_times(segments)), windows, ["seg_index", "kind", "piece"]), windows
 
 
 def overlay_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,22 +135,22 @@ def overlay_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interval_split(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder)
+    return _split(spark, folder)[0]
 
 
 def _visible(spark: SparkSession, folder: str) -> DataFrame:
-    return O.overlays_in_pieces(_pieces(spark, folder), _windows(spark, folder))
+    return O.overlays_in_pieces(*_split(spark, folder))
 
 
 def interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return _visible(spark, folder).groupBy(*SPEC).agg(
-        F.count(F.lit(1)).alias("layers"), F.countDistinct("ov_index").alias("overlays_seen"), F.sum(_micro("piece_start")).alias("start_us")
+        F.count(F.lit(1)).alias("layers"), F.countDistinct("ov_index", "cross_cut").alias("overlays_seen"), F.sum(_micro("piece_start")).alias("start_us")
     )
 
 
 def fade_opacity(spark: SparkSession, folder: str) -> DataFrame:
     return O.fade_opacity(_visible(spark, folder)).select(
-        *SPEC, "seg_index", "kind", "piece", "ov_index", "piece_start",
+        *SPEC, "seg_index", "kind", "piece", "ov_index", "cross_cut", "piece_start",
         F.round(F.col("opacity_start") * 1e6).cast("long").alias("opacity_start_ppm"),
         F.round(F.col("opacity_end") * 1e6).cast("long").alias("opacity_end_ppm"),
     )
@@ -320,7 +329,7 @@ _ALL_CAPTIONS = """
 captions AS (SELECT spec_id, 0 AS part, seg_index AS element, word_index, word, new_start, new_end FROM multi
   UNION ALL SELECT spec_id, 1, ov_index, word_index, word, new_start, new_end FROM over_words)"""
 _BUILD = """
-ticks AS (SELECT *, round(("end" - start) * 600)::BIGINT AS l0 FROM rated),
+ticks AS (SELECT *, round("end" * 600)::BIGINT - round(start * 600)::BIGINT AS l0 FROM rated),
 ticked AS (SELECT *, CASE WHEN rate = 1.0 THEN l0 ELSE round(l0 / 600.0::DOUBLE / rate * 600)::BIGINT END AS l FROM ticks),
 steps AS (SELECT *, CASE WHEN seg_index > 0 AND fade IS NOT NULL THEN round(least(fade, l / 600.0::DOUBLE) * 600)::BIGINT ELSE 0 END AS p FROM ticked),
 walk AS (SELECT spec_id, seg_index, cc, l, p, 0::BIGINT AS t, false AS bridged, 0::BIGINT AS spk, 0::BIGINT AS track,
@@ -345,17 +354,22 @@ plan AS (SELECT spec_id, seg_index, 'crossfade' AS kind, 0 AS piece, comp_start
   UNION ALL SELECT spec_id, seg_index, 'plain', 0, start, "end" FROM plain WHERE seg_index % 4 <> 3
   UNION ALL SELECT * FROM (SELECT p.spec_id, p.seg_index, 'keyframed', piece, greatest(start, comp_start + a) AS s, least("end", comp_start + b) AS e FROM plain p JOIN stimes USING (spec_id, seg_index) WHERE b IS NOT NULL) WHERE e > s)"""
 _WINDOWS = """
-rated_ov AS (SELECT o.*, source_length - COALESCE(source_start, 0.0::DOUBLE) AS avail, least(greatest(COALESCE(speed, 1.0::DOUBLE), 0.25::DOUBLE), 4.0::DOUBLE) AS sp FROM overlays o LEFT JOIN source_lengths USING (source_id)),
-shown_ov AS (SELECT *, CASE WHEN source_id IS NOT NULL AND COALESCE(("end" - start) * sp > avail, false) THEN avail / sp ELSE "end" - start END AS d FROM rated_ov),
+rated_ov AS (SELECT o.* REPLACE (round(start * 600) / 600.0::DOUBLE AS start), (round("end" * 600)::BIGINT - round(start * 600)::BIGINT) / 600.0::DOUBLE AS span, source_length - round(COALESCE(source_start, 0.0::DOUBLE) * 600) / 600.0::DOUBLE AS avail, least(greatest(COALESCE(speed, 1.0::DOUBLE), 0.25::DOUBLE), 4.0::DOUBLE) AS sp FROM overlays o LEFT JOIN source_lengths USING (source_id)),
+shown_ov AS (SELECT *, CASE WHEN source_id IS NOT NULL AND COALESCE(span * sp > avail, false) THEN round(avail / sp * 600) / 600.0::DOUBLE ELSE span END AS d FROM rated_ov),
 windows AS (SELECT spec_id, ov_index, source_id, COALESCE(z_index, 0) AS z, start AS overlay_start, start + d AS overlay_end, CASE WHEN source_id IS NOT NULL THEN sp END AS rate,
   CASE WHEN source_id IS NOT NULL THEN d * sp END AS source_used, x * 1920 AS "left", y * 1080 AS top, width * 1920 AS target_width, height * 1080 AS target_height,
   COALESCE(opacity, 1.0::DOUBLE) AS opacity, COALESCE(fade_in, 0.0::DOUBLE) AS fade_in, COALESCE(fade_out, 0.0::DOUBLE) AS fade_out FROM shown_ov)"""
-_PIECES = """
-cuts AS (SELECT DISTINCT spec_id, unnest([overlay_start, overlay_end, CASE WHEN fade_in > 0 THEN overlay_start + fade_in END, CASE WHEN fade_out > 0 THEN overlay_end - fade_out END]) AS cut FROM windows),
+_FRAMES = """
+fx AS (SELECT *, first_value(CASE WHEN NOT cross_cut THEN fade_in END IGNORE NULLS) OVER (PARTITION BY spec_id ORDER BY seg_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nf FROM layout),
+fc AS (SELECT *, least(length, source_length - round(source_start * 600) / 600.0::DOUBLE) AS d, comp_start - round(least(fade_in, length) * 600) / 600.0::DOUBLE AS s FROM fx JOIN source_lengths USING (source_id) WHERE cross_cut),
+frames AS (SELECT spec_id, ov_index, overlay_start, overlay_end, opacity, fade_in, fade_out, false AS cross_cut FROM windows
+  UNION ALL SELECT spec_id, seg_index, s, s + d, 1.0, fade_in, COALESCE(nf, 0.0::DOUBLE), true FROM fc WHERE d > 0)"""
+_PIECES = _FRAMES + """,
+cuts AS (SELECT DISTINCT spec_id, unnest([overlay_start, overlay_end, CASE WHEN fade_in > 0 THEN overlay_start + fade_in END, CASE WHEN fade_out > 0 THEN overlay_end - fade_out END]) AS cut FROM frames),
 pts AS (SELECT spec_id, seg_index, kind, piece, start AS piece_start, "end" FROM plan UNION SELECT p.spec_id, seg_index, kind, piece, cut, "end" FROM plan p JOIN cuts c ON c.spec_id = p.spec_id AND cut > start AND cut < "end"),
 pieces AS (SELECT spec_id, seg_index, kind, piece, piece_start, COALESCE(lead(piece_start) OVER (PARTITION BY spec_id, seg_index, kind, piece ORDER BY piece_start), "end") AS piece_end FROM pts)"""
 _VISIBLE = """
-visible AS (SELECT * FROM pieces p JOIN windows w USING (spec_id) WHERE greatest(piece_start, overlay_start) < least(piece_end, overlay_end))"""
+visible AS (SELECT * FROM pieces p JOIN frames w USING (spec_id) WHERE greatest(piece_start, overlay_start) < least(piece_end, overlay_end))"""
 
 
 def _opacity(t: str) -> str:
@@ -434,17 +448,17 @@ ORACLES = {
     "cross_cut_overlays": with_(WORDS, _D, _BUILD, _LENGTHS)
     + """, nx AS (SELECT *, first_value(CASE WHEN NOT cross_cut THEN fade_in END IGNORE NULLS) OVER (PARTITION BY spec_id ORDER BY seg_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nf FROM layout),
 known AS (SELECT * FROM source_lengths WHERE CAST(substr(source_id, 2, 9) AS INT) % 7 <> 5),
-cutov AS (SELECT *, least(length, source_length - source_start) AS d, comp_start - least(fade_in, length) AS s FROM nx LEFT JOIN known USING (source_id) WHERE cross_cut)
+cutov AS (SELECT *, least(length, source_length - round(source_start * 600) / 600.0::DOUBLE) AS d, comp_start - round(least(fade_in, length) * 600) / 600.0::DOUBLE AS s FROM nx LEFT JOIN known USING (source_id) WHERE cross_cut)
 SELECT spec_id, seg_index, source_id, CASE WHEN source_length IS NOT NULL THEN s END AS overlay_start, CASE WHEN source_length IS NOT NULL THEN s + d END AS overlay_end, fade_in, COALESCE(nf, 0.0::DOUBLE) AS fade_out, CASE WHEN source_length IS NULL THEN 'unknown source' END AS problem
 FROM cutov WHERE d > 0 OR source_length IS NULL""",
     "overlay_windows": with_(WORDS, OVERLAYS, _LENGTHS, _WINDOWS) + " SELECT * FROM windows",
     "timeline_plan": with_(_D, _BUILD, _PLAN) + " SELECT * FROM plan",
     "interval_split": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES) + " SELECT * FROM pieces",
     "interval_overlap": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES, _VISIBLE)
-    + " SELECT spec_id, COUNT(*) AS layers, COUNT(DISTINCT ov_index) AS overlays_seen, SUM(round(piece_start * 1e6)::BIGINT)::BIGINT AS start_us FROM visible GROUP BY spec_id",
+    + " SELECT spec_id, COUNT(*) AS layers, COUNT(DISTINCT ov_index * 2 + cross_cut::INT) AS overlays_seen, SUM(round(piece_start * 1e6)::BIGINT)::BIGINT AS start_us FROM visible GROUP BY spec_id",
     "fade_opacity": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES, _VISIBLE)
     + f""", op AS (SELECT *, {_opacity('piece_start')} AS o1, {_opacity('piece_end')} AS o2 FROM visible)
-SELECT spec_id, seg_index, kind, piece, ov_index, piece_start, round(o1 * 1e6)::BIGINT AS opacity_start_ppm, CASE WHEN abs(o1 - o2) > 0.001 THEN round(o2 * 1e6)::BIGINT END AS opacity_end_ppm FROM op""",
+SELECT spec_id, seg_index, kind, piece, ov_index, cross_cut, piece_start, round(o1 * 1e6)::BIGINT AS opacity_start_ppm, CASE WHEN abs(o1 - o2) > 0.001 THEN round(o2 * 1e6)::BIGINT END AS opacity_end_ppm FROM op""",
     "keyframe_fill": with_(KEYFRAMES, _FILLED) + " SELECT * FROM filled",
     "keyframe_sample": with_(KEYFRAMES, _FILLED)
     + """, pts AS (SELECT track_id, keyframe_id AS sample_id, time + 1800.0::DOUBLE AS time FROM keyframes SEMI JOIN filled USING (track_id)),

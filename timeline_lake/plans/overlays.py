@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from timeline_lake.functions.numbers import clamp, even_floor, lerp
 from timeline_lake.operators.joins import bracket, overlapping_intervals, points_in_intervals
+from timeline_lake.plans.timeline import from_ticks, on_axis, to_ticks
 from timeline_lake.session import cut_lineage
 from timeline_lake.operators.blocks import last_known, next_known
 
@@ -23,23 +24,25 @@ SPLIT_BLOCK_SECONDS = 3600.0
 
 
 def overlay_windows(overlays: DataFrame, source_lengths: DataFrame, width: int, height: int) -> DataFrame:
-    """Overlays as placed: target rectangle in pixels, speed clamped, window cut when the source runs out.
+    """Overlays as placed: target rectangle in pixels, speed clamped, window cut when the source runs out, times on the
+    renderer's axis.
 
     Stacking order within a spec is (z, ov_index). ``source_lengths``: source_id, source_length.
     """
-    length = F.col("end") - F.col("start")
+    length = from_ticks(to_ticks(F.col("end")) - to_ticks(F.col("start")))
     speed = clamp(F.coalesce("speed", F.lit(1.0)), *SPEED_RANGE)
     known = overlays.join(source_lengths, "source_id", "left")
-    left = F.col("source_length") - F.coalesce("source_start", F.lit(0.0))
+    left = F.col("source_length") - on_axis(F.coalesce("source_start", F.lit(0.0)))
+    begin = on_axis(F.col("start"))
     short = F.col("source_id").isNotNull() & (length * speed > left)
-    shown = F.when(short, left / speed).otherwise(length)
+    shown = F.when(short, on_axis(left / speed)).otherwise(length)
     return known.select(
         *SPEC,
         "ov_index",
         "source_id",
         F.coalesce("z_index", F.lit(0)).alias("z"),
-        F.col("start").alias("overlay_start"),
-        (F.col("start") + shown).alias("overlay_end"),
+        begin.alias("overlay_start"),
+        (begin + shown).alias("overlay_end"),
         F.when(F.col("source_id").isNotNull(), speed).alias("rate"),
         F.when(F.col("source_id").isNotNull(), shown * speed).alias("source_used"),
         (F.col("x") * width).alias("left"),
@@ -52,6 +55,20 @@ def overlay_windows(overlays: DataFrame, source_lengths: DataFrame, width: int,
     )
 
 
+TOP = (1 << 31) - 1  # cross-cuts lie above all overlays
+
+
+def with_cross_cuts(windows: DataFrame, cuts: DataFrame, width: int, height: int) -> DataFrame:
+    """Windows of overlays and, above them, of cross-cuts as full frames; ``ov_index`` is then the segment's index."""
+    span = F.col("overlay_end") - F.col("overlay_start")
+    frames = cuts.filter(F.col("overlay_start").isNotNull()).select(
+        *SPEC, F.col("seg_index").alias("ov_index"), "source_id", F.lit(TOP).alias("z"), "overlay_start", "overlay_end", F.lit(1.0).alias("rate"), span.alias("source_used"),
+        F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(float(width)).alias("target_width"), F.lit(float(height)).alias("target_height"),
+        F.lit(1.0).alias("opacity"), "fade_in", "fade_out",
+    )
+    return windows.withColumn("cross_cut", F.lit(False)).unionByName(frames.withColumn("cross_cut", F.lit(True)))
+
+
 def split_at_overlays(ranges: DataFrame, windows: DataFrame, ids: list[str]) -> DataFrame:
     """Cut ranges (spec_id, ids, start, end) wherever an overlay starts, ends, is faded in or begins to fade out.
 

@@ -133,14 +133,19 @@ def caption_text(captions: DataFrame) -> DataFrame:
     return captions.groupBy(*SPEC, "part", "element").agg(text.alias("text"))
 
 
-def _ticks(seconds: Column) -> Column:
+def to_ticks(seconds: Column) -> Column:
     return F.round(seconds * TICKS_PER_SECOND).cast("long")
 
 
-def _seconds(ticks: Column) -> Column:
+def from_ticks(ticks: Column) -> Column:
     return ticks / F.lit(float(TICKS_PER_SECOND))
 
 
+def on_axis(seconds: Column) -> Column:
+    """The nearest instant of the renderer's axis."""
+    return from_ticks(to_ticks(seconds))
+
+
 def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Where the renderer puts every segment, in 1/600 s.
 
@@ -153,15 +158,15 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     transition, bridged, speaker_index, track, fade_in.
     """
     block = block_of("seg_index", rows)
-    length = _ticks(F.col("end") - F.col("start"))
+    length = to_ticks(F.col("end")) - to_ticks(F.col("start"))  # both ends lie on the axis
     rate = F.coalesce("speed", F.lit(1.0))
     laid = with_cross_cuts(segments, rows)
     laid = laid.select(
         *SPEC, "seg_index", "source_id", "start", "volume", "cross_cut",
-        F.when(rate == 1.0, length).otherwise(_ticks(_seconds(length) / rate)).alias("_len"),
+        F.when(rate == 1.0, length).otherwise(to_ticks(from_ticks(length) / rate)).alias("_len"),
         _crossfade().alias("_fade"),
     )
-    fade = _ticks(F.least("_fade", _seconds(F.col("_len"))))
+    fade = to_ticks(F.least("_fade", from_ticks(F.col("_len"))))
     fades = (F.col("seg_index") > 0) & F.col("_fade").isNotNull()  # least() would pass over a missing fade
     laid = cut_lineage(laid.withColumn("_pull", F.when(fades, fade).otherwise(F.lit(0))))
     least_step = F.when(F.col("cross_cut"), F.lit(0)).otherwise(F.col("_len") - F.col("_pull"))
@@ -190,9 +195,9 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         "source_id",
         F.col("start").alias("source_start"),
         "cross_cut",
-        _seconds(F.col("_t") - F.col("_transition")).alias("comp_start"),
-        _seconds(F.col("_len")).alias("length"),
-        _seconds(F.col("_transition")).alias("transition"),
+        from_ticks(F.col("_t") - F.col("_transition")).alias("comp_start"),
+        from_ticks(F.col("_len")).alias("length"),
+        from_ticks(F.col("_transition")).alias("transition"),
         "bridged",
         F.when(~F.col("cross_cut"), F.col("speaker_index")).alias("speaker_index"),
         F.when(~F.col("cross_cut"), F.col("_track")).alias("track"),
@@ -259,8 +264,8 @@ def cross_cut_overlays(layout: DataFrame, source_lengths: DataFrame, rows: int =
     followed = next_known(layout, SPEC, "seg_index", {"_next": returning}, block_of("seg_index", rows))
     cuts = followed.filter("cross_cut").join(source_lengths, "source_id", "left")
     known = F.col("source_length").isNotNull()
-    left = F.col("source_length") - F.col("source_start")
-    shown = F.col("comp_start") - F.least("fade_in", "length")
+    left = F.col("source_length") - on_axis(F.col("source_start"))
+    shown = F.col("comp_start") - on_axis(F.least("fade_in", "length"))
     return (
         cuts.withColumn("shown_for", F.when(known, F.least("length", left)))
         .filter((F.col("shown_for") > 0) | ~known)

@@ -104,14 +104,15 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     numbered = row_numbers(
         line.select("l_orderkey", *order), ["l_orderkey"], order, F.to_date("l_shipdate"), "seg_index"
     )
-    start = F.col("l_quantity") - 1.0
+    # Parts of 1/1024 s lie between the instants of the renderer's axis.
+    start = F.col("l_quantity") - 1.0 + F.pmod(F.col("l_partkey"), F.lit(8)) / F.lit(1024.0)
     part, ln = F.col("l_partkey"), F.col("l_linenumber")
     return numbered.select(
         F.col("l_orderkey").alias("spec_id"),
         F.col("seg_index").cast("long").alias("seg_index"),
         F.concat(F.lit("c"), F.col("l_suppkey")).alias("source_id"),
         start.alias("start"),
-        (start + 1.0 + F.pmod(part, F.lit(20))).alias("end"),
+        (start + 1.0 + F.pmod(part, F.lit(20)) + F.pmod(ln, F.lit(4)) / F.lit(1024.0)).alias("end"),
         F.when(F.pmod(part, F.lit(7)) == 0, F.lit(None).cast("double"))
         .when(F.pmod(ln, F.lit(3)) == 0, F.lit(1.0))
         .when(F.pmod(ln, F.lit(3)) == 1, F.lit(2.0))
