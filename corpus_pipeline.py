@@ -16,8 +16,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ranking_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the preference ranking, learned on those of ``docs`` that have labels, accepts."""
-    return quality_rank.keep_accepted(docs, quality_rank.fitted(spark, docs, sf_dir))
+    """Documents that the preference ranking accepts.
+
+    It is learned on the labelled ones of all given documents: those that the rules have left may show one label only.
+    """
+    return quality_rank.keep_accepted(docs, quality_rank.fitted(spark, given(spark, sf_dir, "documents"), sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
