@@ -25,6 +25,7 @@ from timeline_lake.llm.shared import given, new_folder, read_blobs, write_blobs
 from timeline_lake.session import cut_lineage
 
 REVISIT_BYTES = 1000
+LEVEL = 4  # of gzip
 CRAWL_DATE = "20000101000000"
 PAGE_HEADER = "X-Page-Id"
 # Fixed values of the formats: the fields of a record line by version, and the revisit profile.
@@ -40,7 +41,7 @@ def gzip_member(data: bytes) -> bytes:
 
     A member ends with its length; only one of 16 MB or more has another last byte, and gets an empty member after it.
     """
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     out = packer.compress(data) + packer.flush()
     return out if not out[-1] else out + gzip_member(b"")
 
