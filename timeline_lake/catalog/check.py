@@ -39,12 +39,18 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-def compare(spark, con, folder: str, query, sql: str) -> str:
+def compare(spark, con, folder: str, query, sql: str, took: list[float] | None = None) -> str:
+    """What differs; empty if nothing does. ``took`` gets the seconds Spark and DuckDB needed."""
+    began = time.time()
     df = query(spark, folder)
-    mine = rows_of(df.columns, df.collect())
+    rows = df.collect()
+    between = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
-    theirs = rows_of(names, cursor.fetchall())
+    found = cursor.fetchall()
+    if took is not None:
+        took += [between - began, time.time() - between]
+    mine, theirs = rows_of(df.columns, rows), rows_of(names, found)
     if sorted(df.columns) != sorted(names):
         return f"columns differ: {sorted(df.columns)} / {sorted(names)}"
     if len(mine) != len(theirs):
@@ -69,17 +75,17 @@ def main(argv: list[str]) -> int:
     for name, query in queries().items():
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
-        began = time.time()
+        began, took = time.time(), []
         try:
             if name in oracles:
-                problem = compare(spark, con, folder, query, oracles[name])
+                problem = compare(spark, con, folder, query, oracles[name], took)
             else:
                 n = query(spark, folder).count()
                 problem = "" if n else "no rows"
         except Exception as error:  # noqa: BLE001 - the report goes on with the next query
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - began:.1f}s{'' if name in oracles else ' (rows only)'} {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - began:.1f}s{' (DuckDB %.2fs)' % took[1] if took else '' if name in oracles else ' (rows only)'} {problem}", flush=True)
     return bad
 
 

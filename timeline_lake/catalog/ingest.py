@@ -185,7 +185,7 @@ def json_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preset_seed(spark: SparkSession, folder: str) -> DataFrame:
-    return K.upsert(_presets(spark, folder), P.built_in_presets(spark), ["name"]).select("name", "type", "description", F.length("config_json").alias("config_chars"))
+    return K.upsert(_presets(spark, folder), P.built_in_presets(spark), ["name"]).select("name", "type", "description", "config_json")
 
 
 def frame_sample_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,12 +214,30 @@ _BODY = """
 parts AS (SELECT o_orderkey AS k, '{"id": ' || o_orderkey || ',' || chr(10) || '  "p": "' || o_orderpriority || '"}' AS spec,
   CASE WHEN o_orderkey % 3 = 0 THEN 'Note ' || o_orderkey || chr(10) || 'end' ELSE '' END AS notes FROM orders)"""
 _MIN = "floor({0} / 60)::BIGINT || ':' || printf('%05.2f', {0} - floor({0} / 60)::BIGINT * 60)"
-_SEEDS = ", ".join(
-    "('{}', '{}', {})".format(name, description.replace("'", "''"), len(config))
-    for name, description, config in (
-        (n, d, __import__("json").dumps({f: v for f, v in sorted(zip(P.FIELDS, s)) if v is not None}, separators=(",", ":"))) for n, d, s in P.PRESETS
-    )
-)
+# Fixed values, written out once more so that the SQL does not follow the code: the built-in presets.
+_SEEDS = """
+  ('tiktok', 'Bold centered captions for TikTok/Reels — yellow highlight, 3 words',
+   '{"allCaps":true,"color":"#FFFFFF","fontFamily":"Arial","fontSize":5.5,"fontWeight":"bold","highlightColor":"#FFD700","position":70.0,"punctuation":true,"shadow":true,"wordsPerGroup":3}'),
+  ('subtitle', 'Professional subtitle style — bottom-aligned, 6 words per group',
+   '{"allCaps":false,"color":"#FFFFFF","fontFamily":"Helvetica","fontSize":4.5,"fontWeight":"medium","position":90.0,"punctuation":true,"shadow":true,"wordsPerGroup":6}'),
+  ('minimal', 'Understated minimal captions — light font, no shadow',
+   '{"allCaps":false,"color":"#FFFFFF","fontFamily":"Helvetica","fontSize":4.0,"fontWeight":"light","position":85.0,"punctuation":true,"shadow":false,"wordsPerGroup":4}'),
+  ('bold_center', 'Bold centered captions — green highlight, 2 words per group',
+   '{"allCaps":true,"color":"#FFFFFF","fontFamily":"Arial","fontSize":7.0,"fontWeight":"bold","highlightColor":"#00FF88","position":50.0,"punctuation":true,"shadow":true,"wordsPerGroup":2}'),
+  ('william', 'Poppins bold, cream/burnt orange karaoke — 3 words, no punctuation',
+   '{"allCaps":true,"color":"#FAF9F5","fontFamily":"Poppins","fontSize":5.5,"fontWeight":"bold","highlightColor":"#D97757","position":70.0,"punctuation":false,"shadow":true,"wordsPerGroup":3}'),
+  ('social_karaoke_pink', 'Pink-highlight karaoke variant of william — Poppins bold, hot pink active word',
+   '{"allCaps":true,"color":"#FAF9F5","fontFamily":"Poppins","fontSize":5.5,"fontWeight":"bold","highlightColor":"#FF3EA5","position":70.0,"punctuation":false,"shadow":true,"wordsPerGroup":3}'),
+  ('social_karaoke_white', 'Monochrome karaoke — white Poppins bold, no colored highlight',
+   '{"allCaps":true,"color":"#AAAAAA","fontFamily":"Poppins","fontSize":5.5,"fontWeight":"bold","highlightColor":"#FFFFFF","position":70.0,"punctuation":false,"shadow":true,"wordsPerGroup":3}'),
+  ('interview_attribution', 'Understated interview captions — bottom, Helvetica medium, 8 words',
+   '{"allCaps":false,"color":"#FFFFFF","fontFamily":"Helvetica","fontSize":4.0,"fontWeight":"medium","position":90.0,"punctuation":true,"shadow":true,"wordsPerGroup":8}'),
+  ('podcast_big', 'Oversized podcast captions — centered black Helvetica, yellow highlight, 2 words',
+   '{"allCaps":true,"color":"#FFFFFF","fontFamily":"Helvetica","fontSize":10.0,"fontWeight":"black","highlightColor":"#FFE135","position":50.0,"punctuation":false,"shadow":true,"wordsPerGroup":2}'),
+  ('slideshow_serif', 'Clean serif lower-third — Georgia regular, 7 words per group',
+   '{"allCaps":false,"color":"#FFFFFF","fontFamily":"Georgia","fontSize":4.5,"fontWeight":"regular","position":88.0,"punctuation":true,"shadow":true,"wordsPerGroup":7}'),
+  ('screencast_clean', 'Low-distraction screencast captions — Helvetica medium at 92% height, 8 words',
+   '{"allCaps":false,"color":"#FFFFFF","fontFamily":"Helvetica","fontSize":4.0,"fontWeight":"medium","position":92.0,"punctuation":true,"shadow":true,"wordsPerGroup":8}')"""
 
 ORACLES = {
     "scan_tables": with_(ASSETS) + """ SELECT project_slug, slug, duration_seconds, CASE WHEN p_partkey % 10 = 0 THEN true ELSE has_audio END AS has_audio,
@@ -254,8 +272,8 @@ UNION ALL SELECT DISTINCT project_slug, source_slug, -2, '# Transcript: ' || sou
 pg AS (SELECT *, start - lag("end") OVER (PARTITION BY project_slug, source_slug ORDER BY line_no) AS g FROM pr)
 SELECT project_slug, source_slug, line_no, CASE WHEN g >= 0.4 THEN round(g * 10) / 10 END AS gap_before, start, "end", text FROM pg""",
     "json_sink": with_(RENDERS) + " SELECT project_slug, slug, duration_seconds, file_size_bytes FROM renders",
-    "preset_seed": f"""SELECT lower(p_brand) || '-' || lower(p_type) AS name, 'caption' AS type, MIN(p_name) AS description, length('{{"wordsPerGroup":' || MAX(p_size) || '}}') AS config_chars FROM part GROUP BY 1
-UNION ALL SELECT n, 'caption', d, c FROM (VALUES {_SEEDS}) v(n, d, c)""",
+    "preset_seed": """SELECT lower(p_brand) || '-' || lower(p_type) AS name, 'caption' AS type, MIN(p_name) AS description, '{"wordsPerGroup":' || MAX(p_size) || '}' AS config_json FROM part GROUP BY 1
+UNION ALL SELECT n, 'caption', d, c FROM (VALUES """ + _SEEDS + ") v(n, d, c)",
     "frame_sample_plan": with_(ASSETS) + """, f AS (SELECT project_slug, slug, duration_seconds AS d, unnest(range(0, greatest(ceil(duration_seconds * 0.5::DOUBLE)::BIGINT, 1))) AS i FROM assets)
 SELECT project_slug, slug, i AS frame_index, round(i / 0.5::DOUBLE * 10) / 10.0::DOUBLE AS time, printf('frame_%04d.jpg', i) AS filename FROM f WHERE i / 0.5::DOUBLE < d""",
     "stt_chunk_plan": with_(ASSETS) + """, f AS (SELECT project_slug, slug, duration_seconds * 4 AS d, unnest(range(0, CASE WHEN duration_seconds * 4 <= 55 THEN 1 ELSE ceil(duration_seconds * 4 / 50.0::DOUBLE)::BIGINT END)) AS i FROM assets)

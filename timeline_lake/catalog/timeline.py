@@ -400,19 +400,30 @@ sections AS (SELECT o_custkey AS timeline_id, o_orderkey AS section_id, ['pip_sm
   ['16:9', '9:16', '1:1', '4:5'][o_custkey % 4 + 1] AS aspect_ratio FROM orders)"""
 
 
-def _layout_values() -> str:
-    def number(value) -> str:
-        return "NULL::DOUBLE" if value is None else f"{value}::DOUBLE"
-
-    rows = []
-    for family, name, background, screen, speaker in M.LAYOUTS:
-        boxes = [v for box in (screen, speaker) for v in (box or (None,) * 5)]
-        rows.append(f"('{family}', '{name}', {str(background).lower()}, {', '.join(number(v) for v in boxes)})")
-    return ", ".join(rows)
-
-
-_LAYOUTS = f"""
-presets(family, layout, bg, sx, sy, sw, sh, sr, px, py, pw, ph, pr) AS (VALUES {_layout_values()}),
+# Fixed values, written out once more so that the SQL does not follow the code: boxes of screen and speaker as x, y, width, height, radius.
+_LAYOUT_ROWS = """
+  ('landscape', 'pip_small', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.02, 0.72, 0.22, 0.25, 0.15),
+  ('landscape', 'pip_medium', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.02, 0.55, 0.35, 0.4, 0.12),
+  ('landscape', 'split', true, 0.38, 0.04, 0.58, 0.92, 0.04, 0.04, 0.15, 0.3, 0.7, 0.08),
+  ('landscape', 'speaker_focus', true, 0.58, 0.55, 0.38, 0.4, 0.04, 0.1, 0.08, 0.55, 0.84, 0.06),
+  ('landscape', 'screen_only', false, 0.0, 0.0, 1.0, 1.0, 0.0, NULL, NULL, NULL, NULL, NULL),
+  ('landscape', 'speaker_only', false, NULL, NULL, NULL, NULL, NULL, 0.0, 0.0, 1.0, 1.0, 0.0),
+  ('portrait', 'pip_small', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.3, 0.78, 0.4, 0.18, 0.15),
+  ('portrait', 'pip_medium', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.2, 0.65, 0.6, 0.3, 0.12),
+  ('portrait', 'split', true, 0.04, 0.02, 0.92, 0.52, 0.04, 0.1, 0.58, 0.8, 0.38, 0.06),
+  ('portrait', 'speaker_focus', true, 0.15, 0.6, 0.7, 0.35, 0.04, 0.05, 0.04, 0.9, 0.52, 0.04),
+  ('portrait', 'screen_only', false, 0.0, 0.0, 1.0, 1.0, 0.0, NULL, NULL, NULL, NULL, NULL),
+  ('portrait', 'speaker_only', false, NULL, NULL, NULL, NULL, NULL, 0.0, 0.0, 1.0, 1.0, 0.0),
+  ('square', 'pip_small', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.02, 0.72, 0.26, 0.26, 0.15),
+  ('square', 'pip_medium', false, 0.0, 0.0, 1.0, 1.0, 0.0, 0.02, 0.55, 0.4, 0.4, 0.12),
+  ('square', 'split', true, 0.38, 0.04, 0.58, 0.92, 0.04, 0.04, 0.15, 0.3, 0.7, 0.08),
+  ('square', 'speaker_focus', true, 0.58, 0.55, 0.38, 0.4, 0.04, 0.1, 0.08, 0.55, 0.84, 0.06),
+  ('square', 'screen_only', false, 0.0, 0.0, 1.0, 1.0, 0.0, NULL, NULL, NULL, NULL, NULL),
+  ('square', 'speaker_only', false, NULL, NULL, NULL, NULL, NULL, 0.0, 0.0, 1.0, 1.0, 0.0)"""
+
+_LAYOUTS = """
+presets AS (SELECT family, layout, bg, sx::DOUBLE AS sx, sy::DOUBLE AS sy, sw::DOUBLE AS sw, sh::DOUBLE AS sh, sr::DOUBLE AS sr, px::DOUBLE AS px, py::DOUBLE AS py, pw::DOUBLE AS pw, ph::DOUBLE AS ph, pr::DOUBLE AS pr
+  FROM (VALUES """ + _LAYOUT_ROWS + """) v(family, layout, bg, sx, sy, sw, sh, sr, px, py, pw, ph, pr)),
 sound AS (SELECT * FROM sections WHERE "end" > start AND timeline_id NOT IN (SELECT timeline_id FROM sections WHERE "end" <= start)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY start, section_id) - 1 AS position, COUNT(*) OVER (PARTITION BY timeline_id) AS n,
   CASE aspect_ratio WHEN '9:16' THEN 'portrait' WHEN '16:9' THEN 'landscape' ELSE 'square' END AS family FROM sound),

@@ -30,8 +30,10 @@ GAP_SECONDS = 0.4
 SUSPICIOUS_GAP_SECONDS = 2.0
 LOW_CONFIDENCE = 0.5
 COMMON_SHORT_WORDS = (
-    "i a an is it be to in of on at by we he me my no so up us or if as do go oh ok hi yo ah um uh"
-).split()
+    "i", "a", "an", "is", "it", "be", "to", "in", "of", "on", "at", "by", "we", "he", "me",
+    "my", "no", "so", "up", "us", "or", "if", "as", "do", "go", "oh", "ok", "hi", "yo", "ah",
+    "um", "uh",
+)
 NORMAL_WORD = "^[a-zA-Z]+(-[a-zA-Z]+)*('[a-zA-Z]+)?$"
 CHUNK_SECONDS = 55.0
 CHUNK_STEP_SECONDS = 50.0
@@ -184,7 +186,7 @@ def word_reason(normalize: bool = False) -> Column:
     ``normalize`` tests the word without leading and trailing punctuation, so that "hello," is not flagged.
     """
     word = F.regexp_replace("word", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "") if normalize else F.col("word")
-    short = (F.length(word) <= 2) & word.rlike("^[a-zA-Z]+$") & ~F.lower(word).isin(COMMON_SHORT_WORDS)
+    short = (F.length(word) <= 2) & word.rlike("^[a-zA-Z]+$") & ~F.lower(word).isin(*COMMON_SHORT_WORDS)
     percent = F.floor(F.col("confidence") * 100).cast("long")
     return (
         F.when(short, F.lit("unusually short word"))
