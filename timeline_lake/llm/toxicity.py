@@ -274,7 +274,9 @@ def nearest_labelled(docs: DataFrame, sample: DataFrame, neighbours: int = NEIGH
                 ["doc_id", "score", "neighbour_ids", "cosines"],
             )
 
-    return counted.mapInArrow(score, "doc_id long, score double, neighbour_ids array<long>, cosines array<double>")
+    # The counts are small files, the work on them is not: they are dealt out like the texts they come from.
+    dealt = counted.repartition(max(1, docs.rdd.getNumPartitions()))
+    return dealt.mapInArrow(score, "doc_id long, score double, neighbour_ids array<long>, cosines array<double>")
 
 
 def op6_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
