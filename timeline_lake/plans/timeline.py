@@ -221,7 +221,9 @@ def _walk_stretch(segments: Column) -> Column:
             seg["_len"] - F.when(bridged, F.lit(0)).otherwise(seg["_pull"])
         )
         span = F.struct((now - seg["_pull"]).alias("a"), (now - seg["_pull"] + seg["_len"]).alias("b"))
-        shown = F.when(seg["cross_cut"], F.concat(state["shown"], F.array(span))).otherwise(state["shown"])
+        # Time only grows, so a span that ended before now covers nothing any more.
+        open_ = F.filter(state["shown"], lambda s: s["b"] >= now)
+        shown = F.when(seg["cross_cut"], F.concat(open_, F.array(span))).otherwise(open_)
         note = F.struct(seg["seg_index"].cast("bigint").alias("seg_index"), bridged.alias("bridged"))
         return F.struct((now + progress).alias("t"), shown.alias("shown"), F.concat(state["out"], F.array(note)).alias("out"))
 
