@@ -175,3 +175,34 @@ def test_toxic_documents_are_found(spark):
     nobody = sample.filter("label = 0")
     assert {r["score"] for r in as_dicts(toxicity.nearest_labelled(documents(spark, data), nobody))} == {0.0}
     assert toxicity.nearest_labelled(empty(spark), sample).count() == 0
+
+
+def test_rare_terms_are_pruned_by_block_and_exact():
+    draw = np.random.default_rng(3)
+    vectors = [(np.sort(draw.choice(3000, draw.integers(0, 60), replace=False)), None) for _ in range(900)]
+    vectors = [(i, draw.integers(1, 5, len(i)).astype(float)) for i, _ in vectors]
+    idf = draw.uniform(1, 4, 3000)
+    index = toxicity.BlockMaxIndex(vectors, np.zeros(900), idf, block=16, frequent=50)
+    assert (index.column < 0).any()
+    dense = np.zeros((900, 3000))
+    for row, (i, c) in enumerate(vectors):
+        dense[row, i] = index.unit(i, c)
+    for at, (rows_, cosines) in enumerate(index.nearest_of(vectors[:100], 7, list(range(100)))):
+        all_ = dense @ dense[at]
+        all_[at] = 0
+        assert at not in rows_ and np.allclose(cosines, np.sort(all_[all_ > 1e-12])[::-1][:7], atol=1e-12) and np.allclose(all_[rows_], cosines)
+
+
+def test_every_text_has_the_neighbours_of_all_its_terms(spark):
+    # Each insult stands in one text only, so no term goes with the label beyond chance.
+    data = rows(*[prose(i, 60) for i in range(40)]) + rows(*[f"{prose(300 + i, 40)} {'xyzw'[i]}illain{i}" for i in range(4)], first=100) + rows(prose(3, 60), first=200)
+    sample = spark.createDataFrame([(d, int(100 <= d < 200)) for d, *_ in data if d < 200], "doc_id long, label int")
+    found = {r["doc_id"]: r for r in as_dicts(toxicity.nearest_labelled(documents(spark, data), sample))}
+    counts = {d: toxicity.text_terms(t) for d, t, *_ in data}
+    df = Counter(t for c in counts.values() for t in c)
+    weights = {d: {t: (1 + np.log(n)) * (np.log((1 + len(data)) / (1 + df[t])) + 1) for t, n in c.items()} for d, c in counts.items()}
+    norm = {d: np.sqrt(sum(x * x for x in w.values())) for d, w in weights.items()}
+    for d, w in weights.items():
+        plain = sorted((sum(x * weights[e].get(t, 0) for t, x in w.items()) / norm[d] / norm[e] for e in weights if e < 200), reverse=True)
+        assert len(found[d]["neighbour_ids"]) == 15 and np.allclose(found[d]["cosines"], plain[:15], atol=0.02)
+    assert found[200]["neighbour_ids"][0] == 3 and abs(found[200]["cosines"][0] - 1) < 1e-9

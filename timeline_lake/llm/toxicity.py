@@ -1,11 +1,13 @@
-"""Toxicity by the nearest labelled documents: exact TF-IDF cosine over a block-max inverted index.
-
-1. A bounded sample of labelled documents is drawn by hash. Its terms are words, beginnings of words, and marks of how
-   large a share of a text such a beginning makes up; the ``TERMS`` ones that speak for the label most clearly are the vocabulary.
-2. One pass over all texts writes each document's counts of vocabulary terms. Document frequencies come from all of them.
-3. The sample becomes an index: per term, postings in blocks of examples with the largest weight of each block. A query
-   bounds every block by those maxima, scores blocks from the highest bound down and stops when no bound reaches the
-   ``NEIGHBOURS``-th best cosine, so its neighbours are the exact ones.
+"""Toxicity by the nearest labelled documents: exact cosine of weighted TF-IDF over a block-max inverted index.
+
+1. A term is a word or the beginning of one. Every term of every whole text counts, under one of ``BUCKETS`` numbers that
+   its hash names; none is chosen or left out by the labels.
+2. One pass over all texts gives the document frequency of every number. A bounded sample of labelled documents is drawn by
+   hash. The weight of a term is its TF-IDF weight; one that speaks for label 1 beyond chance weighs more (``relevance``).
+3. The sample becomes an index. Its most frequent terms are dense rows, scored for many queries at once. All others have
+   postings in blocks of examples with the largest weight of each block: a query bounds every block by its frequent terms'
+   best score and those maxima, and reads only postings of blocks that can reach the ``NEIGHBOURS``-th best cosine. What
+   is left is scored again in double precision, so the neighbours are the exact ones.
 4. Neighbours vote with their cosines. Votes become probabilities by a monotone fit on the sample itself, each example
    voted on without itself. The neighbours are the evidence.
 """
@@ -17,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,98 +28,101 @@ from timeline_lake.llm.shared import given
 from timeline_lake.session import cut_lineage
 
 EXAMPLES = 6_000
-TERMS = 2_000
-# About the logarithm of the number of terms that are tried: rarer chance associations are not expected.
-LEAST_ASSOCIATION = 12.0
+BUCKETS = 1 << 18
 NEIGHBOURS = 15
 BLOCK = 64
+FREQUENT = 2_048
+# About the logarithm of the number of terms: chance associations stay below and leave a term its plain weight.
+CHANCE_ASSOCIATION = 12.0
 PREFIXES = (4, 5, 6, 7)
-RATES = (50, 100, 200, 400)
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_SLICE = 1 << 20
+# Queries scored at once, and more than single precision can be off in a sum of ``FREQUENT`` products of unit vectors.
+_TOGETHER = 128
+_SLACK = 2e-4
+
+
+def word_terms(word: str) -> list[str]:
+    return [word, *(word[:k] + "~" for k in PREFIXES if len(word) >= k)]
 
 
 def text_terms(text: str) -> Counter:
     """Terms of a whole text with their counts."""
-    words = Counter(_WORD.findall(text.lower()))
-    total = sum(words.values())
-    starts: Counter = Counter()
-    for word, n in words.items():
-        for k in PREFIXES:
-            if len(word) >= k:
-                starts[word[:k] + "~"] += n
-    rates = {f"{start}1/{r}": 1 for start, n in starts.items() if n > 1 for r in RATES if n * r >= total}
-    return words + starts + Counter(rates)
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for term in word_terms(word):
+            out[term] += n
+    return out
+
+
+class HashedTerms:
+    """A number below ``size`` for every term there is."""
 
+    def __init__(self, size: int = BUCKETS):
+        self.size = size
 
-class TermCounts:
-    """Counts of vocabulary terms only; each distinct word is looked up once per worker."""
+    def __getitem__(self, term: str) -> int:
+        return xxhash.xxh3_64_intdigest(term) % self.size
 
-    def __init__(self, vocabulary: dict[str, int], limit: int = 300_000):
+
+class TermCounts(dict):
+    """Counts of all terms of a text by number; each distinct word is looked up once per worker (word: numbers as bytes)."""
+
+    def __init__(self, vocabulary: dict[str, int] | HashedTerms, limit: int = 300_000):
         self.vocabulary, self.limit = vocabulary, limit
-        # Beginnings that matter as such or in one of their shares.
-        self.rated: dict[str, list[tuple[int, int]]] = {}
-        for term, index in vocabulary.items():
-            start, mark, rate = term.partition("~1/")
-            if mark:
-                self.rated.setdefault(start, []).append((int(rate), index))
-        self.known: dict[str, tuple] = {}
-
-    def _of(self, word: str) -> tuple:
-        found = [("", self.vocabulary[word])] if word in self.vocabulary else []
-        for k in PREFIXES:
-            if len(word) >= k:
-                start = word[:k]
-                if start + "~" in self.vocabulary:
-                    found.append(("", self.vocabulary[start + "~"]))
-                if start in self.rated:
-                    found.append((start, -1))
-        return tuple(found)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = np.array([self.vocabulary[t] for t in word_terms(word)], np.int32).tobytes()
+        return found
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers in rising order, their counts)."""
+        if len(self) > self.limit:
+            self.clear()
+        numbers = np.frombuffer(b"".join(map(self.__getitem__, _WORD.findall(text.lower()))), np.int32)
+        index, counts = np.unique(numbers, return_counts=True)
+        return index, counts.astype(np.int32)
 
     def count(self, text: str) -> dict[int, int]:
-        words = _WORD.findall(text.lower())
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        out: dict[int, int] = {}
-        starts: dict[str, int] = {}
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = self._of(word)
-            for start, index in found:
-                if start:
-                    starts[start] = starts.get(start, 0) + 1
-                else:
-                    out[index] = out.get(index, 0) + 1
-        for start, n in starts.items():
-            if n > 1:
-                for rate, index in self.rated[start]:
-                    if n * rate >= len(words):
-                        out[index] = 1
-        return out
+        return dict(zip(*(x.tolist() for x in self.vector(text))))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    sizes = hi - lo
+    return np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class BlockMaxIndex:
     """Examples as unit vectors of TF-IDF weights, by term and block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.ndarray, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.ndarray, block: int = BLOCK, frequent: int = FREQUENT):
         self.idf, self.labels, self.block = idf, labels, block
         self.n = len(vectors)
-        terms, rows, weights = [], [], []
-        for row, (index, counts) in enumerate(vectors):
-            unit = self.unit(index, counts)
-            terms.append(index)
-            rows.append(np.full(len(index), row))
-            weights.append(unit)
-        term, row, weight = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((terms, np.int64), (rows, np.int64), (weights, float)))
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n_blocks = -(-self.n // block)
-        # One dense row of block maxima for each term: terms x blocks, both bounded by parameters.
-        self.maxima = np.zeros((len(idf), self.n_blocks), np.float32)
-        np.maximum.at(self.maxima, (term, row // block), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        sizes = np.array([len(i) for i, _ in vectors], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.term = np.concatenate([*(i for i, _ in vectors), np.empty(0, np.int64)]).astype(np.int32)
+        self.weight = np.concatenate([*(self.unit(i, c) for i, c in vectors), np.empty(0)])
+        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        posted = np.bincount(self.term, minlength=len(idf))
+        common = np.argsort(-posted, kind="stable")[:frequent]
+        common = common[posted[common] * 64 > self.n]
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n_blocks * block), np.float32)
+        at = self.column[self.term]
+        self.dense[at[at >= 0], row[at >= 0]] = self.weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.lexsort((row[rare], self.term[rare]))]
+        self.row, self.posting = row[rare], self.weight[rare].astype(np.float32)
+        # A cell is what one term has in one block.
+        cell = self.term[rare].astype(np.int64) * (self.n_blocks or 1) + self.row // block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_start = np.append(first, len(rare))
+        self.cell_block = self.row[first] // block
+        self.cell_max = np.maximum.reduceat(self.posting, first) if len(first) else self.posting
+        self.cell_first = np.searchsorted(self.term[rare][first], np.arange(len(idf) + 1))
+        self.query = np.zeros(len(idf))
 
     def unit(self, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[index]
@@ -124,33 +130,48 @@ class BlockMaxIndex:
 
     def nearest(self, index: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the ``k`` examples with the highest positive cosines; ties go to the lower row."""
+        return self.nearest_of([(index, counts)], k, [without])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query."""
+        units = [self.unit(i, c) for i, c in queries]
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        for q, ((index, _), unit) in enumerate(zip(queries, units)):
+            at = self.column[index]
+            asked[q, at[at >= 0]] = unit[at >= 0]
+        scores = asked @ self.dense
+        best = scores.reshape(len(queries), self.n_blocks, self.block).max(axis=2)
+        return [self._nearest(i, u, s, b, k, w) for (i, _), u, s, b, w in zip(queries, units, scores, best, without or [-1] * len(queries))]
+
+    def _nearest(self, index: np.ndarray, unit: np.ndarray, score: np.ndarray, best: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(index) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        query = self.unit(index, counts)
-        bounds = query.astype(np.float32) @ self.maxima[index] * np.float32(1.00001)
-        order = np.argsort(-bounds, kind="stable")
-        rows, cosines = np.empty(0, np.int64), np.empty(0)
-        spans = [(self.first[t], self.first[t + 1]) for t in index]
-        at, some = 0, 4
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(rows) >= k and bounds[order[at]] < cosines[-1]:
-                break
-            asked = np.sort(order[at : at + some])
-            asked = asked[bounds[asked] > 0]
-            scores = np.zeros(len(asked) * self.block)
-            for (a, b), q in zip(spans, query):
-                posted = self.row[a:b]
-                for j, x in enumerate(asked):
-                    lo, hi = np.searchsorted(posted, (x * self.block, (x + 1) * self.block))
-                    if lo < hi:
-                        scores[posted[lo:hi] - x * self.block + j * self.block] += q * self.weight[a + lo : a + hi]
-            place = (asked[:, None] * self.block + np.arange(self.block)).ravel()
-            good = (scores > 0) & (place != without)
-            rows, cosines = np.concatenate([rows, place[good]]), np.concatenate([cosines, scores[good]])
-            best = np.lexsort((rows, -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
-            at, some = at + some, some * 2
-        return rows, cosines
+        if without >= 0:
+            score[without] = -9
+        rare = self.column[index] < 0
+        lo, hi = self.cell_first[index[rare]], self.cell_first[index[rare] + 1]
+        cells, weights = _ranges(lo, hi), np.repeat(unit[rare], hi - lo)
+        blocks = self.cell_block[cells]
+        bound = best + np.bincount(blocks, weights * self.cell_max[cells], self.n_blocks)
+        low = self._kth(score, k)
+        open_ = (bound >= low - _SLACK)[blocks]
+        cells, weights = cells[open_], weights[open_]
+        lo, hi = self.cell_start[cells], self.cell_start[cells + 1]
+        posted = _ranges(lo, hi)
+        score = score + np.bincount(self.row[posted], np.repeat(weights, hi - lo) * self.posting[posted], len(score))
+        rows = np.flatnonzero((score > 0) & (score >= self._kth(score, k) - _SLACK))
+        # The few that are left, in double precision.
+        query = self.query
+        query[index] = unit
+        lo, hi = self.start[rows], self.start[rows + 1]
+        entries = _ranges(lo, hi)
+        cosines = np.bincount(np.repeat(np.arange(len(rows)), hi - lo), query[self.term[entries]] * self.weight[entries], len(rows))
+        query[index] = 0
+        order = np.lexsort((rows, -cosines))[:k]
+        return rows[order], cosines[order]
+
+    def _kth(self, score: np.ndarray, k: int) -> float:
+        return float(np.partition(score, len(score) - k)[len(score) - k]) if k < self.n else -1.0
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, prior: float) -> float:
         """Share of label 1 among neighbours, weighted by cosine; one vote of weight ``0.1`` for the prior."""
@@ -177,106 +198,106 @@ def monotone_fit(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.
     return np.array(x), np.array(y)
 
 
-def _arrays(batch: pa.RecordBatch):
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        yield doc_id, text.as_py() or ""
+def _text(value) -> str:
+    return value.as_py() or ""
 
 
-def fit_vocabulary(docs: DataFrame, sample: DataFrame, terms: int = TERMS, least: float = LEAST_ASSOCIATION) -> dict[str, int]:
-    """The terms of the sample (doc_id, label; of bounded size) that go with label 1, by log-likelihood ratio."""
+def document_frequencies(docs: DataFrame, size: int = BUCKETS) -> tuple[int, np.ndarray]:
+    """(rows, rows with each term number) over every whole text."""
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
+        counter, seen, n = TermCounts(HashedTerms(size)), np.zeros(size, np.int64), 0
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                for term in text_terms(text.as_py() or ""):
-                    seen.setdefault(term, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array([n[1] for n in seen.values()], pa.int64()), pa.array([n[0] for n in seen.values()], pa.int64())],
-            ["term", "pos", "neg"],
-        )
-
-    totals = sample.agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    if not totals["n"] or totals["pos"] in (0, totals["n"]):
-        return {}
-    share = totals["pos"] / totals["n"]
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = asked.join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("int"))
-    counts = texts.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = F.col("pos") + F.col("neg")
-    ratio = F.col("pos") * F.log(F.col("pos") / (n * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - share)))).otherwise(0.0)
-    good = counts.filter(F.col("pos") > n * share).withColumn("g", ratio).filter(F.col("g") >= least)
-    return {r["term"]: i for i, r in enumerate(good.orderBy(F.desc("g"), "term").limit(terms).collect())}
+            for text in batch.column(0):
+                seen[counter.vector(_text(text))[0]] += 1
+            n += batch.num_rows
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(seen[found], n), pa.int64())], ["term", "n"])
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
+    frequency = np.zeros(size, np.int64)
+    frequency[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), frequency
 
 
-def count_terms(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """doc_id, terms, counts: the vocabulary terms of every whole text."""
+def example_vectors(docs: DataFrame, sample: DataFrame, size: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(vectors of all terms, labels, ids) of the documents of ``sample`` (of bounded size), by id. Of several rows of one one is used."""
 
     def count(batches):
-        counter = TermCounts(vocabulary)
+        counter = TermCounts(HashedTerms(size))
         for batch in batches:
-            found = [(doc_id, sorted(counter.count(text).items())) for doc_id, text in _arrays(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([d for d, _ in found], pa.int64()),
-                    pa.array([[t for t, _ in c] for _, c in found], pa.list_(pa.int32())),
-                    pa.array([[n for _, n in c] for _, c in found], pa.list_(pa.int32())),
-                ],
-                ["doc_id", "terms", "counts"],
-            )
+            found = [counter.vector(_text(text)) for text in batch.column(2)]
+            vectors = [pa.array([v[i].tobytes() for v in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *vectors], ["doc_id", "label", "terms", "counts"])
 
-    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return asked.mapInArrow(count, "doc_id long, terms array<int>, counts array<int>")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = asked.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
+    counted = texts.mapInArrow(count, "doc_id long, label int, terms binary, counts binary")
+    one = counted.groupBy("doc_id").agg(F.min(F.struct("label", "terms", "counts")).alias("v"))
+    found = one.select("doc_id", "v.*").orderBy("doc_id").collect()  # at most the sample
+    vectors = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in found]
+    return vectors, np.array([r["label"] for r in found], float), np.array([r["doc_id"] for r in found], np.int64)
+
+
+def relevance(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int = BUCKETS) -> np.ndarray:
+    """What a term's weight is multiplied with: 1, and more by how far its log-likelihood ratio for label 1 exceeds chance."""
+    pos, neg = (np.bincount(np.concatenate([*(v[0] for v, y in zip(vectors, labels) if y == want), np.empty(0, np.int32)]).astype(np.int64), minlength=size) for want in (1, 0))
+    share = float(labels.mean()) if len(labels) else 0.0
+    if share in (0.0, 1.0):
+        return np.ones(size)
+    n = np.maximum(pos + neg, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.nan_to_num(pos * np.log(pos / (n * share))) + np.nan_to_num(neg * np.log(neg / (n * (1 - share))))
+    return 1 + np.where(pos > n * share, np.maximum(0, ratio - CHANCE_ASSOCIATION), 0)
 
 
 def nearest_labelled(docs: DataFrame, sample: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text): doc_id, score, neighbour_ids, cosines.
 
     ``sample`` (doc_id, label 0/1) must be of bounded size: it is broadcast and indexed. A null text counts as empty. A
-    text without a vocabulary term has no neighbours and gets the share of label 1 among such examples; without both
-    labels in the sample every score is the share of label 1 (0 for an empty sample). Equal rows get equal scores, a null
-    doc_id is scored like any other.
+    text without words, or without a term of any example, has no neighbours and gets the share of label 1 at the vote of
+    the prior; with one label only every score is the share of label 1 (0 for an empty sample). Equal texts get equal
+    scores, a null doc_id is scored like any other.
     """
-    vocabulary = fit_vocabulary(docs, sample)
-    counted = cut_lineage(count_terms(docs, vocabulary))
-    frequency = np.zeros(max(1, len(vocabulary)))
-    for row in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():  # at most TERMS rows
-        frequency[row["t"]] = row["n"]
-    idf = np.log((1 + counted.count()) / (1 + frequency)) + 1
-    examples = counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most the sample
-    vectors = [(np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in examples]
-    labels, ids = np.array([r["label"] for r in examples], float), np.array([r["doc_id"] for r in examples], np.int64)
+    n, frequency = document_frequencies(docs)
+    vectors, labels, ids = example_vectors(docs, sample)
+    idf = (np.log((1 + n) / (1 + frequency)) + 1) * relevance(vectors, labels)
     prior = float(labels.mean()) if len(labels) else 0.0
     index = BlockMaxIndex(vectors, labels, idf)
-    left_out = [index.vote(*index.nearest(*v, k=neighbours, without=i), prior) for i, v in enumerate(vectors)]
+    left_out = []
+    for at in range(0, len(vectors), _TOGETHER):
+        some = list(range(at, min(at + _TOGETHER, len(vectors))))
+        left_out += [index.vote(*found, prior) for found in index.nearest_of([vectors[i] for i in some], neighbours, some)]
     x, y = monotone_fit(np.array(left_out), labels) if len(labels) else (np.array([0.0]), np.array([0.0]))
+    # Kept by a worker from task to task.
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches):
-        known: dict[tuple, tuple] = {}
+        index, counter, known = shared.value, TermCounts(HashedTerms()), {}
         for batch in batches:
-            out = []
-            for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (*terms, *counts)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    rows, cosines = index.nearest(np.array(terms, np.int64), np.array(counts, float), neighbours)
-                    probability = float(np.interp(index.vote(rows, cosines, prior), x, y))
-                    known[key] = (probability, ids[rows].tolist(), cosines.tolist())
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([o[0] for o in out], pa.float64()),
-                    pa.array([o[1] for o in out], pa.list_(pa.int64())),
-                    pa.array([o[2] for o in out], pa.list_(pa.float64())),
-                ],
-                ["doc_id", "score", "neighbour_ids", "cosines"],
-            )
-
-    # The counts are small files, the work on them is not: they are dealt out like the texts they come from.
-    dealt = counted.repartition(max(1, docs.rdd.getNumPartitions()))
-    return dealt.mapInArrow(score, "doc_id long, score double, neighbour_ids array<long>, cosines array<double>")
+            for at in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(at, _TOGETHER)
+                if len(known) > 20_000:
+                    known.clear()
+                asked = [counter.vector(_text(text)) for text in part.column(1)]
+                keys = [xxhash.xxh3_128_digest(i.tobytes() + c.tobytes()) for i, c in asked]
+                new = {key: v for key, v in zip(keys, asked) if key not in known}
+                for key, (rows, cosines) in zip(new, index.nearest_of(list(new.values()), neighbours) if new else []):
+                    known[key] = (float(np.interp(index.vote(rows, cosines, prior), x, y)), ids[rows].tolist(), cosines.tolist())
+                out = [known[key] for key in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([o[0] for o in out], pa.float64()),
+                        pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                        pa.array([o[2] for o in out], pa.list_(pa.float64())),
+                    ],
+                    ["doc_id", "score", "neighbour_ids", "cosines"],
+                )
+
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return asked.mapInArrow(score, "doc_id long, score double, neighbour_ids array<long>, cosines array<double>")
 
 
 def op6_toxicity_neighbours(spark: SparkSession, folder: str) -> DataFrame:
