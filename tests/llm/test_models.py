@@ -1,3 +1,4 @@
+import pickle
 import zlib
 from collections import Counter
 
@@ -184,6 +185,7 @@ def test_rare_terms_are_pruned_by_block_and_exact():
     idf = draw.uniform(1, 4, 3000)
     index = toxicity.BlockMaxIndex(vectors, np.zeros(900), idf, block=16, frequent=50)
     assert (index.column < 0).any()
+    index = pickle.loads(pickle.dumps(index))
     dense = np.zeros((900, 3000))
     for row, (i, c) in enumerate(vectors):
         dense[row, i] = index.unit(i, c)

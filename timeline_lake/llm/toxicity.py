@@ -92,11 +92,18 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _index_of(term: np.ndarray, counts: np.ndarray, start: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int, frequent: int) -> BlockMaxIndex:
+    spans = list(zip(start[:-1], start[1:]))
+    return BlockMaxIndex([(term[a:b], counts[a:b].astype(np.float64)) for a, b in spans], labels, idf, block, frequent)
+
+
 class BlockMaxIndex:
     """Examples as unit vectors of TF-IDF weights, by term and block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.ndarray, block: int = BLOCK, frequent: int = FREQUENT):
         self.idf, self.labels, self.block = idf, labels, block
+        # What the rest is made from: it alone is sent to the workers.
+        self.given = (vectors, labels, idf, block, frequent)
         self.n = len(vectors)
         self.n_blocks = -(-self.n // block)
         sizes = np.array([len(i) for i, _ in vectors], np.int64)
@@ -124,6 +131,12 @@ class BlockMaxIndex:
         self.cell_first = np.searchsorted(self.term[rare][first], np.arange(len(idf) + 1))
         self.query = np.zeros(len(idf))
 
+    def __reduce__(self):
+        vectors, labels, idf, *rest = self.given
+        counts = np.concatenate([*(c for _, c in vectors), np.empty(0, np.int32)])
+        small = counts.astype(np.uint16)
+        return _index_of, (self.term, small if (small == counts).all() else counts, self.start, labels, idf, *rest)
+
     def unit(self, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[index]
         return weight / (np.sqrt((weight * weight).sum()) or 1)
