@@ -135,6 +135,15 @@ def test_a_text_once_in_every_page_is_template(spark):
     assert all(r["text"] == prose(r["page_id"], 30) for r in found)
 
 
+def test_copies_are_no_template_and_headings_stay(spark):
+    data = [(i, "http://copies.example/", page("<p>one article</p><p>in copies</p>", i)) for i in range(25)]
+    data += [(100 + i, "http://heads.example/", page(f"<h2>Abstract</h2><p>{prose(i, 30)}</p><p>Share this</p>", i)) for i in range(25)]
+    data += [(200, "http://heads.example/", None), (201, "http://heads.example/", "<div>an error page</div>")]
+    texts = {r["page_id"]: r["text"] for r in as_dicts(H.main_text(spark.createDataFrame(data, PAGES).repartition(3)))}
+    assert all(texts[i] == "one article\n\nin copies" for i in range(25))
+    assert all(texts[100 + i] == f"Abstract\n\n{prose(i, 30)}" for i in range(25)) and texts[200] == ""
+
+
 def test_very_long_page():
     body = "".join(f"<p>{i} {'w' * 50}</p>" for i in range(20_000))
     assert H.extract(page(body), None).count("\n\n") == 19_999

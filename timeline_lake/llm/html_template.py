@@ -6,7 +6,8 @@ Classes are valid if enough pages hold them and each of their elements stands in
 into each other they are the template. Its slots are what the pages put between its tokens. The slot of the article is
 the element that says so (``article``, ``main``) or holds most of the text, and what is left of a page's text there is
 extracted: menus, adverts, forms, comments and the like are left out by their elements and names, and a text that is part
-of the template itself, once in every page, by its class.
+of the template itself, once in every page that holds the slot, by its class (headings stay). Pages of a host with one
+content are one page here, so copies of an article are no template.
 
 Vectors are compared by sums of page hashes, so no task gathers the pages of a host: each task adds up its own pages.
 """
@@ -27,7 +28,7 @@ from timeline_lake.llm.shared import given
 from timeline_lake.session import cut_lineage
 
 LEAST_SHARE = 0.3
-TEMPLATE_TEXT_PAGES = 20
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,6 +256,14 @@ def host_of(url: str):
 def occurrences(pages: DataFrame) -> DataFrame:
     """host, token, pages, times, sum_a, sum_b (the vector), chars: element paths, and texts as ``#`` and a number."""
 
+    def contents(batches):
+        for batch in batches:
+            found = []
+            for source in batch.column(1):
+                kept = [t for p, t in parsed(source.as_py() or "")[1] if not left_out(p)]
+                found.append(xxhash.xxh3_128_hexdigest("\0".join(kept)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(1)], ["host", "content", "html"])
+
     def rows(batches):
         seen: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
@@ -263,7 +272,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 chars: Counter = Counter()
                 for path, text in blocks:
                     chars[path] += len(text)
-                    if not left_out(path):
+                    if not left_out(path) and path.rpartition(">")[2].split(".")[0] not in HEADINGS:
                         paths[f"#{text_token(path, text)}"] += 1
                 for token, n in paths.items():
                     mark = xxhash.xxh3_64_intdigest(f"{page}:{n}")
@@ -281,17 +290,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array(c, pa.int64()) for c in columns)], names)
 
     names = ["host", "token", "pages", "times", "sum_a", "sum_b", "chars"]
-    asked = pages.select(F.col("page_id").cast("long"), host_of("url").alias("host"), F.col("html").cast("string"))
+    named = pages.select(host_of("url").alias("host"), F.col("html").cast("string")).mapInArrow(contents, "host string, content string, html string")
+    asked = named.groupBy("host", "content").agg(F.min("html").alias("html")).select("content", "host", "html")
     counted = asked.mapInArrow(rows, "host string, token string, " + ", ".join(f"{n} long" for n in names[2:]))
     return counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in names[2:]])
 
 
 def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
     """(article slots, texts of the template) of one host from its frequent tokens with their vectors."""
-    of_pages = int(tokens.loc[tokens["token"] == "", "pages"].iloc[0])
     vector = ["pages", "times", "sum_a", "sum_b"]
     tokens = tokens.assign(vector=list(zip(*(tokens[c] for c in vector))))
-    once = tokens.loc[tokens["token"] == "", "vector"].iloc[0]
     elements = tokens[~tokens["token"].str.startswith("#")].set_index("token")
     # Valid classes from the outside in: an element nests in its parent's class, which must be valid itself.
     valid = {""}
@@ -299,7 +307,9 @@ def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
         if path and path.rpartition(">")[0] in valid:
             valid.add(path)
     slots = article_slots({p: float(elements.at[p, "chars"]) for p in valid})
-    texts = tokens[tokens["token"].str.startswith("#") & (tokens["vector"] == once)]["token"] if of_pages >= TEMPLATE_TEXT_PAGES else []
+    # A text of the template is in the class of a slot that several contents hold, once each.
+    classes = {elements.at[s, "vector"] for s in slots if elements.at[s, "pages"] == elements.at[s, "times"] > 1}
+    texts = tokens[tokens["token"].str.startswith("#") & tokens["vector"].isin(classes)]["token"]
     return slots, [int(t[1:]) for t in texts]
 
 
@@ -307,9 +317,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, slots, texts. Only tokens in a fair share of a host's pages come together, a few times a page's tokens."""
     counted = cut_lineage(occurrences(pages).filter("pages > 1 or token = ''"))
     totals = counted.filter("token = ''").select("host", F.col("pages").alias("of_pages"))
-    frequent = counted.join(totals, "host").filter(
-        (F.col("pages") >= F.col("of_pages") * LEAST_SHARE) & (~F.col("token").startswith("#") | (F.col("pages") == F.col("of_pages")))
-    )
+    frequent = counted.join(totals, "host").filter(F.col("pages") >= F.col("of_pages") * LEAST_SHARE)
 
     def one_host(tokens: pd.DataFrame) -> pd.DataFrame:
         slots, texts = deduce(tokens)
