@@ -144,6 +144,14 @@ def test_copies_are_no_template_and_headings_stay(spark):
     assert all(texts[100 + i] == f"Abstract\n\n{prose(i, 30)}" for i in range(25)) and texts[200] == ""
 
 
+def test_names_that_differ_by_page(spark):
+    word = ["".join("abcdefghij"[int(x)] for x in str(i)) for i in range(100, 130)]
+    source = "<body><div class=tagline>Constant words</div><main><article id=post-{0}><p>{1}</p><p>end {0}</p></article></main></body>"
+    data = [(i, "http://names.example/", source.format(w, prose(i, 30))) for i, w in enumerate(word)]
+    texts = {r["page_id"]: r["text"] for r in as_dicts(H.main_text(spark.createDataFrame(data, PAGES).repartition(3)))}
+    assert all(texts[i] == f"{prose(i, 30)}\n\nend {w}" for i, w in enumerate(word))
+
+
 def test_very_long_page():
     body = "".join(f"<p>{i} {'w' * 50}</p>" for i in range(20_000))
     assert H.extract(page(body), None).count("\n\n") == 19_999

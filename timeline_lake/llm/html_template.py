@@ -28,6 +28,7 @@ from timeline_lake.llm.shared import given
 from timeline_lake.session import cut_lineage
 
 LEAST_SHARE = 0.3
+LITTLE = 4
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 # Fixed values of HTML.
@@ -231,13 +232,19 @@ def inside(path: str, slots: list[str]) -> bool:
 
 
 def extract(source: str, slots: list[str] | None, template_texts: frozenset[int] = frozenset()) -> str:
-    """The article of one page. A page that has none of the host's slots is taken by itself."""
+    """The article of one page. A page that has none of the host's slots, or little of its text there, is taken by itself."""
     paths, blocks = parsed(source)
-    if not slots or not any(s in paths for s in slots):
-        chars = dict.fromkeys(paths, 0.0)
-        for path, text in blocks:
-            chars[path] += len(text)
-        slots = article_slots(chars)
+    chars = dict.fromkeys(paths, 0.0)
+    for path, text in blocks:
+        chars[path] += len(text)
+
+    def held(by: list[str]) -> float:
+        return sum(n for p, n in chars.items() if inside(p, by) and not left_out(p))
+
+    own = article_slots(chars)
+    # Names that differ from page to page are in no template: the host's slots then hold little of the page's text.
+    if not slots or not any(s in paths for s in slots) or LITTLE * held(slots) < held(own):
+        slots = own
     return "\n\n".join(t for p, t in blocks if inside(p, slots) and not left_out(p) and not (template_texts and text_token(p, t) in template_texts))
 
 
