@@ -1,9 +1,9 @@
 """Main text of web pages by the template of their host.
 
-The tokens of a page are its block elements, each with the path of elements above it, and its blocks of text. A token's
-occurrence vector tells how often it stands in each page of the host; tokens with one vector are an equivalence class.
-Classes are valid if enough pages hold them and each of their elements stands inside an element of a valid class; nested
-into each other they are the template. Its slots are what the pages put between its tokens. The slot of the article is
+The tokens of a page are its block elements, each with the path of elements above it, and its blocks of text. Elements are
+valid if enough pages of the host hold them and each stands inside a valid one; nested into each other they are the
+template. Equivalence classes of elements are not formed: a token's occurrence vector, how often it stands in each page,
+only tells which texts stand in every page of a slot. Fixed lists of names decide what is left out. The template's slots are what the pages put between its tokens. The slot of the article is
 the element that says so (``article``, ``main``) or holds most of the text, and what is left of a page's text there is
 extracted: menus, adverts, forms, comments and the like are left out by their elements and names, and a text that is part
 of the template itself, once in every page that holds the slot, by its class (headings stay). Pages of a host with one
