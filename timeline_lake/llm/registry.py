@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timeline_lake.llm import bpe, collocations, exact_dedup, html_template, near_dedup, packing, quality_rank, quality_rules, token_files, toxicity, warc
+from timeline_lake.llm import bpe, chat, collocations, exact_dedup, filter_audit, html_template, near_dedup, packing, quality_rank, quality_rules, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_template_extraction": html_template.op8_template_extraction,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_chat_format": chat.op12_chat_format,
     "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
 ORACLES = {
     "op2_warc_from_arc": warc.OP2_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_chat_format": chat.OP12_SQL,
     "op13_phrase_collocations": collocations.OP13_SQL,
 }
