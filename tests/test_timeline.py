@@ -86,8 +86,8 @@ def walked_layout(rows):
     return out
 
 
-@pytest.mark.parametrize("rows", [2, 1 << 18])
-def test_builder_timeline_equals_the_walk(spark, rows):
+@pytest.mark.parametrize("rows,part", [(2, 1), (1 << 18, 3), (1 << 18, 512)])
+def test_builder_timeline_equals_the_walk(spark, rows, part):
     rng = random.Random(5)
     frames, expected, bridged = [], {}, 0
     for spec in range(40):
@@ -99,7 +99,7 @@ def test_builder_timeline_equals_the_walk(spark, rows):
         for i, value in walked_layout(segments).items():
             expected[(spec, i)] = value
             bridged += value[2]
-    layout = L.builder_timeline(spark.createDataFrame(frames, SEGMENT), rows)
+    layout = L.builder_timeline(spark.createDataFrame(frames, SEGMENT), rows, part)
     got = {(r.spec_id, r.seg_index): (r.comp_start, r.transition, r.bridged, r.track) for r in layout.filter("not cross_cut").collect()}
     assert bridged > 5 and got == expected
     audit = L.bridge_audit(layout, rows).collect()

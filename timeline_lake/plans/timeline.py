@@ -25,6 +25,7 @@ from timeline_lake.operators.joins import points_in_intervals
 from timeline_lake.session import cut_lineage
 
 SPEC = ["spec_id"]
+STRETCH_ROWS = 512
 TICKS_PER_SECOND = 600  # fixed value: the time base edits are snapped to
 
 
@@ -146,13 +147,14 @@ def on_axis(seconds: Column) -> Column:
     return from_ticks(to_ticks(seconds))
 
 
-def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """Where the renderer puts every segment, in 1/600 s.
 
     A crossfade is skipped when an earlier cross-cut covers the whole seam (``bridged``); the segment then follows
     its predecessor on the same track. Whether it is depends on where earlier segments landed, hence on earlier
     skips. That dependence ends at any speaker no cross-cut can reach even if all crossfades happen, since time only
-    grows; specs are cut there and only the stretches under one cross-cut are walked in order.
+    grows; specs are cut there. A stretch under one cross-cut is walked in parts of ``stretch_rows`` segments, all at once
+    (see ``_bridged``).
 
     Columns: spec_id, seg_index, source_id, cross_cut, comp_start (for a cross-cut, the time it was met), length,
     transition, bridged, speaker_index, track, fade_in.
@@ -175,10 +177,7 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     reached = cut_lineage(running(pressed, SPEC, "seg_index", {"_reach": reach}, block, F.max))
     sure = ~F.col("cross_cut") & (F.col("_reach").isNull() | (F.col("_reach") < F.col("_p")))
     stretched = last_known(reached, SPEC, "seg_index", {"_stretch": F.when(sure, F.col("seg_index"))}, block)
-    walked = stretched.groupBy(*SPEC, "_stretch").agg(
-        F.array_sort(F.collect_list(F.struct("seg_index", "cross_cut", "_len", "_pull"))).alias("_list")
-    )
-    decided = walked.select(*SPEC, F.inline(_walk_stretch(F.col("_list"))))
+    decided = _bridged(stretched, stretch_rows)
     speaker = F.when(F.col("cross_cut"), F.lit(0)).otherwise(F.lit(1))
     joined = cut_lineage(
         laid.join(decided, [*SPEC, "seg_index"]).withColumn(
@@ -207,27 +206,92 @@ def builder_timeline(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return cut_lineage(layout)  # the plans below read it several times
 
 
-def _walk_stretch(segments: Column) -> Column:
-    """Array of (seg_index, bridged) for one stretch, by walking it with the clock and the spans shown so far."""
-    spans = F.array().cast("array<struct<a:bigint,b:bigint>>")
+SPAN = "struct<a:bigint,b:bigint>"
+
+
+def _bridged(stretched: DataFrame, part_rows: int) -> DataFrame:
+    """spec_id, seg_index, bridged for every segment.
+
+    Stretches of one part, nearly all, are decided by one walk. The parts of a longer one are walked by themselves, again
+    and again, each with the cross-cuts and lengths that the parts before it had in the last round, until no part is given
+    anything new. A part is final once those before it are, so there are at most as many rounds as a stretch has parts; but
+    a part's own answers depend on earlier ones only by how far off a cut's end is, so three or four rounds are usual.
+    """
+    key = [*SPEC, "_stretch"]
+    part = F.floor((F.col("seg_index") - F.col("_stretch")) / F.lit(part_rows)).cast("long")
+    listed = F.array_sort(F.collect_list(F.struct("seg_index", "cross_cut", "_len", "_pull")))
+    parts = stretched.groupBy(*key, part.alias("_part")).agg(listed.alias("_list"), F.max("_pull").alias("_reach"))
+    nothing = F.struct(F.lit(None).cast("long").alias("best"), F.array().cast(f"array<{SPAN}>").alias("near"))
+    first = cut_lineage(parts.withColumn("_given", nothing).withColumn("_walk", _walk_part(F.col("_list"), F.col("_given"), F.col("_reach"))))
+    long = first.filter("_part > 0").select(*key).distinct()
+    if long.isEmpty():
+        return first.select(*SPEC, F.inline("_walk.out"))
+    short = first.join(long, key, "left_anti").select(*SPEC, F.inline("_walk.out"))
+    # A fade of any part may look back beyond the part before it, so all parts of a stretch reach equally far.
+    widest = first.groupBy(*key).agg(F.max("_reach").alias("_reach"))
+    rounds = cut_lineage(first.join(long, key, "left_semi").drop("_reach").join(widest, key).withColumn("_walk", _walk_part(F.col("_list"), F.col("_given"), F.col("_reach"))))
+    while True:
+        summary = F.struct("_part", F.col("_walk.t").alias("t"), F.col("_walk.best").alias("best"), F.col("_walk.near").alias("near"))
+        each = rounds.groupBy(*key).agg(F.array_sort(F.collect_list(summary)).alias("_parts"), F.first("_reach").alias("_reach"))
+        handed = each.select(*key, F.inline(_hand_on(F.col("_parts"), F.col("_reach"))))
+        met = rounds.withColumnRenamed("_given", "_had").join(handed, [*key, "_part"])
+        walk = F.when(F.col("_given").eqNullSafe(F.col("_had")), F.col("_walk")).otherwise(_walk_part(F.col("_list"), F.col("_given"), F.col("_reach")))
+        rounds = cut_lineage(met.withColumn("_walk", walk).withColumn("_new", ~F.col("_given").eqNullSafe(F.col("_had"))).drop("_had"))
+        if rounds.filter("_new").isEmpty():
+            return short.unionByName(rounds.select(*SPEC, F.inline("_walk.out")))
+        rounds = rounds.drop("_new")
+
+
+def _covers(spans: Column, since: Column, until: Column) -> Column:
+    """Whether one of the spans shown holds [since, until]; ``spans``: best, near (see ``_walk_part``)."""
+    return F.coalesce(spans["best"] >= until, F.lit(False)) | F.exists(spans["near"], lambda s: (s["a"] <= since) & (s["b"] >= until))
+
+
+def _kept(best: Column, near: Column, now: Column, reach: Column) -> list[Column]:
+    """best, near at the time ``now``: of spans that began before every fade to come only the latest end counts."""
+    far = F.array_max(F.transform(F.filter(near, lambda s: s["a"] <= now - reach), lambda s: s["b"]))
+    return [F.greatest(best, far).alias("best"), F.filter(near, lambda s: (s["a"] > now - reach) & (s["b"] >= now)).alias("near")]
+
+
+def _walk_part(segments: Column, given: Column, reach: Column) -> Column:
+    """Walk some segments in order, with the spans ``given`` by those before them; times count from the first one.
+
+    Returns t (time taken), best and near (the part's own spans: the latest end of those that began ``reach`` or longer
+    before ``t``, and the others), out (seg_index, bridged).
+    """
     out = F.array().cast("array<struct<seg_index:bigint,bridged:boolean>>")
-    begin = F.struct(F.lit(0).cast("bigint").alias("t"), spans.alias("shown"), out.alias("out"))
+    zero = F.lit(0).cast("bigint")
+    begin = F.struct(zero.alias("t"), F.lit(None).cast("bigint").alias("best"), F.array().cast(f"array<{SPAN}>").alias("near"), out.alias("out"))
 
     def step(state: Column, seg: Column) -> Column:
         now = state["t"]
-        covered = F.exists(state["shown"], lambda s: (s["a"] <= now - seg["_pull"]) & (s["b"] >= now))
+        covered = _covers(state, now - seg["_pull"], now) | _covers(given, now - seg["_pull"], now)
         bridged = ~seg["cross_cut"] & (seg["_pull"] > 0) & covered
-        progress = F.when(seg["cross_cut"], F.lit(0)).otherwise(
-            seg["_len"] - F.when(bridged, F.lit(0)).otherwise(seg["_pull"])
-        )
+        progress = F.when(seg["cross_cut"], zero).otherwise(seg["_len"] - F.when(bridged, zero).otherwise(seg["_pull"]))
         span = F.struct((now - seg["_pull"]).alias("a"), (now - seg["_pull"] + seg["_len"]).alias("b"))
-        # Time only grows, so a span that ended before now covers nothing any more.
-        open_ = F.filter(state["shown"], lambda s: s["b"] >= now)
-        shown = F.when(seg["cross_cut"], F.concat(open_, F.array(span))).otherwise(open_)
+        shown = F.when(seg["cross_cut"], F.concat(state["near"], F.array(span))).otherwise(state["near"])
         note = F.struct(seg["seg_index"].cast("bigint").alias("seg_index"), bridged.alias("bridged"))
-        return F.struct((now + progress).alias("t"), shown.alias("shown"), F.concat(state["out"], F.array(note)).alias("out"))
+        return F.struct((now + progress).alias("t"), *_kept(state["best"], shown, now + progress, reach), F.concat(state["out"], F.array(note)).alias("out"))
+
+    return F.aggregate(segments, begin, step)
+
+
+def _hand_on(parts: Column, reach: Column) -> Column:
+    """Array of (_part, _given): the spans of all earlier parts, on the clock of each part."""
+
+    def later(best: Column, near: Column, by: Column) -> list[Column]:
+        return [best - by, F.transform(near, lambda s: F.struct((s["a"] - by).alias("a"), (s["b"] - by).alias("b")))]
+
+    none = F.array().cast(f"array<struct<_part:bigint,_given:struct<best:bigint,near:array<{SPAN}>>>>")
+    begin = F.struct(F.lit(None).cast("bigint").alias("best"), F.array().cast(f"array<{SPAN}>").alias("near"), none.alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        note = F.struct(part["_part"].alias("_part"), F.struct(state["best"].alias("best"), state["near"].alias("near")).alias("_given"))
+        best, near = _kept(F.greatest(state["best"], part["best"]), F.concat(state["near"], part["near"]), part["t"], reach)
+        moved = later(best, near, part["t"])
+        return F.struct(moved[0].alias("best"), moved[1].alias("near"), F.concat(state["out"], F.array(note)).alias("out"))
 
-    return F.aggregate(segments, begin, step)["out"]
+    return F.aggregate(parts, begin, step)["out"]
 
 
 def _speakers(layout: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ from timeline_lake.operators.blocks import (
     halo,
     last_known,
     next_known,
-    running,
     running_sums,
 )
+from timeline_lake.operators.scans import values_before
 
 KEYS = ["project_slug", "source_slug"]
 
@@ -235,7 +235,7 @@ def repair_end_times(words: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return core_rows(near).withColumn("end_time", mended).drop(BLOCK, "_next")
 
 
-def stitch_chunks(chunk_words: DataFrame, chunks: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def stitch_chunks(chunk_words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Join overlapping chunk transcripts into one word list on the recording's axis.
 
     ``chunk_words``: keys, chunk_index, word_index (within the chunk), word, start_time, end_time, confidence.
@@ -267,52 +267,21 @@ def stitch_chunks(chunk_words: DataFrame, chunks: DataFrame, rows: int = BLOCK_R
     return accepted.drop("cutoff").unionByName(alone)
 
 
-def _stitch_cutoffs(placed: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def _stitch_cutoffs(placed: DataFrame) -> DataFrame:
     """Per chunk, the end of the last word accepted before it.
 
     In a chunk only the last word with ``start >= cutoff`` matters; words that a later word of the chunk starts after
-    are never it, so a chunk (at most a minute of speech) reduces to a few records. A chunk whose last word starts after
-    every earlier end keeps that word whatever the cutoff was, which ends the dependence on what came before. Chunks
-    between two such points, nearly always one, are walked in order.
+    are never it, so a chunk (at most a minute of speech) is a step function of the cutoff with a few pieces. The first
+    chunk takes every word, whatever the cutoff is.
     """
     later = Window.partitionBy(*KEYS, "chunk_index").orderBy(F.desc("word_index")).rowsBetween(Window.unboundedPreceding, -1)
     records = placed.withColumn("_later", F.max("start_time").over(later))
     is_record = F.col("_later").isNull() | (F.col("start_time") > F.col("_later"))
-    record = F.struct("word_index", F.col("start_time").alias("s"), F.col("end_time").alias("e"))
-    per_chunk = records.groupBy(*KEYS, "chunk_index").agg(
-        F.sort_array(F.collect_list(F.when(is_record, record)), asc=False).alias("_records"),
-        F.max("end_time").alias("_max_end"),
-    )
-    block = block_of("chunk_index", rows)
-    reached = running(per_chunk, KEYS, "chunk_index", {"_reach": F.col("_max_end")}, block, F.max)
-    last = F.col("_records")[0]
-    sure = (F.col("chunk_index") == 0) | F.col("_reach").isNull() | (last["s"] >= F.col("_reach"))
-    chained = last_known(
-        reached,
-        KEYS,
-        "chunk_index",
-        {"_from": F.when(sure, F.struct("chunk_index", last["e"].alias("e")))},
-        block,
-        include_current=False,
-    )
-    stretch = chained.groupBy(*KEYS, "_from").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "_records"))).alias("_list")
-    )
-    empty = F.array().cast("array<struct<chunk_index:bigint,cutoff:double>>")
-    start = F.struct(F.col("_from.e").alias("cutoff"), empty.alias("out"))
-
-    def step(state: Column, chunk: Column) -> Column:
-        fit = F.filter(
-            chunk["_records"],
-            lambda r: (chunk["chunk_index"] == 0) | state["cutoff"].isNull() | (r["s"] >= state["cutoff"]),
-        )
-        met = F.struct(chunk["chunk_index"].cast("bigint").alias("chunk_index"), state["cutoff"].alias("cutoff"))
-        return F.struct(
-            F.coalesce(F.get(fit, F.lit(0))["e"], state["cutoff"]).alias("cutoff"),
-            F.concat(state["out"], F.array(met)).alias("out"),
-        )
-
-    return stretch.select(*KEYS, F.inline(F.aggregate("_list", start, step)["out"]))
+    upto = F.when(F.col("chunk_index") == 0, F.lit(float("inf"))).otherwise(F.col("start_time"))
+    record = F.struct("word_index", upto.alias("upto"), F.col("end_time").alias("to"))
+    last_first = F.sort_array(F.collect_list(F.when(is_record, record)), asc=False)
+    steps = records.groupBy(*KEYS, "chunk_index").agg(F.transform(last_first, lambda r: F.struct(r["upto"], r["to"])).alias("_steps"))
+    return values_before(cut_lineage(steps), KEYS, "chunk_index", "_steps").withColumnRenamed("_before", "cutoff")
 
 
 def transcript_rollup(words: DataFrame) -> DataFrame:
