@@ -98,7 +98,26 @@ def test_interval_joins_of_very_different_lengths(spark):
     assert inside == sorted((p, i) for _, p, t in points for _, i, s, e in spans if s <= t < e)
     pairs = sorted((r.i, r.j) for r in J.overlapping_intervals(left, right, ["k"], ("s", "e"), ("s2", "e2")).collect())
     assert pairs == sorted((i, j) for _, i, s, e in spans for _, j, s2, e2 in spans if max(s, s2) < min(e, e2))
-    assert J.with_bins(left, "s", "e", 16.0).count() < 60 * 67
+    assert J.with_bins(left, "s", "e", 16.0).count() <= 60 * (J.COPIES + 2)
+
+
+def test_bins_suit_every_length(spark):
+    from timeline_lake.operators import joins as J
+
+    lengths = [1e-3, 1.0, 40.0, 1200.0, 7e4, 1e7, 1e11, 1e15, 1e300]
+    spans = spark.createDataFrame([("a", i, 5.0, 5.0 + n) for i, n in enumerate(lengths)], "k string, i int, s double, e double")
+    copies = {r.i: r["count"] for r in J.with_bins(spans, "s", "e", 16.0).groupBy("i").count().collect()}
+    assert set(copies) == set(range(len(lengths))) and max(copies.values()) <= J.COPIES + 2
+    # Intervals of twenty minutes over 17 hours: a point meets those near it, not all of them.
+    many = spark.createDataFrame([("a", i, i * 300.0, i * 300.0 + 1200.0) for i in range(200)], "k string, i int, s double, e double")
+    held = J.with_bins(many, "s", "e", 16.0).groupBy("_bin").count().agg(F.max("count")).first()[0]
+    assert held <= 6
+    endless = spark.createDataFrame([("a", 0, 0.0, float("inf")), ("a", 1, float("nan"), 3.0), ("a", 2, None, 3.0), ("a", 3, -1e308, 1e308), ("a", 4, 1.0, 2.0)], "k string, i int, s double, e double")
+    dots = spark.createDataFrame([("a", 1.5)], "k string, t double")
+    assert [r.i for r in J.points_in_intervals(dots, endless, ["k"], "t", "s", "e").collect()] == [4]
+    assert sorted((r.i, r.problem) for r in J.span_problems(endless, "s", "e").collect()) == [
+        (0, "an end is not a finite time"), (1, "an end is not a finite time"), (2, "an end is missing"), (3, "the length is not finite")
+    ]
 
 
 def test_of_marks_at_one_instant_the_last_counts(spark):

@@ -38,25 +38,18 @@ def cross_cuts(spark: SparkSession, folder: str) -> DataFrame:
     return L.with_cross_cuts(V.segments(spark, folder)).select(*SPEC, "seg_index", "cross_cut")
 
 
-def _per_spec(mapped: DataFrame, *more) -> DataFrame:
-    return mapped.groupBy(*SPEC).agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.min("new_start").alias("first_start"),
-        F.max("new_end").alias("last_end"),
-        F.sum(_micro("new_start")).alias("start_us"),
-        F.sum(_micro("new_end")).alias("end_us"),
-        F.sum(F.length("word")).alias("n_chars"),
-        *more,
-    )
+def _rows(mapped: DataFrame, *more: str) -> DataFrame:
+    """Words as they are placed, times in whole microseconds."""
+    return mapped.select(*SPEC, *more, "word_index", "word", _micro("new_start").alias("start_us"), _micro("new_end").alias("end_us"))
 
 
 def remap_single(spark: SparkSession, folder: str) -> DataFrame:
     segments = V.segments(spark, folder)
-    return _per_spec(L.remap_single(V.words(spark, folder), segments, _transcript_of(segments)))
+    return _rows(L.remap_single(V.words(spark, folder), segments, _transcript_of(segments)), "seg_index")
 
 
 def remap_multi(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_spec(L.remap_multi(V.words(spark, folder), V.segments(spark, folder)))
+    return _rows(L.remap_multi(V.words(spark, folder), V.segments(spark, folder)), "seg_index")
 
 
 def remap_overlays(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +61,7 @@ def remap_overlays(spark: SparkSession, folder: str) -> DataFrame:
 
 def caption_words(spark: SparkSession, folder: str) -> DataFrame:
     captions = L.caption_words(V.words(spark, folder), V.overlays(spark, folder), V.segments(spark, folder))
-    return _per_spec(captions, F.sum("part").alias("overlay_words"))
+    return _rows(captions, "part", "element")
 
 
 def caption_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,8 +136,8 @@ def _visible(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return _visible(spark, folder).groupBy(*SPEC).agg(
-        F.count(F.lit(1)).alias("layers"), F.countDistinct("ov_index", "cross_cut").alias("overlays_seen"), F.sum(_micro("piece_start")).alias("start_us")
+    return _visible(spark, folder).select(
+        *SPEC, "seg_index", "kind", "piece", "ov_index", "cross_cut", _micro("piece_start").alias("start_us"), _micro("piece_end").alias("end_us")
     )
 
 
@@ -323,8 +316,7 @@ _OVER = """
 own AS (SELECT *, COALESCE(source_start, 0.0::DOUBLE) AS b FROM overlays o WHERE source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.spec_id = o.spec_id AND s.source_id = o.source_id)),
 over_words AS (SELECT * FROM (SELECT o.spec_id, o.ov_index, o.source_id AS source_slug, w.word_index, w.word, start + (start_time - b) / 1.0::DOUBLE AS new_start, start + (least(end_time, b + ("end" - start)) - b) / 1.0::DOUBLE AS new_end
   FROM own o JOIN words w ON w.source_slug = o.source_id AND w.start_time >= b AND w.start_time < b + ("end" - start)) WHERE new_end > new_start)"""
-_AGG = """COUNT(*) AS n_words, MIN(new_start) AS first_start, MAX(new_end) AS last_end, SUM(round(new_start * 1e6)::BIGINT)::BIGINT AS start_us,
-  SUM(round(new_end * 1e6)::BIGINT)::BIGINT AS end_us, SUM(length(word))::BIGINT AS n_chars"""
+_US = "round(new_start * 1e6)::BIGINT AS start_us, round(new_end * 1e6)::BIGINT AS end_us"
 _ALL_CAPTIONS = """
 captions AS (SELECT spec_id, 0 AS part, seg_index AS element, word_index, word, new_start, new_end FROM multi
   UNION ALL SELECT spec_id, 1, ov_index, word_index, word, new_start, new_end FROM over_words)"""
@@ -448,10 +440,10 @@ _D = SEGMENTS + "," + _CUTS
 ORACLES = {
     "segment_timeline": with_(_D, _PLACED) + " SELECT spec_id, seg_index, comp AS comp_start, len AS length FROM placed",
     "cross_cuts": with_(_D) + " SELECT spec_id, seg_index, cc AS cross_cut FROM rated",
-    "remap_single": with_(WORDS, _D, _PLACED, _SINGLE) + f" SELECT spec_id, {_AGG} FROM single GROUP BY spec_id",
-    "remap_multi": with_(WORDS, _D, _PLACED, _MULTI) + f" SELECT spec_id, {_AGG} FROM multi GROUP BY spec_id",
+    "remap_single": with_(WORDS, _D, _PLACED, _SINGLE) + f" SELECT spec_id, seg_index, word_index, word, {_US} FROM single",
+    "remap_multi": with_(WORDS, _D, _PLACED, _MULTI) + f" SELECT spec_id, seg_index, word_index, word, {_US} FROM multi",
     "remap_overlays": with_(WORDS, SEGMENTS, OVERLAYS, _OVER) + " SELECT * FROM over_words",
-    "caption_words": with_(WORDS, _D, OVERLAYS, _PLACED, _MULTI, _OVER, _ALL_CAPTIONS) + f" SELECT spec_id, {_AGG}, SUM(part)::BIGINT AS overlay_words FROM captions GROUP BY spec_id",
+    "caption_words": with_(WORDS, _D, OVERLAYS, _PLACED, _MULTI, _OVER, _ALL_CAPTIONS) + f" SELECT spec_id, part, element, word_index, word, {_US} FROM captions",
     "caption_text": with_(WORDS, _D, OVERLAYS, _PLACED, _MULTI, _OVER, _ALL_CAPTIONS) + " SELECT spec_id, part, element, md5(string_agg(word, ' ' ORDER BY word_index)) AS text_md5 FROM captions GROUP BY ALL",
     "builder_timeline": with_(_D, _BUILD) + " SELECT spec_id, seg_index, cross_cut, comp_start, length, transition, bridged, speaker_index, track FROM layout",
     "bridge_audit": with_(_D, _BUILD) + " SELECT spec_id, seg_index, track = ptrack AS same_track, comp_start = pend AS back_to_back, transition = 0 AS zero_transition FROM spk WHERE bridged",
@@ -466,7 +458,7 @@ FROM cutov WHERE d > 0 OR source_length IS NULL""",
     "timeline_plan": with_(_D, _BUILD, _PLAN) + " SELECT * FROM plan",
     "interval_split": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES) + " SELECT * FROM pieces",
     "interval_overlap": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES, _VISIBLE)
-    + " SELECT spec_id, COUNT(*) AS layers, COUNT(DISTINCT ov_index * 2 + cross_cut::INT) AS overlays_seen, SUM(round(piece_start * 1e6)::BIGINT)::BIGINT AS start_us FROM visible GROUP BY spec_id",
+    + " SELECT spec_id, seg_index, kind, piece, ov_index, cross_cut, round(piece_start * 1e6)::BIGINT AS start_us, round(piece_end * 1e6)::BIGINT AS end_us FROM visible",
     "fade_opacity": with_(WORDS, _D, _BUILD, _PLAN, OVERLAYS, _LENGTHS, _WINDOWS, _PIECES, _VISIBLE)
     + f""", op AS (SELECT *, {_opacity('piece_start')} AS o1, {_opacity('piece_end')} AS o2 FROM visible)
 SELECT spec_id, seg_index, kind, piece, ov_index, cross_cut, piece_start, round(o1 * 1e6)::BIGINT AS opacity_start_ppm, CASE WHEN abs(o1 - o2) > 0.001 THEN round(o2 * 1e6)::BIGINT END AS opacity_end_ppm FROM op""",

@@ -31,6 +31,8 @@ BITMAP_BITS = 26
 #: Entries that a summary should hold at most; the number of hash partitions follows from it.
 CAPACITY = 1 << 18
 MOST_PARTITION_BITS = 20
+#: Sums that a task keeps before it gives them out.
+HELD = 500_000
 #: Words whose n-grams are counted together in a task, and bytes of text cut into words at once.
 CHUNK_WORDS = 1 << 21
 SLICE_BYTES = 1 << 21
@@ -83,6 +85,34 @@ class _Chunk:
         return np.fromiter((of(w, seeds[s]) if s in seeds else 0 for w, s in zip(self.words, self.langs)), np.uint64, len(self.words))
 
 
+class _Sums:
+    """Counts per language and phrase of all chunks of a task, given out when there are many of them."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, dict[bytes, int]] = {}
+        self.size = 0
+
+    def add(self, langs, phrases, counts) -> None:
+        for lang, phrase, n in zip(langs, phrases, counts):
+            known = self.counts.get(lang)
+            if known is None:
+                known = self.counts[lang] = {}
+            if phrase in known:
+                known[phrase] += n
+            else:
+                known[phrase] = n
+                self.size += 1
+
+    def batches(self, least: int = 0):
+        """The sums so far as batches, one per language, if there are ``least`` of them at least."""
+        if self.size and self.size >= least:
+            for lang, known in self.counts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(known), pa.string()), pa.array(known.keys(), pa.binary()), pa.array(known.values(), pa.int64())], ["lang", "phrase", "a"]
+                )
+            self.__init__()
+
+
 def word_hash(lang: str, word: str) -> Column:
     return F.xxhash64(F.col(lang), F.col(word))
 
@@ -157,14 +187,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """lang, phrase, a: the occurrences of every word; each chunk of texts is added up first."""
+    """lang, phrase, a: the occurrences of every word; each task adds up its own first."""
 
     def count(batches):
+        sums = _Sums()
         for chunk in _chunks(batches):
-            n = np.bincount(chunk.ids(), minlength=len(chunk.words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.langs[1:], pa.string()), pa.array(chunk.words[1:], pa.binary()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+            sums.add(chunk.langs[1:], chunk.words[1:], np.bincount(chunk.ids(), minlength=len(chunk.words))[1:].tolist())
+            yield from sums.batches(HELD)
+        yield from sums.batches()
+
+    return _summed(_texts(docs).mapInArrow(count, "lang string, phrase binary, a long"))
+
 
-    counts = _texts(docs).mapInArrow(count, "lang string, phrase binary, a long")
+def _summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
 
 
@@ -275,31 +310,27 @@ def _count_survivors(docs: DataFrame, shared) -> DataFrame:
     """lang, phrase, length, a: exact counts of the phrases whose hashes are marked, added up by text."""
 
     def count(batches):
+        bitmaps, sums = shared.value, _Sums()
         for chunk in _chunks(batches):
-            bitmaps, pair_of, numbers = shared.value, None, 0
-            out = ([], [], [], [])
+            numbers = None
             for n, ids, starts, hashes in _offered(chunk, bitmaps[:-1]):
                 kept = starts[_marked(bitmaps[n - 1], hashes)]
                 if not len(kept):
                     break
                 # A phrase is numbered by the number of all but its last word and by its last word, so equal numbers are equal phrases.
-                left = ids[kept].astype(np.int64) if n == 2 else pair_of[kept]
-                packed, first, inverse, times = np.unique(
+                left = ids[kept].astype(np.int64) if n == 2 else numbers[kept]
+                _, first, inverse, times = np.unique(
                     left * len(chunk.words) + ids[kept + n - 1], return_index=True, return_inverse=True, return_counts=True
                 )
-                pair_of = np.zeros(len(ids), np.int64)
-                pair_of[kept] = inverse
-                for at, a in zip(kept[first].tolist(), times.tolist()):
-                    phrase = ids[at : at + n].tolist()
-                    out[0].append(chunk.langs[phrase[0]])
-                    out[1].append(b" ".join([chunk.words[w] for w in phrase]))
-                    out[2].append(n)
-                    out[3].append(a)
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lang", "phrase", "length", "a"])
-
-    counts = _texts(docs).mapInArrow(count, "lang string, phrase binary, length int, a long")
-    return counts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "length").agg(F.sum("a").alias("a"))
+                numbers = np.zeros(len(ids), np.int64)
+                numbers[kept] = inverse
+                found = [ids[at : at + n].tolist() for at in kept[first].tolist()]
+                sums.add((chunk.langs[p[0]] for p in found), (b" ".join([chunk.words[w] for w in p]) for p in found), times.tolist())
+                yield from sums.batches(HELD)
+        yield from sums.batches()
+
+    counts = _summed(_texts(docs).mapInArrow(count, "lang string, phrase binary, a long"))
+    return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("length"), "a")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
