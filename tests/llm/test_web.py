@@ -71,6 +71,42 @@ def test_pages_to_warc_and_back(spark, tmp_path):
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2], r[3]))
 
 
+def test_repeated_page_rows_and_one_id_under_two_urls(spark, tmp_path):
+    """Each page row is one row of the result, and no page revisits itself: as the SQL has it."""
+    import duckdb
+
+    long = "h" * 1500
+    data = [(5, "A", long), (5, "A", long), (3, "B", long), (7, "C", "small"), (9, "A", "n" * 2000), (9, "B", "n" * 2000), (1, "Z", "n" * 2000), (4, "same", None), (4, "same", None)]
+    pages = spark.createDataFrame(data, PAGES)
+    pages.repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({warc.OP2_SQL})").fetchall()
+    got = [tuple(r[n] for n in names) for r in warc.op2_warc_from_arc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_what_a_foreign_archive_holds_is_kept():
+    import hashlib as h
+
+    body = b"HTTP/1.0 404 Not Found\r\n\r\nno"
+    lines = [
+        (b"dns:a.example 1.2.3.4 19990102030405 text/dns 200 - - 0 x.arc 3", b"ns1"),
+        (b"http://a.example/ 1.2.3.4 19990102030405 text/html 404 " + h.md5(body).hexdigest().encode() + b" http://b.example/ 77 x.arc %d" % len(body), body),
+        (b"http://a.example/2 1.2.3.4 19990102030405 text/html 404 " + b"0" * 32 + b" - 99 x.arc %d" % len(body), body),
+    ]
+    data = warc.arc_version_block(2, "x.arc") + b"".join(line + b"\n" + block + b"\n" for line, block in lines)
+    records = list(warc.read_arc([data], version_blocks=True))
+    made = b"".join(warc.warc_record(f, b, None, f"x.arc#{i}") for i, (f, b) in enumerate(records))
+    heads = [h for h, _ in warc.read_warc([made])]
+    assert [warc.header_value(h, "WARC-Type") for h in heads] == ["warcinfo", "resource", "response", "response"]
+    assert warc.header_value(heads[0], "WARC-Filename") == "x.arc" and warc.header_value(heads[1], "Content-Type") == "text/dns"
+    assert [warc.header_value(heads[2], f"X-Arc-{n}") for n in ("Result-code", "Location", "Offset", "Filename")] == ["404", "http://b.example/", "77", "x.arc"]
+    assert [warc.header_value(h, "X-Arc-Checksum-Failed") for h in heads] == [None, None, None, "true"]
+    assert len({warc.header_value(h, "WARC-Record-ID") for h in heads}) == 4
+
+
 def test_no_pages(spark, tmp_path):
     warc.write_arc(spark.createDataFrame([], PAGES), str(tmp_path / "arc"))
     warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))

@@ -1,8 +1,10 @@
 """ARC archives into WARC archives.
 
 ARC files (versions 1 and 2) are read by what their version blocks say: the fields of a record line, and the length it
-declares. Each record becomes a WARC response, or a revisit of the record that already holds its payload, with a record
-id, date, type and digests that follow from the ARC record alone, so that a repeated task writes the same bytes.
+declares. Each record becomes a WARC response, or a revisit of the record that already holds its payload; what is no HTTP
+response (a ``dns:`` record, a bare body) becomes a resource, and a version block a warcinfo record. Record id, date, type
+and digests follow from the ARC record and its place in its archive, so that a repeated task writes the same bytes and no
+two records share an id. Fields that WARC has no name for (those of version 2) are kept as ``X-Arc-`` headers.
 
 Both kinds are written one gzip member per record, as the formats ask for, by Spark's own writer (see ``write_blobs``).
 """
@@ -26,6 +28,8 @@ from timeline_lake.session import cut_lineage
 
 REVISIT_BYTES = 1000
 LEVEL = 4  # of gzip
+#: Records of one file: a file is read back whole by one task.
+FILE_RECORDS = 2000
 CRAWL_DATE = "20000101000000"
 PAGE_HEADER = "X-Page-Id"
 # Fixed values of the formats: the fields of a record line by version, and the revisit profile.
@@ -95,8 +99,8 @@ def arc_record(version: int, url: str, block: bytes, date: str = CRAWL_DATE) ->
     return arc_line(version, fields) + block + b"\n"
 
 
-def read_arc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields of the record line, block) of every record but the version block.
+def read_arc(chunks: Iterable[bytes], version_blocks: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields of the record line, block) of every record, of the version block only if ``version_blocks``.
 
     A file's first record tells the version and names the fields. Lengths are taken as declared: what a block holds is
     not looked at. Chunks are records or whole files.
@@ -121,6 +125,9 @@ def read_arc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
                 lines = block.decode("utf-8").splitlines()
                 version = int(lines[0].split(" ")[0])
                 names = lines[1].split(" ") if len(lines) > 1 else ARC_FIELDS[version].split(" ")
+                if version_blocks:
+                    own = ARC_FIELDS[1 if len(values) == 5 else 2].split(" ")
+                    yield dict(zip(own, values)), block
                 continue
             if not names:
                 names = ARC_FIELDS[1 if len(values) == 5 else 2].split(" ")
@@ -163,29 +170,45 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(fields: dict[str, str], block: bytes) -> str:
-    """The same for the same ARC record in every run."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((fields['URL'], fields['Archive-date'], hashlib.sha1(block).hexdigest())))}>"
+def record_id(fields: dict[str, str], block: bytes, place: str = "") -> str:
+    """The same for the same ARC record in every run; ``place`` names the archive and the record's number in it."""
+    said = (fields["URL"], fields.get("Archive-date", ""), hashlib.sha1(block).hexdigest(), place)
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(said))}>"
 
 
-def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None) -> bytes:
-    """A response, or a revisit of the record ``refers_to``, which keeps the HTTP headers but not the payload."""
+def record_type(fields: dict[str, str], headers: bytes) -> str:
+    """What an ARC record is in WARC, as long as it is no revisit."""
+    if fields["URL"].startswith("filedesc://"):
+        return "warcinfo"
+    return "response" if headers else "resource"
+
+
+def checksum_fails(fields: dict[str, str], block: bytes) -> bool:
+    """Whether the record line of version 2 holds an MD5 or SHA-1 in hex that is not the block's."""
+    said = (fields.get("Checksum") or "").lower()
+    made = {32: hashlib.md5, 40: hashlib.sha1}.get(len(said))
+    return bool(made and re.fullmatch("[0-9a-f]+", said)) and made(block).hexdigest() != said
+
+
+def warc_record(fields: dict[str, str], block: bytes, refers_to: str | None, place: str = "") -> bytes:
+    """A record, or a revisit of the record ``refers_to``, which keeps the HTTP headers but not the payload."""
     headers, payload = http_parts(block)
+    kind = record_type(fields, headers)
     stored = block if refers_to is None else headers
-    lines = [
-        "WARC/1.0",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(fields, block)}",
-        f"WARC-Date: {warc_date(fields['Archive-date'])}",
-        f"WARC-Target-URI: {fields['URL']}",
-        f"WARC-IP-Address: {fields['IP-address']}",
-        f"WARC-Payload-Digest: {base32_sha1(payload)}",
-        f"WARC-Block-Digest: {base32_sha1(stored)}",
-    ]
+    lines = ["WARC/1.0", f"WARC-Type: {kind if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(fields, block, place)}"]
+    lines.append(f"WARC-Date: {warc_date(fields.get('Archive-date', ''))}")
+    if kind == "warcinfo":
+        lines.append(f"WARC-Filename: {fields['URL'].removeprefix('filedesc://')}")
+    else:
+        lines += [f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields.get('IP-address', '-')}", f"WARC-Payload-Digest: {base32_sha1(payload)}"]
+    lines.append(f"WARC-Block-Digest: {base32_sha1(stored)}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers_to}"]
-    kind = "application/http; msgtype=response" if headers else fields["Content-type"]
-    lines += [f"Content-Type: {kind}", f"Content-Length: {len(stored)}"]
+    lines += [f"X-Arc-{name}: {value}" for name, value in fields.items() if name not in ARC_FIELDS[1].split(" ") and value != "-"]
+    if checksum_fails(fields, block):
+        lines.append("X-Arc-Checksum-Failed: true")
+    form = {"response": "application/http; msgtype=response", "warcinfo": "text/plain"}.get(kind) or fields.get("Content-type", "application/octet-stream")
+    lines += [f"Content-Type: {form}", f"Content-Length: {len(stored)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + stored + b"\r\n\r\n"
 
 
@@ -213,7 +236,10 @@ def read_warc(chunks: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
 
 
 def write_arc(pages: DataFrame, folder: str) -> None:
-    """One ARC file per task; tasks alternate between the two versions. A null html is an empty payload."""
+    """ARC files of FILE_RECORDS records at most; tasks alternate between the two versions. A null html is an empty payload.
+
+    Only a task's first file has a version block; the others are told by the number of their fields.
+    """
 
     def records(batches):
         number = TaskContext.get().partitionId()
@@ -226,84 +252,90 @@ def write_arc(pages: DataFrame, folder: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     asked = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    write_blobs(asked.mapInArrow(records, "record binary"), "record", folder)
+    write_blobs(asked.mapInArrow(records, "record binary"), "record", folder, FILE_RECORDS)
 
 
-_LINE = ["url", "ip", "date", "kind"]
-_LINE_FIELDS = ("URL", "IP-address", "Archive-date", "Content-type")
+def _archive_records(batch, version_blocks: bool):
+    """(place, fields, block) of the records of the archives in a batch of ``read_blobs``."""
+    for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+        archive = path.rsplit("/", 1)[-1]
+        for number, (fields, block) in enumerate(read_arc(member_chunks(content.as_py()), version_blocks=True)):
+            if version_blocks or not fields["URL"].startswith("filedesc://"):
+                yield f"{archive}#{number}", fields, block
 
 
 def arc_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """What decides about revisits, without the blocks: page_id, record_id, payload_bytes, payload_digest."""
+    """What decides about revisits, without the blocks: page_id, place, record_id, payload_bytes, payload_digest."""
 
     def rows(batches):
         for batch in batches:
-            for content in batch.column(1):
-                out = []
-                for fields, block in read_arc(member_chunks(content.as_py())):
-                    headers, payload = http_parts(block)
-                    page = header_value(headers, PAGE_HEADER)
-                    out.append((int(page) if page else None, record_id(fields, block), len(payload), hashlib.sha1(payload).hexdigest()))
-                columns = list(zip(*out)) or [[]] * 4
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "record_id", "payload_bytes", "payload_digest"])
+            out = []
+            for place, fields, block in _archive_records(batch, version_blocks=False):
+                headers, payload = http_parts(block)
+                page = header_value(headers, PAGE_HEADER)
+                out.append((int(page) if page else None, place, record_id(fields, block, place), len(payload), hashlib.sha1(payload).hexdigest()))
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "place", "record_id", "payload_bytes", "payload_digest"])
+
+    return read_blobs(spark, folder).mapInArrow(rows, "page_id long, place string, record_id string, payload_bytes long, payload_digest string")
 
-    return read_blobs(spark, folder).mapInArrow(rows, "page_id long, record_id string, payload_bytes long, payload_digest string")
+
+_FIELDS = pa.map_(pa.string(), pa.string())
 
 
 def arc_records(spark: SparkSession, folder: str) -> DataFrame:
-    """url, ip, date, kind, record_id, block of every ARC record."""
+    """place, fields (a map), block of every ARC record, version blocks included."""
 
     def rows(batches):
-        names = [*_LINE, "record_id", "block"]
         for batch in batches:
-            for content in batch.column(1):
-                held: list[tuple] = []
-                size = 0
-                for fields, block in read_arc(member_chunks(content.as_py())):
-                    held.append((*(fields.get(f, "-") for f in _LINE_FIELDS), record_id(fields, block), block))
-                    size += len(block)
-                    if size > 1 << 22:
-                        yield _records(held, names)
-                        held, size = [], 0
-                if held:
-                    yield _records(held, names)
+            held: list[tuple] = []
+            size = 0
+            for place, fields, block in _archive_records(batch, version_blocks=True):
+                held.append((place, list(fields.items()), block))
+                size += len(block)
+                if size > 1 << 22:
+                    yield _records(held)
+                    held, size = [], 0
+            if held:
+                yield _records(held)
 
-    return read_blobs(spark, folder).mapInArrow(rows, ", ".join(f"{n} string" for n in [*_LINE, "record_id"]) + ", block binary")
+    return read_blobs(spark, folder).mapInArrow(rows, "place string, fields map<string,string>, block binary")
 
 
-def _records(held: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _records(held: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*held))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for c, n in zip(columns, names)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), _FIELDS, pa.binary()))], ["place", "fields", "block"])
 
 
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = REVISIT_BYTES) -> None:
     """ARC files to WARC files.
 
-    Of records with one payload of at least ``least_bytes``, the one with the largest page id is the response and the
-    others revisit it. Records without a page id are always responses and are not referred to. Only records that revisit
-    are looked up, by their record ids; copies are added up per task before digests are shuffled.
+    Of records with one payload of at least ``least_bytes``, one with the largest page id is the response and those with
+    other page ids revisit it; repeated records of that page are responses as well. Records without a page id are never
+    revisits and are not referred to. Only records that revisit are looked up, by their place; copies are added up per task
+    before digests are shuffled.
     """
     digests = cut_lineage(arc_digests(spark, arc_folder))
     large = digests.filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
     key = ["payload_digest", "payload_bytes"]
     groups = large.groupBy(*key).agg(F.max(F.struct("page_id", "record_id")).alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    revisits = large.join(groups.select(*key, F.col("_top.record_id").alias("refers_to")), key).filter("record_id <> refers_to")
-    revisits = cut_lineage(revisits.select("record_id", "refers_to").distinct())
+    revisits = large.join(groups, key).filter("page_id <> _top.page_id")
+    revisits = cut_lineage(revisits.select("place", F.col("_top.record_id").alias("refers_to")))
 
     def records(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256).to_pylist()
-                out = [gzip_member(warc_record({f: r[n] for f, n in zip(_LINE_FIELDS, _LINE)}, r["block"], r["refers_to"])) for r in some]
+                out = [gzip_member(warc_record(dict(r["fields"]), r["block"], r["refers_to"], r["place"])) for r in some]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    joined = arc_records(spark, arc_folder).join(revisits, "record_id", "left").select(*_LINE, "block", "refers_to")
-    write_blobs(joined.mapInArrow(records, "record binary"), "record", warc_folder)
+    joined = arc_records(spark, arc_folder).join(revisits, "place", "left").select("place", "fields", "block", "refers_to")
+    write_blobs(joined.mapInArrow(records, "record binary"), "record", warc_folder, FILE_RECORDS)
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex), record_type, record_id, target of every WARC record.
+    """page_id, payload_bytes, payload_digest (hex), record_type, record_id, target of every WARC record but warcinfo ones.
 
     For a revisit the length and the digest are those of the payload it stands for.
     """
@@ -317,11 +349,13 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                 for headers, block in read_warc(member_chunks(content.as_py())):
                     http, payload = http_parts(block)
                     kind = header_value(headers, "WARC-Type")
+                    if kind == "warcinfo":
+                        continue
                     digest = header_value(headers, "WARC-Payload-Digest") or ""
-                    if kind == "response" and digest != base32_sha1(payload):
+                    if kind != "revisit" and digest != base32_sha1(payload):
                         raise ValueError(f"{header_value(headers, 'WARC-Record-ID')}: the payload does not have its digest")
                     page = header_value(http, PAGE_HEADER)
-                    size = len(payload) if kind == "response" else int(header_value(http, "Content-Length") or 0)
+                    size = len(payload) if kind != "revisit" else int(header_value(http, "Content-Length") or 0)
                     out.append((
                         int(page) if page else None, size, base64.b32decode(digest.removeprefix("sha1:")).hex(), kind,
                         header_value(headers, "WARC-Record-ID"), header_value(headers, "WARC-Refers-To"),
