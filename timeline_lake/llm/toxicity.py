@@ -4,7 +4,7 @@
    its hash names; none is chosen or left out by the labels.
 2. One pass over all texts gives the document frequency of every number. A bounded sample of labelled documents is drawn by
    hash. The weight of a term is its TF-IDF weight; one that speaks for label 1 beyond chance weighs more (``relevance``).
-3. The sample becomes an index. Its most frequent terms are dense rows, scored for many queries at once. All others have
+3. The sample becomes an index. Its most frequent terms are dense rows, of which a query reads its own. All others have
    postings in blocks of examples with the largest weight of each block: a query bounds every block by its frequent terms'
    best score and those maxima, and reads only postings of blocks that can reach the ``NEIGHBOURS``-th best cosine. What
    is left is scored again in double precision, so the neighbours are the exact ones.
@@ -27,14 +27,14 @@ from timeline_lake.llm.labels import label_sample, remainder
 from timeline_lake.llm.shared import given
 from timeline_lake.session import cut_lineage
 
-EXAMPLES = 6_000
+EXAMPLES = 2_000
 BUCKETS = 1 << 18
 NEIGHBOURS = 15
 BLOCK = 64
-FREQUENT = 2_048
+FREQUENT = 8_192
 # About the logarithm of the number of terms: chance associations stay below and leave a term its plain weight.
 CHANCE_ASSOCIATION = 12.0
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (5, 6)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 # Queries scored at once, and more than single precision can be off in a sum of ``FREQUENT`` products of unit vectors.
 _TOGETHER = 128
@@ -147,21 +147,17 @@ class BlockMaxIndex:
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each query."""
-        units = [self.unit(i, c) for i, c in queries]
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
-        for q, ((index, _), unit) in enumerate(zip(queries, units)):
-            at = self.column[index]
-            asked[q, at[at >= 0]] = unit[at >= 0]
-        scores = asked @ self.dense
-        best = scores.reshape(len(queries), self.n_blocks, self.block).max(axis=2)
-        return [self._nearest(i, u, s, b, k, w) for (i, _), u, s, b, w in zip(queries, units, scores, best, without or [-1] * len(queries))]
-
-    def _nearest(self, index: np.ndarray, unit: np.ndarray, score: np.ndarray, best: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        return [self._nearest(index, self.unit(index, counts), k, w) for (index, counts), w in zip(queries, without or [-1] * len(queries))]
+
+    def _nearest(self, index: np.ndarray, unit: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(index) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
+        at = self.column[index]
+        score = unit[at >= 0].astype(np.float32) @ self.dense[at[at >= 0]]
+        best = score.reshape(self.n_blocks, self.block).max(axis=1)
         if without >= 0:
             score[without] = -9
-        rare = self.column[index] < 0
+        rare = at < 0
         lo, hi = self.cell_first[index[rare]], self.cell_first[index[rare] + 1]
         cells, weights = _ranges(lo, hi), np.repeat(unit[rare], hi - lo)
         blocks = self.cell_block[cells]
@@ -248,9 +244,9 @@ def example_vectors(docs: DataFrame, sample: DataFrame, size: int = BUCKETS) ->
     texts = asked.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
     counted = texts.mapInArrow(count, "doc_id long, label int, terms binary, counts binary")
     one = counted.groupBy("doc_id").agg(F.min(F.struct("label", "terms", "counts")).alias("v"))
-    found = one.select("doc_id", "v.*").orderBy("doc_id").collect()  # at most the sample
-    vectors = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in found]
-    return vectors, np.array([r["label"] for r in found], float), np.array([r["doc_id"] for r in found], np.int64)
+    found = one.select("doc_id", "v.*").orderBy("doc_id").toArrow()  # at most the sample
+    vectors = [tuple(np.frombuffer(v.as_py(), np.int32) for v in pair) for pair in zip(found["terms"], found["counts"])]
+    return vectors, found["label"].to_numpy().astype(float), found["doc_id"].to_numpy()
 
 
 def relevance(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int = BUCKETS) -> np.ndarray:
