@@ -10,6 +10,8 @@ from timeline_lake.plans import views as V
 from timeline_lake.streaming import runs, search, telemetry, transcripts, usage
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+#: The day recordings are taken to begin, in milliseconds: event times have to lie after the first watermark, which is 1970.
+SAID_ON_MS = 946_684_800_000
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -57,8 +59,8 @@ def utterance_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The words table is written once and read as a stream; a last row a day later closes every utterance."""
     words = V.words(spark, folder).select(
         "project_slug", "source_slug", "word_index", "word",
-        F.timestamp_millis(F.round(F.col("start_time") * 1000).cast("long")).alias("spoken_from"),
-        F.timestamp_millis(F.round(F.col("end_time") * 1000).cast("long")).alias("spoken_until"),
+        F.timestamp_millis(F.round(F.col("start_time") * 1000).cast("long") + SAID_ON_MS).alias("spoken_from"),
+        F.timestamp_millis(F.round(F.col("end_time") * 1000).cast("long") + SAID_ON_MS).alias("spoken_until"),
     )
     path = runs.work_folder(spark, "words")
     closing = words.groupBy().agg((F.max("spoken_from") + F.expr("interval 1 day")).alias("spoken_from")).select(
@@ -67,8 +69,12 @@ def utterance_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
     words.unionByName(closing).write.parquet(path)
     schema = ", ".join(f"{name} {kind}" for name, kind in words.dtypes)
-    said = runs.collect_stream(transcripts.utterance_sessions(runs.file_stream(spark, path, schema)), "utterances")
-    return said.select("project_slug", "source_slug", "first_index", "n_words", F.unix_millis("said_from").alias("from_ms"), F.unix_millis("said_until").alias("until_ms"), "text")
+    parts = runs.collect_stream(transcripts.utterance_parts(runs.file_stream(spark, path, schema), part_words=16), "utterances")
+    said = transcripts.joined_parts(parts)
+    return said.select(
+        "project_slug", "source_slug", "first_index", "n_words", "text",
+        F.expr(f"from_us div 1000 - {SAID_ON_MS}").alias("from_ms"), F.expr(f"until_us div 1000 - {SAID_ON_MS}").alias("until_ms"),
+    )
 
 
 def fts_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,9 +96,7 @@ def fts_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quota_stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = runs.work_folder(spark, "quota")
-    usage.follow(V.usage_of(_events(spark, folder)), path, f"{path}/checkpoint")
-    return usage.decisions(spark, path)
+    return runs.collect_stream(usage.decisions(V.usage_of(_events(spark, folder))), "quota")
 
 
 QUERIES = {

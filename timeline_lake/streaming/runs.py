@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from timeline_lake.session import checkpoint_folder
 
+#: The store that keyed state with timers and lifetimes needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
