@@ -20,7 +20,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return runs.file_stream(spark, folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+def _payloads_of(events: DataFrame) -> DataFrame:
     """Telemetry payloads as JSON: five in a hundred events repeat the render before, one in fifty lacks its id."""
     event, user = F.col("event_id"), F.col("user_id")
     number = event - F.when(F.pmod(event, F.lit(100)) < 5, F.lit(1)).otherwise(F.lit(0))
@@ -30,17 +30,35 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("finished_at"), (F.floor(F.col("value") * 4) / F.lit(4.0)).alias("output_duration_seconds"),
         F.pmod(event, F.lit(60)).cast("double").alias("fps"), F.create_map(F.lit("wall_seconds"), F.floor("value") * 1.0).alias("timing"),
     )
-    return _events(spark, folder).select(F.to_json(body).alias("json"))
+    return events.select("event_id", F.to_json(body).alias("json"))
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    return _payloads_of(_events(spark, folder)).select("json")
+
+
+def _payload_files(spark: SparkSession, folder: str) -> str:
+    """The payloads as files of JSON lines; one line in 151 is cut short, as a crash would leave it."""
+    made = _payloads_of(V.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    line = F.when(F.pmod("event_id", F.lit(151)) == 3, F.substring("json", 1, 25)).otherwise(F.col("json"))
+    path = runs.work_folder(spark, "payloads")
+    made.select(line.alias("value")).repartition(6).write.text(path)
+    return path
 
 
 def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
-    facts = runs.collect_stream(telemetry.unique_facts(_payloads(spark, folder), "2 hours"), "facts")
+    """Facts from files of JSON lines, read two files at a time; finished files are archived."""
+    path = _payload_files(spark, folder)
+    lines = telemetry.payload_lines(spark, path, files_per_batch=2, archive=f"{path}-done")
+    facts = runs.collect_stream(telemetry.unique_facts(lines, "2000 days"), "facts")
     return facts.groupBy("render_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def telemetry_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    bad = runs.collect_stream(telemetry.rejects(_payloads(spark, folder)), "rejects")
-    return bad.select(F.from_json("json", "project string, fps double").alias("_p")).select("_p.project", "_p.fps")
+    bad = runs.collect_stream(telemetry.rejects(telemetry.payload_lines(spark, _payload_files(spark, folder), files_per_batch=2)), "rejects")
+    parsed = F.from_json("json", "project string, fps double")
+    whole = F.col("reason") != "broken line"
+    return bad.select("reason", F.when(whole, parsed["project"]).alias("project"), F.when(whole, parsed["fps"]).alias("fps"), F.when(~whole, F.col("json")).alias("line"))
 
 
 def _all_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,8 +142,12 @@ GROUP BY window_start, project, codec HAVING window_start + INTERVAL {length} HO
 
 
 ORACLES = {
-    "telemetry_stream": with_(_FACTS) + " SELECT DISTINCT render_id, 1 AS n FROM facts",
-    "telemetry_rejects": "SELECT 'p' || (user_id % 5) AS project, (event_id % 60)::DOUBLE AS fps FROM events WHERE event_id % 50 = 49",
+    "telemetry_stream": """SELECT DISTINCT 'u' || (event_id - CASE WHEN event_id % 100 < 5 THEN 1 ELSE 0 END) AS render_id, 1 AS n FROM events WHERE event_id % 50 <> 49 AND event_id % 151 <> 3""",
+    "telemetry_rejects": """SELECT CASE WHEN event_id % 151 = 3 THEN 'broken line' ELSE 'no id or time' END AS reason, CASE WHEN event_id % 151 <> 3 THEN 'p' || (user_id % 5) END AS project,
+  CASE WHEN event_id % 151 <> 3 THEN (event_id % 60)::DOUBLE END AS fps,
+  CASE WHEN event_id % 151 = 3 THEN left(CASE WHEN event_id % 50 <> 49 THEN '{"render_id":"u' || (event_id - CASE WHEN event_id % 100 < 5 THEN 1 ELSE 0 END) || '",' ELSE '{' END
+    || '"project":"p' || (user_id % 5) || '","codec":"' || event_type || '"', 25) END AS line
+FROM events WHERE event_id % 50 = 49 OR event_id % 151 = 3""",
     "telemetry_windows": _windows_sql(1, 1),
     "telemetry_sliding_windows": _windows_sql(6, 2),
     "utterance_stream": with_(WORDS) + """, wm AS (SELECT project_slug, source_slug, word_index, word, round(start_time * 1000)::BIGINT AS s, round(end_time * 1000)::BIGINT AS e FROM words),

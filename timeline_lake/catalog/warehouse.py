@@ -9,6 +9,9 @@ from timeline_lake.catalog.sql import ASSETS, PROJECTS, RENDERS, WORDS, with_
 from timeline_lake.functions import text as X
 from timeline_lake.operators import keyed as K
 from timeline_lake.plans import views as V
+from timeline_lake.session import cut_lineage
+from timeline_lake.sources import versions
+from timeline_lake.streaming import runs
 
 ASSET_KEY = ["project_slug", "slug"]
 SOURCE_KEY = ["project_slug", "source_slug"]
@@ -70,7 +73,8 @@ def _analyses(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("frame_count")).select(
         F.concat(F.lit("p"), F.pmod(key, F.lit(5))).alias("project_slug"), F.concat(F.lit("c"), key).alias("source_slug"),
         F.concat(F.lit("/media/"), key).alias("source_path"), F.lit("extracted").alias("status"), F.lit(1.0).alias("sample_fps"), "frame_count",
-        F.lit(0).cast("long").alias("scene_count"), (F.pmod(key, F.lit(90)) * 1.0).alias("duration_seconds"), F.lit("2024-01-01").cast("timestamp").alias("created"),
+        F.lit(0).cast("long").alias("scene_count"), (F.pmod(key, F.lit(90)) * 1.0).alias("duration_seconds"), F.concat(F.lit("/frames/"), key).alias("frames_dir"),
+        F.lit("2024-01-01").cast("timestamp").alias("created"),
     )
 
 
@@ -79,8 +83,8 @@ def upsert_analyses(spark: SparkSession, folder: str) -> DataFrame:
     n = _number("source_slug")
     batch = analyses.filter(F.pmod(n, F.lit(3)) == 0).withColumns(
         {"source_slug": F.when(F.pmod(n, F.lit(2)) == 0, F.concat(F.lit("x"), "source_slug")).otherwise(F.col("source_slug")),
-         "sample_fps": F.lit(2.0), "status": F.lit("new"), "scene_count": F.lit(9).cast("long"), "created": _later()})
-    return K.upsert(analyses, batch, SOURCE_KEY, update=["source_path", "sample_fps", "frame_count", "duration_seconds"])
+         "sample_fps": F.lit(2.0), "status": F.lit("new"), "scene_count": F.lit(9).cast("long"), "frames_dir": F.concat(F.lit("/new"), "frames_dir"), "created": _later()})
+    return K.upsert(analyses, batch, SOURCE_KEY, update=["source_path", "sample_fps", "frame_count", "duration_seconds", "frames_dir"])
 
 
 def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,18 +156,46 @@ def set_tags(spark: SparkSession, folder: str) -> DataFrame:
     return K.set_columns(assets, changes, ASSET_KEY, ["tags"]).withColumn("tags", F.array_join("tags", "|"))
 
 
+def _stored(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str] | None = None, buckets: int = 16) -> str:
+    """The table written as version 0 below a fresh folder."""
+    path = f"{runs.work_folder(spark, 'versions')}/table"
+    versions.create(df, path, keys, order, buckets)
+    return path
+
+
+def merge_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of `upsert_assets`, merged into a stored table: only the buckets it falls into are read and written."""
+    assets = _assets(spark, folder)
+    path = _stored(spark, assets, ASSET_KEY)
+    batch = cut_lineage(_asset_batch(assets))
+    versions.merge(spark, path, batch, lambda rows: K.upsert(rows, batch, ASSET_KEY, order="nth"))
+    return versions.read(spark, path)
+
+
+def merge_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The children of `replace_children` in a stored table, dealt by their parents."""
+    words = _word_table(spark, folder)
+    path = _stored(spark, words, SOURCE_KEY, [*SOURCE_KEY, "word_index"])
+    saved = cut_lineage(words.filter(F.pmod(_number("source_slug"), F.lit(3)) == 0))
+    fresh = saved.filter(F.pmod("word_index", F.lit(2)) == 1)
+    block = F.floor(F.col("word_index") / 100000)
+    versions.merge(spark, path, saved, lambda rows: K.replace_children(rows, saved, fresh, SOURCE_KEY, ["word_index"], "word_index", block))
+    return versions.read(spark, path)
+
+
 def get_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    return _assets(spark, folder).filter(F.col("slug") == "a15")
+    return versions.lookup(spark, _stored(spark, _assets(spark, folder), ["slug"]), slug="a15")
 
 
 def get_by_keys(spark: SparkSession, folder: str) -> DataFrame:
     wanted = V.table(spark, folder, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey") * 7).alias("slug"))
-    return K.children_of(_assets(spark, folder).select(*ASSET_KEY, "filename"), wanted, ["slug"])
+    path = _stored(spark, _assets(spark, folder).select(*ASSET_KEY, "filename"), ["slug"])
+    return versions.lookup_many(spark, path, wanted)
 
 
 def children_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    words = _word_table(spark, folder)
-    return words.filter((F.col("project_slug") == "p2") & (F.col("source_slug") == "c7")).orderBy("word_index")
+    path = _stored(spark, _word_table(spark, folder), SOURCE_KEY, [*SOURCE_KEY, "word_index"])
+    return versions.lookup(spark, path, project_slug="p2", source_slug="c7").orderBy("word_index")
 
 
 def list_newest(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,7 +318,7 @@ def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_assets, upsert_renders, upsert_presets, upsert_analyses, upsert_transcripts, replace_children, parent_rollup, cascade_delete, deletion_report,
+        upsert_assets, upsert_renders, upsert_presets, upsert_analyses, upsert_transcripts, replace_children, merge_assets, merge_words, parent_rollup, cascade_delete, deletion_report,
         archive_projects, set_tags, get_by_key, get_by_keys, children_in_order, list_newest, list_presets, list_top_k, list_all_with_ids, split_compound_id,
         slugify, derive_slugs_from_path, unique_slug, unique_slug_audit, get_or_create, constraint_audit, parity_diff, parity_children, parity_summary, adhoc_sql,
     )
@@ -298,7 +330,7 @@ _PRESETS = """
 presets AS (SELECT lower(p_brand) || '-' || lower(p_type) AS name, 'caption' AS type, MIN(p_name) AS description, '{"wordsPerGroup":' || MAX(p_size) || '}' AS config_json FROM part GROUP BY ALL)"""
 _ANALYSES = f"""
 analyses AS (SELECT 'p' || (conv_id % 5) AS project_slug, 'c' || conv_id AS source_slug, '/media/' || conv_id AS source_path, 'extracted' AS status, 1.0::DOUBLE AS sample_fps, COUNT(*) AS frame_count,
-  0 AS scene_count, (conv_id % 90)::DOUBLE AS duration_seconds, {_OLD} AS created, conv_id AS k FROM conversations GROUP BY conv_id)"""
+  0 AS scene_count, (conv_id % 90)::DOUBLE AS duration_seconds, '/frames/' || conv_id AS frames_dir, {_OLD} AS created, conv_id AS k FROM conversations GROUP BY conv_id)"""
 _TRANSCRIPTS = f"""
 transcripts AS (SELECT project_slug, source_slug, COUNT(*) AS word_count, MAX(end_time) AS duration_seconds, {_OLD} AS created, substr(source_slug, 2)::BIGINT AS k FROM words GROUP BY ALL)"""
 _FOLD = """regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g')"""
@@ -316,8 +348,8 @@ SELECT project_slug, slug, CASE WHEN k % 3 = 0 THEN 'v2 ' ELSE '' END || filenam
 UNION ALL SELECT project_slug, 'n' || slug, 'v2 ' || filename, file_path, file_size_bytes, CASE WHEN k % 2 = 0 THEN duration_seconds + 1.0 END, width, height, fps, codec, false, CASE WHEN k % 2 = 1 THEN {_NOW} - INTERVAL 1 DAY ELSE {_NOW} END FROM base WHERE k % 7 = 0""",
     "upsert_renders": with_(RENDERS) + """ SELECT * REPLACE (CASE WHEN substr(slug, 2)::BIGINT % 4 = 1 THEN 'completed' ELSE status END AS status, CASE WHEN substr(slug, 2)::BIGINT % 4 = 1 THEN 'again' ELSE notes_md END AS notes_md) FROM renders""",
     "upsert_presets": with_(_PRESETS) + f""" SELECT name, type, description, CASE WHEN name LIKE '%promo' THEN '{{}}' ELSE config_json END AS config_json, {_OLD} AS created, CASE WHEN name LIKE '%promo' THEN {_NOW} ELSE {_OLD} END AS updated FROM presets""",
-    "upsert_analyses": with_(_ANALYSES) + f""" SELECT * EXCLUDE (k) REPLACE (CASE WHEN k % 6 = 3 THEN 2.0::DOUBLE ELSE sample_fps END AS sample_fps) FROM analyses
-UNION ALL SELECT project_slug, 'x' || source_slug, source_path, 'new', 2.0, frame_count, 9, duration_seconds, {_NOW} FROM analyses WHERE k % 6 = 0""",
+    "upsert_analyses": with_(_ANALYSES) + f""" SELECT * EXCLUDE (k) REPLACE (CASE WHEN k % 6 = 3 THEN 2.0::DOUBLE ELSE sample_fps END AS sample_fps, CASE WHEN k % 6 = 3 THEN '/new' || frames_dir ELSE frames_dir END AS frames_dir) FROM analyses
+UNION ALL SELECT project_slug, 'x' || source_slug, source_path, 'new', 2.0, frame_count, 9, duration_seconds, '/new' || frames_dir, {_NOW} FROM analyses WHERE k % 6 = 0""",
     "upsert_transcripts": with_(WORDS, _TRANSCRIPTS) + f""" SELECT project_slug, source_slug, word_count + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS word_count, duration_seconds, CASE WHEN k % 2 = 0 THEN {_NOW} ELSE created END AS created FROM transcripts""",
     "replace_children": with_(WORDS) + """ SELECT project_slug, source_slug, word_index, word, start_time, end_time FROM words WHERE substr(source_slug, 2)::BIGINT % 3 <> 0
 UNION ALL SELECT project_slug, source_slug, row_number() OVER (PARTITION BY project_slug, source_slug ORDER BY word_index) - 1, word, start_time, end_time FROM words WHERE substr(source_slug, 2)::BIGINT % 3 = 0 AND word_index % 2 = 1""",
@@ -368,3 +400,6 @@ SELECT project_slug, source_slug, a.n AS db_count, b.n AS md_count, CASE WHEN a.
     "adhoc_sql": with_(PROJECTS, RENDERS) + """ SELECT p.status AS project_status, r.status AS render_status, GROUPING(r.status) AS subtotal, COUNT(*) AS n, SUM(r.duration_seconds) AS seconds
 FROM renders r JOIN projects p ON p.slug = r.project_slug GROUP BY ROLLUP (p.status, r.status)""",
 }
+# A merge into a stored table gives what the merge of whole tables gives.
+ORACLES["merge_assets"] = ORACLES["upsert_assets"]
+ORACLES["merge_words"] = ORACLES["replace_children"]

@@ -59,8 +59,11 @@ def frame_stats(frames: DataFrame) -> DataFrame:
 
 
 def render_facts(payloads: DataFrame) -> DataFrame:
-    """Telemetry payloads (json) as fact rows; ``bad`` marks those without a render id or finish time."""
-    parsed = payloads.withColumn("_p", F.from_json("json", PAYLOAD))
+    """Telemetry payloads (json) as fact rows; ``bad`` marks those without a render id or finish time.
+
+    Payloads that a JSON reader has parsed (see ``payload_lines``) come as ``payload``, with ``json`` only for broken lines.
+    """
+    parsed = payloads.withColumn("_p", F.col("payload") if "payload" in payloads.columns else F.from_json("json", PAYLOAD))
     finished = F.col("_p.finished_at").try_cast("timestamp")
     names = ["render_id", "project", "slug", "status", "output_duration_seconds", "file_size_bytes", "resolution", "codec", "fps",
              "source_count", "segment_count", "captions_applied", "timing"]

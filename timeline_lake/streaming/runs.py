@@ -18,6 +18,15 @@ def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*
     return reader.parquet(folder)
 
 
+def json_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000, archive: str | None = None) -> DataFrame:
+    """JSON lines of the files that arrive in ``folder``, with ``_corrupt_record`` for lines that are no such object."""
+    reader = spark.readStream.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.json(folder)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder."""
     return f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeline_lake.plans.telemetry import render_facts
+from timeline_lake.plans.telemetry import PAYLOAD, render_facts
+from timeline_lake.streaming.runs import json_stream
+
+
+def payload_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000, archive: str | None = None) -> DataFrame:
+    """Payloads, one JSON object per line, from files as they arrive: ``payload``, and ``json`` as the line if it is broken.
+
+    At most ``files_per_batch`` files make a micro-batch; with ``archive`` finished files are moved there, so that the
+    folder that is listed stays small.
+    """
+    lines = json_stream(spark, folder, PAYLOAD, files_per_batch, archive)
+    fields = [c.split(" ")[0] for c in PAYLOAD.split(", ")]
+    broken = F.col("_corrupt_record")
+    return lines.select(F.when(broken.isNull(), F.struct(*fields)).alias("payload"), broken.alias("json"))
 
 
 def unique_facts(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -15,7 +28,9 @@ def unique_facts(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def rejects(payloads: DataFrame) -> DataFrame:
-    return render_facts(payloads).filter("bad").select("json")
+    """Payloads that are no facts: why, the broken line or the payload that lacks an id or a time."""
+    reason = F.when(F.col("json").isNotNull() & F.col("project").isNull(), F.lit("broken line")).otherwise(F.lit("no id or time"))
+    return render_facts(payloads).filter("bad").select(reason.alias("reason"), F.coalesce("json", F.to_json(F.struct("project", "slug", "codec", "fps"))).alias("json"))
 
 
 def windowed_counts(facts: DataFrame, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
