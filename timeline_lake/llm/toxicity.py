@@ -31,10 +31,10 @@ EXAMPLES = 2_000
 BUCKETS = 1 << 18
 NEIGHBOURS = 15
 BLOCK = 64
-FREQUENT = 8_192
+FREQUENT = 2_048
 # About the logarithm of the number of terms: chance associations stay below and leave a term its plain weight.
 CHANCE_ASSOCIATION = 12.0
-PREFIXES = (5, 6)
+PREFIXES = (5,)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 # Queries scored at once, and more than single precision can be off in a sum of ``FREQUENT`` products of unit vectors.
 _TOGETHER = 128
@@ -65,20 +65,20 @@ class HashedTerms:
 
 
 class TermCounts(dict):
-    """Counts of all terms of a text by number; each distinct word is looked up once per worker (word: numbers as bytes)."""
+    """Counts of all terms of a text by number. What stands between spaces is looked up once per worker (its terms' numbers as bytes)."""
 
     def __init__(self, vocabulary: dict[str, int] | HashedTerms, limit: int = 300_000):
         self.vocabulary, self.limit = vocabulary, limit
 
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = np.array([self.vocabulary[t] for t in word_terms(word)], np.int32).tobytes()
+    def __missing__(self, token: str) -> bytes:
+        found = self[token] = np.array([self.vocabulary[t] for w in _WORD.findall(token) for t in word_terms(w)], np.int32).tobytes()
         return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(numbers in rising order, their counts)."""
         if len(self) > self.limit:
             self.clear()
-        numbers = np.frombuffer(b"".join(map(self.__getitem__, _WORD.findall(text.lower()))), np.int32)
+        numbers = np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), np.int32)
         index, counts = np.unique(numbers, return_counts=True)
         return index, counts.astype(np.int32)
 
@@ -172,9 +172,8 @@ class BlockMaxIndex:
         # The few that are left, in double precision.
         query = self.query
         query[index] = unit
-        lo, hi = self.start[rows], self.start[rows + 1]
-        entries = _ranges(lo, hi)
-        cosines = np.bincount(np.repeat(np.arange(len(rows)), hi - lo), query[self.term[entries]] * self.weight[entries], len(rows))
+        spans = zip(self.start[rows].tolist(), self.start[rows + 1].tolist())
+        cosines = np.array([query[self.term[lo:hi]] @ self.weight[lo:hi] for lo, hi in spans])
         query[index] = 0
         order = np.lexsort((rows, -cosines))[:k]
         return rows[order], cosines[order]
