@@ -32,6 +32,13 @@ def spec_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Something else in place of a text, a number, a truth value, a list and an object.
+WRONG_TYPES = (
+    ',"output_path":5', ',"captions":{"fontFamily":["a"]}', ',"captions":{"color":7,"fontSize":3}', ',"overlays":[{"start":0,"end":1,"x":0,"y":0,"width":1,"height":1,"text":{"title":true}}]',
+    ',"resolution":720', ',"aspectRatio":{"w":1}', ',"audio":{"musicVolume":"loud"}', ',"captions":{"allCaps":1}', ',"overlays":{"start":0}', ',"lut":"file"', ',"quality":{"bitrate":"much"}',
+)
+
+
 def _faulty(spark: SparkSession, folder: str) -> DataFrame:
     """One small document per order, every kind of fault in turn."""
     k = F.col("o_orderkey")
@@ -43,8 +50,9 @@ def _faulty(spark: SparkSession, folder: str) -> DataFrame:
         6: ',"aspect_ratio":"7:3"', 7: ',"quality":{"codec":"av1"}', 8: ',"resolution":"8k"', 9: ',"fps":"fast"', 10: ',"lut":{"strength":0.5}',
         11: ',"overlays":[{"start":0,"end":1,"x":0,"y":0,"width":1,"height":1,"keyframes":[{"opacity":1}]}]', 12: ',"overlays":[{"start":0,"end":1,"x":0,"y":0,"width":1}]',
         13: ',"aspectRatio":"4:5","resolution":{"width":10,"height":20},"quality":{"codec":"h264"}', 14: ',"audio":{"normalizeAudio":"yes"}',
+        **{19 + n: t for n, t in enumerate(WRONG_TYPES)}, 19 + len(WRONG_TYPES): ',"note":{"id":5,"path":[1]},"x-color":7,"captions":{"color":"a \\"id\\": 5"}',
     }
-    turn = F.pmod(k, F.lit(19))
+    turn = F.pmod(k, F.lit(20 + len(WRONG_TYPES)))
 
     def chosen(texts: dict[int, str]) -> Column:
         value = F.lit("")
@@ -209,9 +217,10 @@ ORACLES = {
   CASE WHEN o_orderkey % 37 <> 1 THEN o_orderkey % 4 END AS n_segments, CASE WHEN o_orderkey % 12 = 0 THEN 6.5::DOUBLE END AS font_size, CASE WHEN o_orderkey % 4 = 1 THEN 0.25::DOUBLE END AS music_volume,
   CASE WHEN o_orderkey % 2 = 0 THEN 30.0::DOUBLE END AS fps, CASE WHEN o_orderkey % 5 > 2 AND o_orderkey % 3 <> 1 THEN '720p' END AS preset, CASE WHEN o_orderkey % 5 > 2 AND o_orderkey % 3 = 1 THEN 640 END AS width,
   CASE WHEN o_orderkey % 29 <> 3 THEN '/out/' || (o_custkey % 20) || '/r' || o_orderkey || '.mp4' END AS output_path FROM orders""",
-    "spec_problems": """SELECT o_orderkey AS spec_id, CASE o_orderkey % 19 WHEN 1 THEN 'segments.transition.type' WHEN 2 THEN 'segments.transition.type, duration' WHEN 3 THEN 'segments.keyframes.time'
+    "spec_problems": """SELECT o_orderkey AS spec_id, CASE o_orderkey % 31 WHEN 1 THEN 'segments.transition.type' WHEN 2 THEN 'segments.transition.type, duration' WHEN 3 THEN 'segments.keyframes.time'
   WHEN 4 THEN 'a value of the wrong type' WHEN 6 THEN 'aspect_ratio' WHEN 7 THEN 'quality.codec' WHEN 8 THEN 'resolution' WHEN 9 THEN 'a value of the wrong type' WHEN 10 THEN 'lut.path' WHEN 11 THEN 'overlays.keyframes.time'
-  WHEN 12 THEN 'overlays.start, end, x, y, width, height' WHEN 14 THEN 'a value of the wrong type' WHEN 15 THEN 'segments.source_id, start, end' WHEN 16 THEN 'not a JSON object' WHEN 17 THEN 'not a JSON object' WHEN 18 THEN 'not a JSON object' END AS problem FROM orders""",
+  WHEN 12 THEN 'overlays.start, end, x, y, width, height' WHEN 14 THEN 'a value of the wrong type' WHEN 15 THEN 'segments.source_id, start, end' WHEN 16 THEN 'not a JSON object' WHEN 17 THEN 'not a JSON object' WHEN 18 THEN 'not a JSON object'
+  WHEN 23 THEN 'resolution' WHEN 24 THEN 'aspect_ratio' WHEN 0 THEN NULL WHEN 5 THEN NULL WHEN 13 THEN NULL WHEN 30 THEN NULL ELSE 'a value of the wrong type' END AS problem FROM orders""",
     "spec_sources": with_(_DOCS) + " SELECT k AS spec_id, i AS position, id, path, tid AS transcript_id FROM srcs",
     "spec_segments": with_(_DOCS) + """ SELECT k AS spec_id, i AS position, source_id, start, "end", speed, tr AS transition, volume, afp AS audio_from_prev FROM segs""",
     "spec_keyframes": with_(_DOCS) + """ SELECT k AS spec_id, 'segment' AS of, i AS element, p AS position, p::DOUBLE AS time, CASE WHEN p = 0 THEN 1.5::DOUBLE END AS scale, CASE WHEN p = 1 THEN -0.5::DOUBLE END AS extra FROM segs, range(0, 2) r(p) WHERE (k + i) % 6 = 0

@@ -93,13 +93,15 @@ def parse_specs(documents: DataFrame, text: str = "spec_json") -> DataFrame:
     """Add ``spec`` (typed) and ``problem``: null, or the first thing that keeps the document from being decoded.
 
     Checked in this order: the document is a JSON object; required fields, outside in; the values of enumerations; and
-    that no other field has a value of the wrong type.
+    that no other field has a value of the wrong type. A document is parsed once; only one that the parser could not read
+    whole, or that seems to have another value where a text belongs, is looked at again.
     """
     kind = T.StructType([*_both_spellings(spec_schema()).fields, T.StructField("_corrupt_record", T.StringType())])
     value = F.from_json(text, kind, {"columnNameOfCorruptRecord": "_corrupt_record"})
     raw = _once(documents, "_raw", value)
-    shape = F.schema_of_variant(F.try_parse_json(text))
     parsed = _once(raw, "spec", _settle(F.col("_raw"), spec_schema()))
+    spoilt = F.col("_raw._corrupt_record").isNotNull()
+    whole = F.col(text).rlike("^[ \\t\\r\\n]*\\{") & (~spoilt | F.try_parse_json(text).isNotNull())
 
     def absent(of: Column, *fields: str) -> Column:
         found = of.isNull()
@@ -122,7 +124,7 @@ def parse_specs(documents: DataFrame, text: str = "spec_json") -> DataFrame:
     sized = resolution.startswith("{") & size["width"].isNotNull() & size["height"].isNotNull()
     other = F.exists("spec.segments", lambda e: e["transition"].isNotNull() & ~e["transition"]["type"].isin(*TRANSITIONS))
     problem = (
-        F.when(~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.lit("not a JSON object"))
+        F.when(~F.coalesce(whole, F.lit(False)), F.lit("not a JSON object"))
         .when(F.col("spec.sources").isNull(), F.lit("sources"))
         .when(F.col("spec.segments").isNull(), F.lit("segments"))
         .when(F.col("spec.output_path").isNull(), F.lit("output_path"))
@@ -139,10 +141,58 @@ def parse_specs(documents: DataFrame, text: str = "spec_json") -> DataFrame:
     for name, allowed in CHOICES.items():
         problem = problem.when(~F.col(f"spec.{name}").isin(*allowed), F.lit(name))
     problem = problem.when(resolution.isNotNull() & ~resolution.isin(*RESOLUTIONS) & ~F.coalesce(sized, F.lit(False)), F.lit("resolution"))
-    problem = problem.when(F.col("_raw._corrupt_record").isNotNull(), F.lit("a value of the wrong type"))
+    problem = problem.when(spoilt | (F.col(text).rlike(_unquoted()) & _no_text(text)), F.lit("a value of the wrong type"))
     return parsed.withColumn("problem", problem).drop("_raw")
 
 
+def _text_names(kind: T.DataType) -> set[str]:
+    """Names of the fields, in both spellings, that hold texts. None of them is the name of another kind of field."""
+    if isinstance(kind, T.ArrayType):
+        return _text_names(kind.elementType)
+    if not isinstance(kind, T.StructType):
+        return set()
+    own = {n for f in kind.fields if isinstance(f.dataType, T.StringType) for n in (f.name, _camel(f.name))}
+    return own.union(*(_text_names(f.dataType) for f in kind.fields))
+
+
+@cache
+def _unquoted() -> str:
+    """Such a name with something after it that is neither a quote nor null; ``resolution`` may be an object."""
+    names = sorted(_text_names(spec_schema()) - {"resolution"})
+    return f'"(?:{"|".join(names)})"\\s*+:\\s*+[^"n]|"resolution"\\s*+:\\s*+[^"n{{]'
+
+
+def _as_variants(kind: T.DataType) -> T.DataType | None:
+    """The part of a schema that holds texts, with variants in their place."""
+    if isinstance(kind, T.StringType):
+        return T.VariantType()
+    if isinstance(kind, T.ArrayType):
+        inner = _as_variants(kind.elementType)
+        return T.ArrayType(inner) if inner else None
+    if isinstance(kind, T.StructType):
+        fields = [T.StructField(f.name, inner) for f in kind.fields if (inner := _as_variants(f.dataType))]
+        return T.StructType(fields) if fields else None
+    return None
+
+
+def _no_text(text: str) -> Column:
+    """Whether a value that should be a text is something else, which a parser told to read a text would turn into one."""
+
+    def wrong(value: Column, kind: T.DataType, name: str = "") -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.exists(value, lambda e: wrong(e, kind.elementType)), F.lit(False))
+        if isinstance(kind, T.StructType):
+            found = F.lit(False)
+            for field in kind.fields:
+                found = found | wrong(value[field.name], field.dataType, field.name)
+            return found
+        shape = F.schema_of_variant(value)
+        return ~F.coalesce(shape.isin("STRING", "VOID") | (F.lit(name == "resolution") & shape.startswith("OBJECT")), F.lit(True))
+
+    kind = _as_variants(_both_spellings(spec_schema()))
+    return wrong(F.from_json(text, kind), kind)
+
+
 def good_specs(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("problem").isNull()).drop("problem")
 
@@ -276,16 +326,65 @@ def validate_specs(specs: DataFrame, keys: list[str], media: DataFrame, transcri
     ``folders``: folder (writable output folders). ``specs`` also carries default_project for bare transcript ids.
     """
     spec = F.col("spec")
-    specs = cut_lineage(specs.select(*keys, "default_project", "spec"))  # asked nine ways below, parsed once
-    inside = specs.select(*keys, F.explode(F.concat(_document_issues(spec), _segment_issues(spec), _overlay_issues(spec))).alias("issue"))
-
-    sources = explode_part(specs, "sources", keys)
-    probed = sources.join(media, "path", "left")
-    no_file = probed.filter(F.col("duration").isNull()).select(*keys, _say("Source file not found: ", F.col("path")).alias("issue"))
-    # A source id used twice stands for its last entry that could be read, so the later entry wins.
-    lengths = probed.filter(F.col("duration").isNotNull()).groupBy(*keys, F.col("id").alias("source_id")).agg(F.max_by("duration", "position").alias("duration"))
-    timed = explode_part(specs, "segments", keys).join(lengths, [*keys, "source_id"])
-    i, start, end, duration = (F.col(c) for c in ("position", "start", "end", "duration"))
+    nothing = F.lit(None).cast("string")
+
+    def ask(kind: str | None, key: Column, issue: Column, segment: Column | None = None, entry: Column | None = None, place: Column | None = None) -> Column:
+        """What to look up; without a kind, an issue that needs no looking up. ``segment``: its number and ends."""
+        ends = [segment[c] if segment is not None else F.lit(None).cast("double") for c in ("start", "end")]
+        numbers = [F.lit(None).cast("int") if n is None else n.cast("int") for n in (place, entry)]
+        return F.struct(
+            F.lit(kind).cast("string").alias("kind"), key.alias("key"), issue.alias("issue"), numbers[0].alias("place"), ends[0].alias("start"), ends[1].alias("end"),
+            numbers[1].alias("entry"),
+        )
+
+    known = F.transform(_document_issues(spec), lambda m: ask(None, nothing, m))
+    known = F.concat(known, *[F.transform(issues, lambda m: ask(None, nothing, m)) for issues in (_segment_issues(spec), _overlay_issues(spec))])
+    sources = F.transform(spec["sources"], lambda s: ask("media", s["path"], _say("Source file not found: ", s["path"])))
+    entries = F.transform(spec["sources"], lambda s, i: F.struct(s["id"].alias("id"), s["path"].alias("path"), i.alias("entry")))
+
+    def lengths(segment: Column, i: Column) -> Column:
+        return F.transform(F.filter(entries, lambda e: e["id"] == segment["source_id"]), lambda e: ask("media", e["path"], nothing, segment, e["entry"], i))
+
+    segments = F.flatten(F.transform(spec["segments"], lengths))
+
+    def transcript(name: Column, issue: Column) -> Column:
+        parts = split_compound_id(name)
+        return ask("transcript", _two(F.coalesce(parts["project"], F.col("default_project")), F.coalesce(parts["source"], name)), issue)
+
+    own = F.filter(spec["sources"], lambda s: s["transcript_id"].isNotNull())
+    single = spec["captions"]["transcript_id"]
+    spoken = F.transform(own, lambda s: transcript(s["transcript_id"], _say("Source '", s["id"], "': transcript '", s["transcript_id"], "' not found")))
+    images = F.filter(
+        F.transform(spec["overlays"], lambda o, i: F.when(
+            o["source_id"].isNull() & (o["image_path"] != ""),
+            ask("file", o["image_path"], _say("Overlay ", i, ": image file not found or not readable: ", o["image_path"])),
+        )),
+        lambda a: a.isNotNull(),
+    )
+    music, target = spec["audio"]["music_path"], F.regexp_extract(spec["output_path"], "^(.*)/[^/]*$", 1)
+    others = F.array_compact(
+        F.array(
+            F.when((F.size(own) == 0) & single.isNotNull(), transcript(single, _say("Caption transcript not found: ", single))),
+            F.when(music.isNotNull(), ask("file", music, _say("Music file not found: ", music))),
+            ask("folder", target, _say("Output directory does not exist: ", target)),
+        )
+    )
+    every = F.concat(known, sources, segments, spoken, F.coalesce(images, F.slice(others, 1, 0)), others)
+    asked = cut_lineage(specs.select(*keys, F.inline(every)))
+    # All that is asked of other tables in one list: kind and key.
+    there = (
+        media.select(F.lit("media").alias("kind"), F.col("path").alias("key"), F.col("duration").cast("double").alias("duration"))
+        .unionByName(transcripts.select(F.lit("transcript").alias("kind"), _two(F.col("project_slug"), F.col("source_slug")).alias("key")), allowMissingColumns=True)
+        .unionByName(files.select(F.lit("file").alias("kind"), F.col("path").alias("key")), allowMissingColumns=True)
+        .unionByName(folders.select(F.lit("folder").alias("kind"), F.col("folder").alias("key")), allowMissingColumns=True)
+        .groupBy("kind", "key").agg(F.max("duration").alias("duration"))
+        .filter("kind <> 'media' or duration is not null").withColumn("_there", F.lit(True))
+    )
+    answered = asked.filter("kind is not null").join(there, ["kind", "key"], "left")
+    missing = answered.filter("issue is not null and _there is null").select(*keys, "issue")
+    # A source id used twice stands for its last entry that could be read.
+    timed = answered.filter("issue is null and _there").groupBy(*keys, "place", "start", "end").agg(F.max_by("duration", "entry").alias("duration"))
+    i, start, end, duration = (F.col(c) for c in ("place", "start", "end", "duration"))
     beyond = timed.select(
         *keys,
         F.explode(
@@ -297,34 +396,12 @@ def validate_specs(specs: DataFrame, keys: list[str], media: DataFrame, transcri
             )
         ).alias("issue"),
     )
+    return asked.filter("kind is null").select(*keys, "issue").unionByName(missing).unionByName(beyond)
 
-    own = sources.filter(F.col("transcript_id").isNotNull()).select(
-        *keys, F.col("transcript_id").alias("_tid"), _say("Source '", F.col("id"), "': transcript '", F.col("transcript_id"), "' not found").alias("issue")
-    )
-    shared = specs.filter(
-        ~F.exists(spec["sources"], lambda s: s["transcript_id"].isNotNull()) & spec["captions"]["transcript_id"].isNotNull()
-    ).select(*keys, spec["captions"]["transcript_id"].alias("_tid"), _say("Caption transcript not found: ", spec["captions"]["transcript_id"]).alias("issue"))
-    parts = split_compound_id("_tid")
-    asked = own.unionByName(shared).join(specs.select(*keys, "default_project"), keys).select(
-        *keys, "issue", F.coalesce(parts["project"], "default_project").alias("project_slug"), F.coalesce(parts["source"], "_tid").alias("source_slug")
-    )
-    no_transcript = asked.join(transcripts, ["project_slug", "source_slug"], "left_anti").select(*keys, "issue")
 
-    images = explode_part(specs, "overlays", keys).filter(F.col("source_id").isNull() & (F.col("image_path") != "")).select(
-        *keys, F.col("image_path").alias("path"), _say("Overlay ", F.col("position"), ": image file not found or not readable: ", F.col("image_path")).alias("issue")
-    )
-    music = specs.filter(spec["audio"]["music_path"].isNotNull()).select(
-        *keys, spec["audio"]["music_path"].alias("path"), _say("Music file not found: ", spec["audio"]["music_path"]).alias("issue")
-    )
-    no_asset = images.unionByName(music).join(files, "path", "left_anti").select(*keys, "issue")
-    target = F.regexp_extract(spec["output_path"], "^(.*)/[^/]*$", 1)
-    no_folder = specs.select(*keys, target.alias("folder")).join(folders, "folder", "left_anti").select(
-        *keys, _say("Output directory does not exist: ", F.col("folder")).alias("issue")
-    )
-    result = inside
-    for more in (no_file, beyond, no_transcript, no_asset, no_folder):
-        result = result.unionByName(more)
-    return result
+def _two(project: Column, source: Column) -> Column:
+    """A compound key as one text; null if one part is."""
+    return F.concat(project, F.lit("\u0000"), source)
 
 
 def _merge_struct(base: Column, override: Column, kind: T.StructType) -> Column:
