@@ -129,13 +129,13 @@ def _slices(text: bytes):
     yield text[at:] if at else text
 
 
-def _chunks(batches):
+def _chunks(batches, size: int):
     chunk = _Chunk()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for part in _slices(text.as_py()):
                 chunk.add(lang, part)
-                if chunk.size >= CHUNK_WORDS:
+                if chunk.size >= size:
                     yield chunk
                     chunk = _Chunk()
     if chunk.size:
@@ -186,12 +186,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def count_words(docs: DataFrame) -> DataFrame:
+def count_words(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, phrase, a: the occurrences of every word; each task adds up its own first."""
 
     def count(batches):
         sums = _Sums()
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, chunk_words):
             sums.add(chunk.langs[1:], chunk.words[1:], np.bincount(chunk.ids(), minlength=len(chunk.words))[1:].tolist())
             yield from sums.batches(HELD)
         yield from sums.batches()
@@ -243,11 +243,11 @@ class MisraGries:
         return keys[counts + self.error >= least]
 
 
-def _summaries(docs: DataFrame, shared, least: int, partition_bits: int) -> DataFrame:
+def _summaries(docs: DataFrame, shared, least: int, partition_bits: int, chunk_words: int) -> DataFrame:
     """slot, bits: the bitmap of hashes of phrases, one word longer than the last of ``shared``, that may be frequent."""
 
     def offer(batches):
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, chunk_words):
             *_, (_, _, _, hashes) = _offered(chunk, shared.value)
             keys, counts = np.unique(hashes, return_counts=True)
             home = (keys >> np.uint64(64 - partition_bits)).astype(np.int64) if partition_bits else np.zeros(len(keys), np.int64)
@@ -306,12 +306,12 @@ def _word_bits(words: DataFrame) -> DataFrame:
     return at.select(F.shiftrightunsigned("at", 6).alias("slot"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
 
 
-def _count_survivors(docs: DataFrame, shared) -> DataFrame:
+def _count_survivors(docs: DataFrame, shared, chunk_words: int) -> DataFrame:
     """lang, phrase, length, a: exact counts of the phrases whose hashes are marked, added up by text."""
 
     def count(batches):
         bitmaps, sums = shared.value, _Sums()
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, chunk_words):
             numbers = None
             for n, ids, starts, hashes in _offered(chunk, bitmaps[:-1]):
                 kept = starts[_marked(bitmaps[n - 1], hashes)]
@@ -333,7 +333,7 @@ def _count_survivors(docs: DataFrame, shared) -> DataFrame:
     return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("length"), "a")
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, capacity: int = CAPACITY, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, length, a) of every phrase of 1 to ``longest`` words with a >= ``least``; (lang, n) of every language.
 
     Counts are exact. Phrases are words of one piece of a text joined by a space, overlapping occurrences count, and A to Z
@@ -341,7 +341,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     spark = docs.sparkSession
     totals = cut_lineage(
-        count_words(docs)
+        count_words(docs, chunk_words)
         .withColumn("often", F.col("a") >= least)
         .groupBy("lang", F.when(F.col("often"), F.col("phrase")).alias("phrase"))
         .agg(F.sum("a").alias("a"), F.first("often").alias("often"))
@@ -353,16 +353,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     bitmaps = [_bitmap(_word_bits(words))]
     for _ in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(bitmaps)
-        bitmaps = [*bitmaps, _bitmap(_summaries(docs, shared, least, partition_bits))]
+        bitmaps = [*bitmaps, _bitmap(_summaries(docs, shared, least, partition_bits, chunk_words))]
         shared.unpersist()
     shared = spark.sparkContext.broadcast(bitmaps)
-    phrases = cut_lineage(_count_survivors(docs, shared).filter(F.col("a") >= least))
+    phrases = cut_lineage(_count_survivors(docs, shared, chunk_words).filter(F.col("a") >= least))
     shared.unpersist()
     return words.unionByName(phrases), sizes
 
 
 def collocations(
-    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered_percent: int = COVERED_PERCENT, most: int = MOST, capacity: int = CAPACITY
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered_percent: int = COVERED_PERCENT, most: int = MOST, capacity: int = CAPACITY,
+    chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """The best phrases of each language of ``docs`` (lang, text, …): lang, rank, phrase, a, l, r, n, score.
 
@@ -371,7 +372,7 @@ def collocations(
     longer candidate around it occurs at least ``covered_percent`` per cent as often. The first ``most`` by score, a (both
     falling) and phrase stay, so ranks have no ties. ``n`` is the number of words of the language. An empty table gives none.
     """
-    counts, sizes = frequent_phrases(docs, least, longest, capacity)
+    counts, sizes = frequent_phrases(docs, least, longest, capacity, chunk_words)
     found = counts.filter("length > 1").withColumn("words", F.split("phrase", " "))
     parts = found.select("lang", "phrase", "a", "length", "words", F.explode(F.expr("sequence(1, length - 1)")).alias("k"))
     parts = parts.select(
