@@ -147,14 +147,21 @@ class BlockMaxIndex:
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each query."""
-        return [self._nearest(index, self.unit(index, counts), k, w) for (index, counts), w in zip(queries, without or [-1] * len(queries))]
-
-    def _nearest(self, index: np.ndarray, unit: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        units = [self.unit(i, c) for i, c in queries]
+        places = [self.column[i] for i, _ in queries]
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        for q, (at, unit) in enumerate(zip(places, units)):
+            asked[q, at[at >= 0]] = unit[at >= 0]
+        scores = asked @ self.dense
+        best = scores.reshape(len(queries), self.n_blocks, self.block).max(axis=2)
+        return [
+            self._nearest(i, u, at, s, b, k, w)
+            for (i, _), u, at, s, b, w in zip(queries, units, places, scores, best, without or [-1] * len(queries))
+        ]
+
+    def _nearest(self, index: np.ndarray, unit: np.ndarray, at: np.ndarray, score: np.ndarray, best: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(index) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        at = self.column[index]
-        score = unit[at >= 0].astype(np.float32) @ self.dense[at[at >= 0]]
-        best = score.reshape(self.n_blocks, self.block).max(axis=1)
         if without >= 0:
             score[without] = -9
         rare = at < 0
