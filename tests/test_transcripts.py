@@ -156,8 +156,8 @@ def greedy(texts):
     return marks
 
 
-@pytest.mark.parametrize("reach", [1, 4])
-def test_retakes_equal_the_nested_loop(spark, reach):
+@pytest.mark.parametrize("reach,walked", [(1, 0), (4, 0), (16, R.WALKED)])
+def test_retakes_equal_the_nested_loop(spark, reach, walked):
     rng = random.Random(11)
     base = [[rng.choice("red green blue black white brown grey pink".split()) for _ in range(rng.randint(2, 6))] for _ in range(5)]
     texts = []
@@ -174,7 +174,7 @@ def test_retakes_equal_the_nested_loop(spark, reach):
             at += 0.25
         at += 1.0
     place = {f: n for n, f in enumerate(first)}
-    got = R.retake_flags(words_frame(spark, rows), rows=8, reach=reach).collect()
+    got = R.retake_flags(words_frame(spark, rows), rows=8, reach=reach, walked=walked).collect()
     assert sorted((place[r.i], place[r.j]) for r in got) == greedy(texts)
 
 
@@ -184,3 +184,26 @@ def test_three_equal_takes(spark):
     assert [(r.i, r.j, r.reason) for r in got] == [
         (0, 3, "near-duplicate of earlier utterance (100% match) — possible retake"), (3, 6, "near-duplicate of earlier utterance (100% match) — possible retake"),
     ]
+
+
+def test_many_openings_that_contest_the_same_takes():
+    """2,000 openings, each with a word of its own, and 2,000 equal takes: marked one to one without passing marked ones."""
+    import time
+
+    import pandas as pd
+
+    common = [f"common{i}" for i in range(12)]
+    tokens = [[*common, f"own{i:05}"] for i in range(2000)] + [list(common)] * 2000
+    # Openings differ in their own word only, so they are alike too; each marks the next one, the last opening the first take.
+    rows = pd.DataFrame({"project_slug": "p", "source_slug": "s", "i": range(4000), "n_words": [len(t) for t in tokens], "tokens": tokens, "telling": [t[:4] for t in tokens]})
+    began = time.time()
+    marks = R._walked(rows, exclusive=True)
+    assert [(a, b) for a, b in zip(marks["i"], marks["j"])] == [(i, i + 1) for i in range(3999)]
+    far = [[f"a{i % 2}{w}" for w in range(5)] + [f"b{i}{w}" for w in range(2)] for i in range(2)]
+    openings = [[*(f"c{w}" for w in range(7)), f"x{i % 2}1", f"x{i % 2}2", f"x{i % 2}3"] for i in range(2000)]
+    takes = [[f"c{w}" for w in range(7)]] * 2000
+    # Openings of the two kinds share 7 of 13 words, an opening and a take 7 of 10.
+    order = [t for pair in zip(openings[:2], far) for t in pair][:2] + openings[2:] + takes
+    rows = pd.DataFrame({"project_slug": "p", "source_slug": "s", "i": range(len(order)), "n_words": [len(t) for t in order], "tokens": order, "telling": [t[:4] for t in order]})
+    marks = R._walked(rows, exclusive=True)
+    assert len(set(marks["j"])) == len(marks) > 3900 and time.time() - began < 20

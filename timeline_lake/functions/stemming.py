@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,9 +85,25 @@ def stem(word: str) -> str:
     return word
 
 
-def porter_stem(term: Column) -> Column:
-    @F.pandas_udf("string")
-    def stems(terms: pd.Series) -> pd.Series:
-        return terms.map(stem)
+def porter_stems(terms: Column, known: int = 500_000) -> Column:
+    """The stems of an array of terms, in place. A task stems each distinct term once and keeps ``known`` of them at most."""
 
-    return stems(term)
+    @F.pandas_udf("array<string>")
+    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = _Stems(known)
+        for listed in batches:
+            yield listed.map(lambda words: None if words is None else [found[w] for w in words])
+
+    return stems(terms)
+
+
+class _Stems(dict):
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = out = stem(word)
+        return out

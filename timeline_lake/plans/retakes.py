@@ -4,13 +4,19 @@ Two utterances are alike when both have three words or more, their lengths diffe
 lower-cased words have a Jaccard similarity of 0.7 or more. An utterance, taken in order, marks the first later one like
 it that no other has marked yet, and only that one.
 
-A take repeated n times makes n² alike pairs but at most n marks, so pairs are not listed. Each utterance looks along
-the utterances it shares a telling word with, nearest first and a little further each round, only until its mark is
-settled; a mark contested by several goes to the earliest of them and the others look on.
+A take repeated n times makes n² alike pairs but at most n marks, so pairs are not listed. No recording's marks depend on
+another's. A recording of ``WALKED`` utterances or fewer, days of speech, is walked in order by one task, which finds the
+next unmarked utterance with a shared telling word without passing the marked ones. A longer one is settled by rounds over
+all tasks: each utterance looks along the utterances it shares a telling word with, nearest first and a little further
+each round, only until its mark is settled; a mark contested by several goes to the earliest of them and the others look on.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,9 @@ SIMILARITY = 0.7
 LENGTH_RATIO = 0.5
 LEAST_WORDS = 3
 FIRST_REACH = 16
+#: Utterances of a recording that one task walks.
+WALKED = 200_000
+MARK = "project_slug string, source_slug string, i bigint, j bigint, similarity double"
 
 
 def _items(spoken: DataFrame) -> DataFrame:
@@ -63,9 +72,82 @@ def _look_further(askers: DataFrame, lists: DataFrame, items: DataFrame, reach:
     return alike.filter(F.col("similarity") >= SIMILARITY).select(*KEYS, "i", "j", "similarity"), seen
 
 
-def _marks(spoken: DataFrame, exclusive: bool, reach: int = FIRST_REACH, rows: int = BLOCK_ROWS) -> DataFrame:
+def _marks(spoken: DataFrame, exclusive: bool, reach: int = FIRST_REACH, rows: int = BLOCK_ROWS, walked: int = WALKED) -> DataFrame:
     """(keys, i, j, similarity): the utterance each one marks. ``exclusive``: an utterance can be marked only once."""
     items = cut_lineage(_items(spoken))
+    long = cut_lineage(items.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > walked).select(F.struct(*KEYS).alias("_key")))
+    keyed = items.withColumn("_key", F.struct(*KEYS))
+
+    def walk(recording: pd.DataFrame) -> pd.DataFrame:
+        return _walked(recording.sort_values("i"), exclusive)
+
+    short = keyed.join(long, "_key", "left_anti").drop("_key").groupBy(*KEYS).applyInPandas(walk, MARK)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_marks_in_rounds(cut_lineage(keyed.join(long, "_key", "left_semi").drop("_key")), exclusive, reach, rows))
+
+
+class _Alive:
+    """The utterances of one telling word in order; those that are marked are passed over, many at once."""
+
+    def __init__(self) -> None:
+        self.rows: list[int] = []
+        self.then: list[int] = []
+
+    def append(self, row: int) -> None:
+        self.rows.append(row)
+        self.then.append(len(self.then))
+
+    def at(self, place: int) -> int:
+        """The first place at or after ``place`` that is not marked; the number of places if there is none."""
+        then, end = self.then, place
+        while end < len(then) and then[end] != end:
+            end = then[end]
+        while place < end:
+            then[place], place = end, then[place]
+        return end
+
+
+def _walked(recording: pd.DataFrame, exclusive: bool) -> pd.DataFrame:
+    """Marks of one recording, its utterances taken in order."""
+    sets = [frozenset(t) for t in recording["tokens"]]
+    telling, sizes, index = recording["telling"].tolist(), recording["n_words"].tolist(), recording["i"].tolist()
+    lists: dict[str, _Alive] = defaultdict(_Alive)
+    places = []
+    for row, words in enumerate(telling):
+        places.append([(lists[w], len(lists[w].rows)) for w in words])
+        for w in words:
+            lists[w].append(row)
+    out = []
+    for row, mine in enumerate(places):
+        nearest = [(listed.rows[p], n, p) for n, (listed, place) in enumerate(mine) if (p := listed.at(place + 1)) < len(listed.rows)]
+        heapq.heapify(nearest)
+        seen = -1
+        while nearest:
+            other, n, place = heapq.heappop(nearest)
+            listed = mine[n][0]
+            if (p := listed.at(place + 1)) < len(listed.rows):
+                heapq.heappush(nearest, (listed.rows[p], n, p))
+            if other == seen:
+                continue
+            seen = other
+            a, b = sizes[row], sizes[other]
+            if min(a, b) / max(a, b) < LENGTH_RATIO:
+                continue
+            shared = len(sets[row] & sets[other])
+            similarity = shared / (len(sets[row]) + len(sets[other]) - shared)
+            if similarity >= SIMILARITY:
+                out.append((index[row], index[other], similarity))
+                if exclusive:
+                    for taken, at in places[other]:
+                        taken.then[at] = at + 1
+                break
+    marks = pd.DataFrame(out, columns=["i", "j", "similarity"])
+    return marks.assign(project_slug=recording["project_slug"].iloc[0], source_slug=recording["source_slug"].iloc[0])[[c.split()[0] for c in MARK.split(", ")]]
+
+
+def _marks_in_rounds(items: DataFrame, exclusive: bool, reach: int, rows: int) -> DataFrame:
+    """``_marks`` of recordings too long for one task."""
     listed = items.select(*KEYS, "i", F.explode("telling").alias("token"))
     lists = cut_lineage(row_numbers(listed, [*KEYS, "token"], ["i"], block_of("i", rows), "rank"))
     key = [*KEYS, "i"]
@@ -109,15 +191,15 @@ def _marks(spoken: DataFrame, exclusive: bool, reach: int = FIRST_REACH, rows: i
         reach *= 2
 
 
-def nearest_alike(words: DataFrame, rows: int = BLOCK_ROWS, reach: int = FIRST_REACH) -> DataFrame:
+def nearest_alike(words: DataFrame, rows: int = BLOCK_ROWS, reach: int = FIRST_REACH, walked: int = WALKED) -> DataFrame:
     """For every utterance the next one like it: keys, i, j (indexes of their first words), similarity."""
-    return _marks(cut_lineage(utterances(words, rows)), exclusive=False, rows=rows, reach=reach)
+    return _marks(cut_lineage(utterances(words, rows)), exclusive=False, rows=rows, reach=reach, walked=walked)
 
 
-def retake_flags(words: DataFrame, rows: int = BLOCK_ROWS, reach: int = FIRST_REACH) -> DataFrame:
+def retake_flags(words: DataFrame, rows: int = BLOCK_ROWS, reach: int = FIRST_REACH, walked: int = WALKED) -> DataFrame:
     """Utterances marked as retakes, with the one that marked them."""
     spoken = cut_lineage(utterances(words, rows))
-    marks = _marks(spoken, exclusive=True, rows=rows, reach=reach)
+    marks = _marks(spoken, exclusive=True, rows=rows, reach=reach, walked=walked)
     shown = [round_half_away("start", 1).alias("start"), round_half_away("end", 1).alias("end"), "text"]
     later = spoken.select(*KEYS, F.col("first_index").alias("j"), *shown)
     earlier = spoken.select(*KEYS, F.col("first_index").alias("i"), F.struct(*shown).alias("duplicate_of"))

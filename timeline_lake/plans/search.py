@@ -10,7 +10,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeline_lake.functions.stemming import porter_stem, stem
+from timeline_lake.functions.stemming import porter_stems, stem
 from timeline_lake.functions.text import accented_letters, fold_marks
 
 KEYS = ["project_slug", "source_slug"]
@@ -27,13 +27,10 @@ def terms_of(text: Column) -> Column:
 
 
 def tokens(documents: DataFrame, stemmed: bool = True) -> DataFrame:
-    """keys, position, term. Only the distinct vocabulary goes through the stemmer, not the running text."""
-    raw = documents.select(*KEYS, F.posexplode(terms_of(F.col("full_text"))).alias("position", "term"))
-    raw = raw.withColumn("position", F.col("position").cast("long"))
-    if not stemmed:
-        return raw
-    vocabulary = raw.select("term").distinct().withColumn("_stem", porter_stem(F.col("term")))
-    return raw.join(vocabulary, "term").select(*KEYS, "position", F.col("_stem").alias("term"))
+    """keys, position, term. A document's terms are stemmed where they stand: nothing is shuffled, however frequent a term is."""
+    terms = terms_of(F.col("full_text"))
+    raw = documents.select(*KEYS, F.posexplode(porter_stems(terms) if stemmed else terms).alias("position", "term"))
+    return raw.withColumn("position", F.col("position").cast("long"))
 
 
 def postings(token_rows: DataFrame) -> DataFrame:
