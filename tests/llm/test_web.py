@@ -165,10 +165,28 @@ def test_hosts_have_templates(spark):
     assert H.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_a_text_once_in_every_page_is_template(spark):
-    data = [(i, "http://h.example/", page(f"<p>{prose(i, 30)}</p><p>Share this</p>", i)) for i in range(25)]
-    found = as_dicts(H.main_text(spark.createDataFrame(data, PAGES).repartition(3)))
-    assert all(r["text"] == prose(r["page_id"], 30) for r in found)
+def test_a_text_of_the_template_goes_with_its_element(spark):
+    """By its class: the element around it is there once in every page, for nothing else."""
+    share = "<div class=foot><p>Follow the author</p></div>"
+    data = [(i, "http://h.example/", page(f"<p>{prose(i, 30)}</p>{share}", i)) for i in range(25)]
+    # Without a named slot, by its class alone.
+    bare = "<body><div id=a><p>{}</p><p>{}</p><p>Share this</p></div></body>"
+    data += [(100 + i, "http://bare.example/", bare.format(prose(i, 60), prose(50 + i, 60))) for i in range(25)]
+    texts = {r["page_id"]: r["text"] for r in as_dicts(H.main_text(spark.createDataFrame(data, PAGES).repartition(3)))}
+    assert all(texts[i] == prose(i, 30) for i in range(25))
+    assert all(texts[100 + i] == f"{prose(i, 60)}\n\n{prose(50 + i, 60)}" for i in range(25))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_a_sentence_that_all_articles_share_stays(spark, n):
+    data = [(i, "http://h.example/", page(f"<p>{prose(i, 30)}</p><p>It is what it is.</p><p>{prose(900 + i, 9)}</p>", i)) for i in range(n)]
+    found = as_dicts(H.main_text(spark.createDataFrame(data, PAGES)))
+    assert all(r["text"] == f"{prose(r['page_id'], 30)}\n\nIt is what it is.\n\n{prose(900 + r['page_id'], 9)}" for r in found)
+
+
+def test_names_inside_an_article_count_only_alone():
+    body = "<p>a</p><section class='search-history'><p>b</p></section><p class='notice-text'>c</p><div class='share-buttons'>no</div><div class='ad'>no</div><section id='comments-section'>no</section>"
+    assert H.extract(page(body), None) == "a\n\nb\n\nc"
 
 
 def test_copies_are_no_template_and_headings_stay(spark):
@@ -177,7 +195,7 @@ def test_copies_are_no_template_and_headings_stay(spark):
     data += [(200, "http://heads.example/", None), (201, "http://heads.example/", "<div>an error page</div>")]
     texts = {r["page_id"]: r["text"] for r in as_dicts(H.main_text(spark.createDataFrame(data, PAGES).repartition(3)))}
     assert all(texts[i] == "one article\n\nin copies" for i in range(25))
-    assert all(texts[100 + i] == f"Abstract\n\n{prose(i, 30)}" for i in range(25)) and texts[200] == ""
+    assert all(texts[100 + i] == f"Abstract\n\n{prose(i, 30)}\n\nShare this" for i in range(25)) and texts[200] == ""
 
 
 def test_names_that_differ_by_page(spark):

@@ -6,8 +6,10 @@ template. Equivalence classes of elements are not formed: a token's occurrence v
 only tells which texts stand in every page of a slot. Fixed lists of names decide what is left out. The template's slots are what the pages put between its tokens. The slot of the article is
 the element that says so (``article``, ``main``) or holds most of the text, and what is left of a page's text there is
 extracted: menus, adverts, forms, comments and the like are left out by their elements and names, and a text that is part
-of the template itself, once in every page that holds the slot, by its class (headings stay). Pages of a host with one
-content are one page here, so copies of an article are no template.
+of the template itself, once in every page that holds the slot, by its class (headings stay). Inside a named slot that
+takes more: the element around the text must be in that class too and hold template texts only, so a sentence that many
+articles share among their own paragraphs stays. Pages of a host with one content are one page here, so copies of an
+article are no template.
 
 Vectors are compared by sums of page hashes, so no task gathers the pages of a host: each task adds up its own pages.
 """
@@ -68,6 +70,11 @@ LEFT_OUT_WORDS = frozenset(
     "signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar search "
     "form skip".split()
 )
+# Words that say nothing about what an element holds.
+NEUTRAL_WORDS = frozenset(
+    "area articles bar block bottom box button buttons column container count group header heading holder icon icons inner item items label left link "
+    "links list outer panel posts right row section stories title top wrap wrapper".split()
+)
 HEADER_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 ARTICLE_WORDS = frozenset("article articlebody post story entry".split())
@@ -167,7 +174,10 @@ def parsed(source: str) -> tuple[Counter, list[tuple[str, str]]]:
 
 
 def left_out(path: str) -> bool:
-    """Whether an element on the path is not part of an article."""
+    """Whether an element on the path is not part of an article.
+
+    Inside an article a name counts only if it says nothing else: ``share-buttons`` is left out, ``search-history`` is not.
+    """
     inside = False
     for part in path.split(">")[1:]:
         name, *words = part.split(".")
@@ -182,7 +192,7 @@ def left_out(path: str) -> bool:
                 return True
             inside = True
             continue
-        if said & LEFT_OUT_WORDS and not said & ARTICLE_WORDS:
+        if said & LEFT_OUT_WORDS and not said & ARTICLE_WORDS and not (inside and said - LEFT_OUT_WORDS - NEUTRAL_WORDS):
             return True
         if not inside and (name == "header" or said & HEADER_WORDS):
             return True
@@ -252,6 +262,16 @@ def text_token(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") >> 1
 
 
+def home_number(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) >> 1
+
+
+def is_named(path: str) -> bool:
+    """Whether a slot says itself that it holds the article."""
+    name, *words = path.rpartition(">")[2].split(".")
+    return name in ("article", "main") or bool({"article", "articlebody", "main"} & set(words) or set(words) & (ARTICLE_WORDS | CONTENT_WORDS))
+
+
 # --- Spark jobs ------------------------------------------------------------------------------------------------------
 
 
@@ -261,7 +281,10 @@ def host_of(url: str):
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, pages, times, sum_a, sum_b (the vector), chars: element paths, and texts as ``#`` and a number."""
+    """host, token, pages, times, sum_a, sum_b (the vector), chars, home: element paths, and texts as ``#`` and a number.
+
+    ``home`` is the number of the path that a text stands in, or of the path itself.
+    """
 
     def contents(batches):
         for batch in batches:
@@ -277,13 +300,19 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for page, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 paths, blocks = parsed(source.as_py() or "")
                 chars: Counter = Counter()
+                homes: dict[str, str] = {}
                 for path, text in blocks:
                     chars[path] += len(text)
                     if not left_out(path) and path.rpartition(">")[2].split(".")[0] not in HEADINGS:
-                        paths[f"#{text_token(path, text)}"] += 1
+                        token = f"#{text_token(path, text)}"
+                        paths[token] += 1
+                        chars[token] += len(text)
+                        homes[token] = path
                 for token, n in paths.items():
                     mark = xxhash.xxh3_64_intdigest(f"{page}:{n}")
-                    row = seen.setdefault((host, token), [0, 0, 0, 0, 0])
+                    row = seen.get((host, token))
+                    if row is None:
+                        row = seen[host, token] = [0, 0, 0, 0, 0, home_number(homes.get(token, token))]
                     for i, x in enumerate((1, n, mark & 0x3FFFFFFF, mark >> 34, chars[token])):
                         row[i] += x
             if len(seen) > 200_000:
@@ -292,15 +321,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
         yield out(seen)
 
     def out(seen):
-        columns = list(zip(*seen.values())) or [[]] * 5
+        columns = list(zip(*seen.values())) or [[]] * 6
         keys = list(zip(*seen)) or [[], []]
         return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    names = ["host", "token", "pages", "times", "sum_a", "sum_b", "chars"]
+    names = ["host", "token", "pages", "times", "sum_a", "sum_b", "chars", "home"]
     named = pages.select(host_of("url").alias("host"), F.col("html").cast("string")).mapInArrow(contents, "host string, content string, html string")
     asked = named.groupBy("host", "content").agg(F.min("html").alias("html")).select("content", "host", "html")
     counted = asked.mapInArrow(rows, "host string, token string, " + ", ".join(f"{n} long" for n in names[2:]))
-    return counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in names[2:]])
+    return counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in names[2:-1]], F.max("home").alias("home"))
 
 
 def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
@@ -315,9 +344,19 @@ def deduce(tokens: pd.DataFrame) -> tuple[list[str], list[int]]:
             valid.add(path)
     slots = article_slots({p: float(elements.at[p, "chars"]) for p in valid})
     # A text of the template is in the class of a slot that several contents hold, once each.
-    classes = {elements.at[s, "vector"] for s in slots if elements.at[s, "pages"] == elements.at[s, "times"] > 1}
-    texts = tokens[tokens["token"].str.startswith("#") & tokens["vector"].isin(classes)]["token"]
-    return slots, [int(t[1:]) for t in texts]
+    texts = tokens[tokens["token"].str.startswith("#")]
+    found: set[str] = set()
+    for slot in slots:
+        if elements.at[slot, "pages"] == elements.at[slot, "times"] > 1:
+            vector = elements.at[slot, "vector"]
+            mine = texts[texts["vector"] == vector]
+            if is_named(slot):
+                # In the article itself only if an element of the same class is there for nothing but such texts.
+                held = mine.groupby("home")["chars"].sum()
+                alone = {home_number(p) for p in valid if p.startswith(slot + ">") and elements.at[p, "vector"] == vector and elements.at[p, "chars"] == held.get(home_number(p))}
+                mine = mine[mine["home"].isin(alone)]
+            found |= set(mine["token"])
+    return slots, [int(t[1:]) for t in sorted(found)]
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -341,11 +380,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
 
     def rows(batches):
-        known: dict[tuple, frozenset[int]] = {}
         for batch in batches:
             out = []
             for source, slots, texts in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                out.append(extract(source.as_py() or "", slots, known.setdefault(tuple(texts or ()), frozenset(texts or ()))))
+                out.append(extract(source.as_py() or "", slots, frozenset(texts or ())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
