@@ -248,10 +248,18 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
         F.get(names, F.pmod("o_orderkey", F.lit(6)).cast("int")).alias("layout"),
         start.alias("start"), (start + F.when(F.pmod("o_orderkey", F.lit(97)) == 0, F.lit(0.0)).otherwise(F.pmod("o_orderkey", F.lit(40)) * 0.5 + 1)).alias("end"),
         F.get(ratios, F.pmod("o_custkey", F.lit(4)).cast("int")).alias("aspect_ratio"),
-        F.lit("screen").alias("screen"), F.lit("cam").alias("speaker"),
+        F.lit("screen").alias("screen"), F.lit("cam").alias("speaker"), _style(F.pmod("o_custkey", F.lit(3))).alias("style"),
     )
 
 
+def _style(turn):
+    """Every third timeline has no style; of the others some give a radius and a crop, some a background without fades."""
+    crop = F.struct(F.lit(0.25).alias("x"), F.lit(None).cast("double").alias("y"), F.lit(0.5).alias("width"), F.lit(None).cast("double").alias("height"))
+    one = F.struct(F.lit(0.3).alias("corner_radius"), F.lit(None).cast("string").alias("background"), F.lit(0.8).alias("transition_duration"), crop.alias("speaker_crop"))
+    two = F.struct(F.lit(0.0).alias("corner_radius"), F.lit("#000000").alias("background"), F.lit(0.0).alias("transition_duration"), F.when(F.lit(False), crop).alias("speaker_crop"))
+    return F.when(turn == 1, one).when(turn == 2, two)
+
+
 def layout_overlays(spark: SparkSession, folder: str) -> DataFrame:
     return M.layout_overlays(_sections(spark, folder), ["timeline_id"], F.floor(F.col("start") / 16.0).cast("long"))
 
@@ -497,9 +505,16 @@ UNION ALL SELECT spec_id, seg_index, 'set', track, comp_start + transition, NULL
     + """ SELECT spec_id, least((o_custkey % 60) * 0.5::DOUBLE, d) AS music_end, CASE WHEN o_orderkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS volume
 FROM (SELECT spec_id, SUM(length - transition) AS d FROM spk GROUP BY spec_id) JOIN orders ON o_orderkey = spec_id""",
     "layout_overlays": with_(_SECTIONS, _LAYOUTS)
-    + """ SELECT timeline_id, position, start, "end", fade_in, fade_out, 0 AS z_index, NULL::VARCHAR AS source_id, '#1a1a2e' AS background_color, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1.0::DOUBLE AS width, 1.0::DOUBLE AS height, NULL::DOUBLE AS corner_radius FROM laidout WHERE bg
-UNION ALL SELECT timeline_id, position, start, "end", fade_in, fade_out, 1, 'screen', NULL, sx, sy, sw, sh, CASE WHEN sr > 0 THEN sr END FROM laidout WHERE sx IS NOT NULL
-UNION ALL SELECT timeline_id, position, start, "end", fade_in, fade_out, 2, 'cam', NULL, px, py, pw, ph, CASE WHEN pr > 0 THEN pr ELSE 0.15::DOUBLE END FROM laidout WHERE px IS NOT NULL""",
+    + """, faded AS (SELECT * REPLACE (CASE WHEN fade_in IS NULL OR timeline_id % 3 = 2 THEN NULL WHEN timeline_id % 3 = 1 THEN 0.8::DOUBLE ELSE fade_in END AS fade_in,
+  CASE WHEN fade_out IS NULL OR timeline_id % 3 = 2 THEN NULL WHEN timeline_id % 3 = 1 THEN 0.8::DOUBLE ELSE fade_out END AS fade_out) FROM laidout),
+crops AS (SELECT t, x AS crop_x, 0.0::DOUBLE AS crop_y, w AS crop_width, 1.0::DOUBLE AS crop_height FROM (VALUES (1, 0.25::DOUBLE, 0.5::DOUBLE)) v(t, x, w))
+SELECT timeline_id, position, start, "end", fade_in, fade_out, 0 AS z_index, NULL::VARCHAR AS source_id, NULL::DOUBLE AS source_start, NULL::DOUBLE AS audio,
+  CASE WHEN timeline_id % 3 = 2 THEN '#000000' ELSE '#1a1a2e' END AS background_color, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1.0::DOUBLE AS width, 1.0::DOUBLE AS height, NULL::DOUBLE AS corner_radius,
+  NULL::DOUBLE AS crop_x, NULL::DOUBLE AS crop_y, NULL::DOUBLE AS crop_width, NULL::DOUBLE AS crop_height FROM faded WHERE bg
+UNION ALL SELECT timeline_id, position, start, "end", fade_in, fade_out, 1, 'screen', start, 0.0, NULL, sx, sy, sw, sh, CASE WHEN sr > 0 THEN sr END, NULL, NULL, NULL, NULL FROM faded WHERE sx IS NOT NULL
+UNION ALL SELECT timeline_id, position, start, "end", fade_in, fade_out, 2, 'cam', start, 0.0, NULL, px, py, pw, ph,
+  CASE WHEN pr > 0 THEN pr WHEN timeline_id % 3 = 1 THEN 0.3::DOUBLE WHEN timeline_id % 3 = 0 THEN 0.15::DOUBLE END, crop_x, crop_y, crop_width, crop_height
+  FROM faded LEFT JOIN crops ON t = timeline_id % 3 WHERE px IS NOT NULL""",
     "layout_problems": with_(_SECTIONS) + """ SELECT timeline_id, section_id, 'end must be after start' AS problem FROM sections WHERE "end" <= start""",
     "layout_summary": with_(_SECTIONS)
     + """ SELECT timeline_id, COUNT(*) AS sections, array_to_string(list_sort(list(DISTINCT layout)), ', ') AS layouts, SUM("end" - start) AS seconds FROM sections WHERE timeline_id NOT IN (SELECT timeline_id FROM sections WHERE "end" <= start) GROUP BY timeline_id""",

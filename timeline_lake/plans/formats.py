@@ -157,13 +157,31 @@ def _sound_timelines(sections: DataFrame, keys: list[str]) -> DataFrame:
     return judged.join(broken, keys, "left_anti").drop("problem")
 
 
+STYLE = "struct<corner_radius:double,background:string,transition_duration:double,speaker_crop:struct<x:double,y:double,width:double,height:double>>"
+
+
 def layout_overlays(sections: DataFrame, keys: list[str], block: Column) -> DataFrame:
     """Named layout sections (keys, section_id, layout, start, end, aspect_ratio, screen, speaker) as one to three overlays.
 
     A timeline is laid out only if all its sections are sound. Sections are ordered by start; the first does not fade in
-    and the last does not fade out. ``block`` cuts a timeline by start time, so that none has to fit in one task.
+    and the last does not fade out. Screen and speaker run along with the timeline (``source_start``) and are silent. A
+    ``style`` column (see ``STYLE``) replaces defaults where it says something: the radius of speakers whose layout has none,
+    the background, the fades (none of 0 s) and the part of the speaker's picture that is shown. ``block`` cuts a timeline by
+    start time, so that none has to fit in one task.
     """
-    sound = _sound_timelines(sections, keys)
+    styled = sections if "style" in sections.columns else sections.withColumn("style", F.lit(None).cast(STYLE))
+    said = F.col("style.speaker_crop")
+    whole = {"x": F.lit(0.0), "y": F.lit(0.0), "width": F.lit(1.0), "height": F.lit(1.0)}
+    styled = styled.withColumns(
+        {
+            "_radius": F.coalesce("style.corner_radius", F.lit(LAYOUT_STYLE["radius"])),
+            "_colour": F.coalesce("style.background", F.lit(LAYOUT_STYLE["background"])),
+            "_fade": F.coalesce("style.transition_duration", F.lit(LAYOUT_STYLE["transition"])),
+            # A crop that says only some of its sides keeps the picture's own others.
+            **{f"_crop_{c}": F.when(said.isNotNull(), F.coalesce(said[c], v)) for c, v in whole.items()},
+        }
+    ).drop("style")
+    sound = _sound_timelines(styled, keys)
     placed = row_numbers(sound, keys, ["start", "section_id"], block, "position")
     counts = sound.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     presets = layout_table(sections.sparkSession)
@@ -171,40 +189,43 @@ def layout_overlays(sections: DataFrame, keys: list[str], block: Column) -> Data
     laid = placed.withColumn("family", aspect_family(F.col("aspect_ratio"))).join(F.broadcast(presets), ["family", "layout"]).join(counts, keys)
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
 
-    def overlay(show: Column, layer: int, source: Column, colour: Column, box: dict[str, Column], radius: Column) -> Column:
+    def positive(value: Column) -> Column:
+        return F.when(value > 0, value)
+
+    def box_of(name: str) -> dict[str, Column]:
+        return {c: F.col(f"{name}.{c}") for c in ("x", "y", "width", "height")}
+
+    def overlay(show: Column, layer: int, source: Column, colour: Column, box: dict[str, Column], radius: Column, crop: dict[str, Column] | None = None) -> Column:
+        runs = source.isNotNull()
         row = F.struct(
             F.lit(layer).cast("long").alias("z_index"),
             source.alias("source_id"),
+            F.when(runs, F.col("start")).alias("source_start"),
+            F.when(runs, F.lit(0.0)).alias("audio"),
             colour.alias("background_color"),
             *[box[c].alias(c) for c in ("x", "y", "width", "height")],
-            radius.alias("corner_radius"),
+            positive(radius).alias("corner_radius"),
+            *[(crop[c] if crop else number).alias(f"crop_{c}") for c in ("x", "y", "width", "height")],
         )
         return F.when(show, row)
 
-    def box_of(name: str) -> dict[str, Column]:
-        return {c: F.col(f"{name}.{c}") for c in ("x", "y", "width", "height")}
-
-    whole = {"x": F.lit(0.0), "y": F.lit(0.0), "width": F.lit(1.0), "height": F.lit(1.0)}
-
-    def positive(radius: Column) -> Column:
-        return F.when(radius > 0, radius)
-
-    speaker_radius = F.coalesce(positive(F.col("_speaker.radius")), F.lit(LAYOUT_STYLE["radius"]))
+    shown = {c: F.col(f"_crop_{c}") for c in whole}
+    radius, colour = F.col("_radius"), F.col("_colour")
     rows = F.array_compact(
         F.array(
-            overlay(F.col("background"), 0, text, F.lit(LAYOUT_STYLE["background"]), whole, number),
-            overlay(F.col("_screen").isNotNull(), 1, F.col("screen"), text, box_of("_screen"), positive(F.col("_screen.radius"))),
-            overlay(F.col("_speaker").isNotNull(), 2, F.col("speaker"), text, box_of("_speaker"), speaker_radius),
+            overlay(F.col("background"), 0, text, colour, whole, number),
+            overlay(F.col("_screen").isNotNull(), 1, F.col("screen"), text, box_of("_screen"), F.col("_screen.radius")),
+            overlay(F.col("_speaker").isNotNull(), 2, F.col("speaker"), text, box_of("_speaker"), F.coalesce(positive(F.col("_speaker.radius")), radius), shown),
         )
     )
-    fade = LAYOUT_STYLE["transition"]
+    fade = positive(F.col("_fade"))
     return laid.select(
         *keys,
         "position",
         "start",
         "end",
-        F.when(F.col("position") > 0, F.lit(fade)).alias("fade_in"),
-        F.when(F.col("position") < F.col("_n") - 1, F.lit(fade)).alias("fade_out"),
+        F.when(F.col("position") > 0, fade).alias("fade_in"),
+        F.when(F.col("position") < F.col("_n") - 1, fade).alias("fade_out"),
         F.inline(rows),
     )
 

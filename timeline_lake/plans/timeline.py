@@ -363,23 +363,18 @@ def timeline_plan(layout: DataFrame, segment_keyframes: DataFrame | None = None,
     ).filter(F.col("end") > F.col("start"))
     if segment_keyframes is None:
         return fades.unionByName(plain.select(*SPEC, *shown))
-    # Keyframes belong to one segment of one document, so their list is as bounded as that document's field.
-    times = segment_keyframes.groupBy(*SPEC, "seg_index").agg(F.array_sort(F.collect_list("time")).alias("_times"))
-    times = times.filter(F.size("_times") >= 2)
-    whole = plain.join(times, [*SPEC, "seg_index"], "left_anti").select(*SPEC, *shown)
-    near_times = F.zip_with(
-        F.slice("_times", 1, F.size("_times") - 1),
-        F.slice("_times", 2, F.size("_times") - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    pairs = F.posexplode(near_times)
+    # Keyframes belong to one segment of one document; they pass by in order, none are gathered.
+    along = Window.partitionBy(*SPEC, "seg_index").orderBy("time")
+    pairs = segment_keyframes.select(
+        *SPEC, "seg_index", F.col("time").alias("_a"), F.lead("time").over(along).alias("_b"), (F.row_number().over(along) - 1).alias("_i")
+    ).filter("_b is not null")
+    whole = plain.join(pairs.filter("_i = 0"), [*SPEC, "seg_index"], "left_anti").select(*SPEC, *shown)
     cut = (
-        plain.join(times, [*SPEC, "seg_index"])
-        .select("*", pairs.alias("_i", "_pair"))
+        plain.join(pairs, [*SPEC, "seg_index"])
         .select(
             *SPEC, "seg_index", F.lit("keyframed").alias("kind"), F.col("_i").cast("long").alias("piece"),
-            F.greatest("start", F.col("comp_start") + F.col("_pair.a")).alias("start"),
-            F.least("end", F.col("comp_start") + F.col("_pair.b")).alias("end"),
+            F.greatest("start", F.col("comp_start") + F.col("_a")).alias("start"),
+            F.least("end", F.col("comp_start") + F.col("_b")).alias("end"),
         )
         .filter(F.col("end") > F.col("start"))
     )
