@@ -80,8 +80,16 @@ def _project_files(spark: SparkSession, folder: str) -> DataFrame:
     return V.table(spark, folder, "customer").select(F.concat(F.lit("/data/projects/p"), k, F.lit("/project.md")).alias("path"), text.alias("text"))
 
 
+def _tree(spark: SparkSession, folder: str) -> str:
+    """A tree of files: project documents, and beside them the words and scenes of recordings."""
+    path = runs.work_folder(spark, "tree")
+    D.write_tree(_project_files(spark, folder).unionByName(_sidecars(spark, folder)).unionByName(_scene_sidecars(spark, folder)), path)
+    return path
+
+
 def front_matter_scan(spark: SparkSession, folder: str) -> DataFrame:
-    read = D.front_matter(_project_files(spark, folder), {"slug": "string", "name": "string", "description": "string", "balance": "double"}, ["tags"])
+    """Headers of the markdown files of a tree that is written first; other files are not opened."""
+    read = D.front_matter(D.read_tree(spark, _tree(spark, folder), ".md"), {"slug": "string", "name": "string", "description": "string", "balance": "double"}, ["tags"])
     return read.withColumn("tags", F.array_join("tags", "|"))
 
 
@@ -99,8 +107,26 @@ def _sidecars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scene_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """One scenes file per conversation; every seventh has a scene without an end."""
+    t = V.table(spark, folder, "conversations").filter("turn < 3")
+    scene = F.struct(
+        F.col("turn").alias("scene_index"), (F.col("turn") * 10.0).alias("start_time"),
+        F.when((F.pmod("conv_id", F.lit(7)) != 3) | (F.col("turn") > 0), F.col("turn") * 10.0 + 9.5).alias("end_time"), F.lit("said by ").alias("description"),
+        F.array("role").alias("tags"), F.when(F.col("turn") == 0, F.lit("opening")).alias("scene_type"),
+    )
+    listed = t.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(scene))).alias("text"))  # three at most
+    return listed.select(F.concat(F.lit("/data/projects/p"), F.pmod("conv_id", F.lit(5)), F.lit("/c"), "conv_id", F.lit(".scenes.json")).alias("path"), "text")
+
+
 def json_sidecar_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return D.words_sidecars(_sidecars(spark, folder))
+    """Words from the JSON files of a tree that is written first."""
+    return D.words_sidecars(D.read_tree(spark, _tree(spark, folder), ".words.json"))
+
+
+def scene_sidecar_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scenes = D.scenes_sidecars(D.read_tree(spark, _tree(spark, folder), ".scenes.json"))
+    return scenes.withColumn("tags", F.array_join("tags", "|"))
 
 
 def insert_or_ignore(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +226,7 @@ def stt_chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_tables, scan_warehouse, front_matter_scan, json_sidecar_scan, insert_or_ignore, stt_response_ingest, stt_response_text, render_body_split, transcript_markdown,
+        scan_tables, scan_warehouse, front_matter_scan, json_sidecar_scan, scene_sidecar_scan, insert_or_ignore, stt_response_ingest, stt_response_text, render_body_split, transcript_markdown,
         transcript_markdown_parse, render_markdown, json_sink, preset_seed, frame_sample_plan, stt_chunk_plan,
     )
 }
@@ -257,6 +283,8 @@ UNION ALL SELECT 'presets', lower(p_brand) || '-' || lower(p_type) || '/{"wordsP
   'Body of ' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '---' || chr(10) || 'more' ELSE '' END AS body FROM customer WHERE c_custkey % 20 NOT IN (3, 4)""",
     "json_sidecar_scan": with_(_TURN_TOKENS) + """ SELECT 'p' || (conv_id % 5) AS project_slug, 'c' || conv_id || '-t' || turn AS source_slug, i AS word_index, word, i * 0.5::DOUBLE AS start_time, i * 0.5::DOUBLE + 0.25::DOUBLE AS end_time,
   CASE WHEN i % 2 = 0 THEN 0.75::DOUBLE END AS confidence FROM tw WHERE (conv_id + turn) % 11 <> 0 AND (conv_id + turn) % 13 <> 0""",
+    "scene_sidecar_scan": """SELECT 'p' || (conv_id % 5) AS project_slug, 'c' || conv_id AS source_slug, turn AS scene_index, turn * 10.0::DOUBLE AS start_time, turn * 10.0::DOUBLE + 9.5::DOUBLE AS end_time,
+  'said by ' AS description, role AS tags, CASE WHEN turn = 0 THEN 'opening' END AS scene_type FROM conversations WHERE turn < 3 AND conv_id % 7 <> 3""",
     "insert_or_ignore": with_(WORDS) + " SELECT project_slug, source_slug, word_index, word FROM words WHERE substr(source_slug, 2)::BIGINT % 2 = 1",
     "stt_response_ingest": with_(_TURN_TOKENS) + """ SELECT conv_id, turn, i AS word_index, word, i * 0.5::DOUBLE AS start_time, CASE WHEN i % 4 > 0 THEN i * 0.5::DOUBLE + 0.25::DOUBLE ELSE 0.0::DOUBLE END AS end_time,
   CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE END AS confidence FROM tw""",

@@ -24,13 +24,32 @@ SCENE_SCHEMA = (
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """All files below ``folder`` whose name matches, one row per file. Files are read whole by one task each."""
+    """All files below ``folder`` whose name matches, one row per file: path, text.
+
+    Files are read whole; small ones share a task, as many as make up a split, so 100,000 of a kilobyte take some thousand
+    tasks at ``spark.sql.files.openCostInBytes`` = 4 MB and fewer below it.
+    """
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
         .select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     )
 
 
+def write_tree(documents: DataFrame, folder: str) -> None:
+    """Write every document (path, text) to a file of its own, in a folder named after its path."""
+    # One file per path: rows of a path are in one task, and paths spread over tasks by size of the table alone.
+    documents.select("path", "text").repartition("path").write.partitionBy("path").text(folder)
+
+
+def read_tree(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """The documents of :func:`write_tree` whose paths end with ``suffix``: path, text.
+
+    The path is a partition column: files of other kinds are not opened, whatever else the tree holds.
+    """
+    rows = spark.read.schema("value string, path string").text(folder, wholetext=True)
+    return rows.filter(F.col("path").endswith(suffix)).select("path", F.regexp_replace("value", "\\n\\z", "").alias("text"))
+
+
 def split_front_matter(documents: DataFrame) -> DataFrame:
     """Add ``header`` and ``body``; documents without a closed `---` header are left out."""
     found = documents.filter(F.col("text").rlike(HEADER))
