@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -42,7 +43,7 @@ _SLACK = 2e-4
 
 
 def word_terms(word: str) -> list[str]:
-    return [word, *(word[:k] + "~" for k in PREFIXES if len(word) >= k)]
+    return [word, *[word[:k] + "~" for k in PREFIXES if len(word) >= k]]
 
 
 def text_terms(text: str) -> Counter:
@@ -67,11 +68,12 @@ class HashedTerms:
 class TermCounts(dict):
     """Counts of all terms of a text by number. What stands between spaces is looked up once per worker (its terms' numbers as bytes)."""
 
-    def __init__(self, vocabulary: dict[str, int] | HashedTerms, limit: int = 300_000):
+    def __init__(self, vocabulary: dict[str, int] | HashedTerms, limit: int = 600_000):
         self.vocabulary, self.limit = vocabulary, limit
 
     def __missing__(self, token: str) -> bytes:
-        found = self[token] = np.array([self.vocabulary[t] for w in _WORD.findall(token) for t in word_terms(w)], np.int32).tobytes()
+        number = self.vocabulary.__getitem__
+        found = self[token] = array("i", [number(t) for w in _WORD.findall(token) for t in word_terms(w)]).tobytes()
         return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,12 @@ class TermCounts(dict):
         index, counts = np.unique(numbers, return_counts=True)
         return index, counts.astype(np.int32)
 
+    def numbers(self, text: str) -> np.ndarray:
+        """Numbers in rising order, without their counts."""
+        if len(self) > self.limit:
+            self.clear()
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, set(text.lower().split()))), np.int32))
+
     def count(self, text: str) -> dict[int, int]:
         return dict(zip(*(x.tolist() for x in self.vector(text))))
 
@@ -224,7 +232,7 @@ def document_frequencies(docs: DataFrame, size: int = BUCKETS) -> tuple[int, np.
         counter, seen, n = TermCounts(HashedTerms(size)), np.zeros(size, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                seen[counter.vector(_text(text))[0]] += 1
+                seen[counter.numbers(_text(text))] += 1
             n += batch.num_rows
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int32()), pa.array(np.append(seen[found], n), pa.int64())], ["term", "n"])
