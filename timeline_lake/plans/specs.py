@@ -232,6 +232,7 @@ def _say(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+# The texts of issues, here and in the functions below.
 def _segment_issues(spec: Column) -> Column:
     ids = F.transform(spec["sources"], lambda s: s["id"])
 

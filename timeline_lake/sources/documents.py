@@ -13,6 +13,7 @@ from timeline_lake.functions.numbers import round_half_away
 from timeline_lake.functions.text import minute_text
 from timeline_lake.operators.blocks import BLOCK_ROWS, block_of, last_known
 
+# The forms of headers, fences and lines of the documents.
 HEADER = "(?s)\\A---\\n((?:.*?\\n)??)---(?:\\n|\\z)"
 FENCE = "(?s)\\A(?:.*?\\n)??[ \\t]*```json[ \\t]*\\n(.*?\\n)??[ \\t]*```[ \\t]*(?:\\n(.*))?\\z"
 UTTERANCE_LINE = "^-\\s*\\[(\\d+):(\\d{1,2}(?:\\.\\d+)?)\\s*[–-]\\s*(\\d+):(\\d{1,2}(?:\\.\\d+)?)\\]\\s*(.+)$"
