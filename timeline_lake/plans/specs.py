@@ -158,8 +158,12 @@ def _text_names(kind: T.DataType) -> set[str]:
 @cache
 def _unquoted() -> str:
     """Such a name with something after it that is neither a quote nor null; ``resolution`` may be an object."""
-    names = sorted(_text_names(spec_schema()) - {"resolution"})
-    return f'"(?:{"|".join(names)})"\\s*+:\\s*+[^"n]|"resolution"\\s*+:\\s*+[^"n{{]'
+    by_letter: dict[str, list[str]] = {}
+    for name in sorted(_text_names(spec_schema()) - {"resolution"}):
+        by_letter.setdefault(name[0], []).append(name[1:])
+    # One letter rules out most names at once.
+    names = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return f'"(?:{names})"\\s*+:\\s*+[^"n]|"resolution"\\s*+:\\s*+[^"n{{]'
 
 
 def _as_variants(kind: T.DataType) -> T.DataType | None:
