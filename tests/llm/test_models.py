@@ -97,7 +97,7 @@ def test_preferences_are_learned():
     model = quality_rank.Ranking(x, y)
     w = model.weights / model.spread
     assert w[0] > 0 > w[1] and abs(w[2]) < abs(w[1])
-    assert ((model.score(x) >= quality_rank.ACCEPTED) == y).mean() > 0.97
+    assert ((model.plain_scores(x) >= model.cut) == y).mean() > 0.97
 
 
 def test_the_cut_is_a_quantile_that_separates_best():
@@ -106,6 +106,31 @@ def test_the_cut_is_a_quantile_that_separates_best():
     assert quality_rank.score_cut(np.array([1.0, 1]), np.array([0.0, 0])) > 1
 
 
+@pytest.mark.parametrize("kind", ["apart", "mixed", "one label", "no label", "far"])
+def test_the_cut_is_a_quantile_of_all_scores(spark, kind):
+    draw = np.random.default_rng(3)
+    n = 400
+    truth = draw.random(n) < 0.6
+    plain = {"apart": truth * 4.0, "mixed": truth * 1.0, "one label": truth * 4.0, "no label": truth * 4.0, "far": truth * 1e9}[kind] + draw.normal(size=n) * 0.5
+    known = {"one label": truth, "no label": np.zeros(n, bool)}.get(kind, draw.random(n) < 0.7)
+    model = quality_rank.Ranking(np.array([[0.0, 0], [1, 1], [2, 2], [0.5, 0.5]]), np.array([0.0, 0, 1, 1]))
+    model.cut, model.range = 1.0, 1.0 / quality_rank.RANGES
+    scored = spark.createDataFrame([(None if i % 50 == 7 else i, float(plain[i])) for i in range(n)], "doc_id long, plain double")
+    usable = [i for i in range(n) if known[i] and i % 50 != 7]
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in usable] + [(10_000, 1)], "doc_id long, label int")
+    cut = quality_rank.quantile_cut(scored, labels, model, "plain")
+    if kind in ("one label", "no label"):
+        assert cut == model.cut
+        return
+    # Against every border between two ranges of scores that occur.
+    ranges = np.clip(np.floor((plain - model.cut) / model.range), -quality_rank.FURTHEST, quality_rank.FURTHEST - 1)
+    right = {b: sum((ranges[i] >= b) == truth[i] for i in usable) for b in [*np.unique(ranges), np.inf]}
+    assert sum((plain[i] >= cut) == truth[i] for i in usable) == max(right.values())
+    below = {b: int((ranges < b).sum()) for b, r in right.items() if r == max(right.values())}
+    middle = (min(below.values()) + max(below.values())) / 2
+    assert abs(int((plain < cut).sum()) - middle) == min(abs(v - middle) for v in below.values())
+
+
 def test_ranking_on_documents(spark):
     data = corpus()
     sample = spark.createDataFrame([(d, int(d < 60)) for d, *_ in data if d % 3 and d < 200], "doc_id long, label int")
@@ -116,6 +141,12 @@ def test_ranking_on_documents(spark):
     assert all((scores[d] >= 0.7) == (d < 60) for d in [*range(60), *range(100, 108)])
     left = quality_rank.keep_accepted(docs, model)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {d for d, s in scores.items() if s >= 0.7}
+    labels = spark.createDataFrame([(d, int(d < 60)) for d, *_ in data if d < 200], "doc_id long, label int")
+    by_all = {r["doc_id"]: r["score"] for r in as_dicts(quality_rank.rank(docs, model, labels))}
+    assert len(by_all) == len(data) and all((by_all[d] >= 0.7) == (d < 60) for d in [*range(60), *range(100, 108)])
+    left = quality_rank.keep_accepted(docs, model, labels)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {d for d, s in by_all.items() if s >= 0.7}
+    assert quality_rank.keep_accepted(empty(spark), model, labels).count() == 0 and quality_rank.rank(docs, None, labels).count() == len(data)
     one_sided = sample.filter("label = 1")
     assert quality_rank.fit(docs, one_sided) is None
     assert {r["score"] for r in as_dicts(quality_rank.rank(docs, None))} == {0.7}

@@ -1,8 +1,9 @@
 """Quality by Bradley-Terry ranking.
 
 Every text has a score w·x of its features x, and a text labelled 1 is preferred to one labelled 0 with probability
-1 / (1 + exp(-(score difference))). The weights minimise the logistic loss on feature differences of such pairs. Texts
-are then accepted from a quantile of the scores on: the one that separates the labels of the sample best.
+1 / (1 + exp(-(score difference))). The weights minimise the logistic loss on feature differences of such pairs, formed of
+a bounded sample of labelled texts. Texts are then accepted from a quantile of the scores of all texts on: the one that
+separates all labels that may be used best. It is read from counts per narrow range of scores.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeline_lake.llm.labels import label_sample, remainder
+from timeline_lake.llm.labels import clear_labels, label_sample, remainder
 from timeline_lake.llm.shared import given
 from timeline_lake.llm.text_figures import SYMBOLS, WHITE, duplicate_lines, repeated_words, word_codes
 from timeline_lake.session import cut_lineage
@@ -25,6 +26,9 @@ PAIRS_PER_TEXT = 8
 MOST_PAIRS = 200_000
 PENALTY = 1e-3
 ACCEPTED = 0.7
+# Scores are counted in ranges of a 1024th of their spread, up to 32 spreads to either side.
+RANGES = 1024
+FURTHEST = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTERS_ONLY = re.compile(r"[^\W\d_]+[.,;:]?\Z")
@@ -107,22 +111,21 @@ def score_cut(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 class Ranking:
-    """What was learned: feature scaling, weights and the cut."""
+    """What was learned: feature scaling, weights, and the cut and spread of the sample's own scores."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0)
         self.spread[self.spread < 1e-6] = 1.0
         z = self._scaled(x)
         self.weights = preference_weights(z[y == 1], z[y == 0])
-        self.cut = score_cut(z @ self.weights, y)
+        plain = z @ self.weights
+        self.cut, self.range = score_cut(plain, y), max(float(plain.std()), 1e-6) / RANGES
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Between 0 and 1; ``ACCEPTED`` at the cut."""
-        away = np.clip(self._scaled(x) @ self.weights - self.cut, -30, 30)
-        return 1 / (1 + np.exp(-away) * (1 - ACCEPTED) / ACCEPTED)
+    def plain_scores(self, x: np.ndarray) -> np.ndarray:
+        return self._scaled(x) @ self.weights
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Ranking | None:
@@ -144,34 +147,87 @@ def fit(docs: DataFrame, sample: DataFrame) -> Ranking | None:
     return Ranking(np.array([r["features"] for r in learned]), y) if len(set(y.tolist())) == 2 else None
 
 
-def _scores(model: Ranking | None, texts) -> np.ndarray:
-    if model is None or not len(texts):
-        return np.full(len(texts), ACCEPTED)
-    return model.score(np.array([_of(t) for t in texts]))
+def _plain_scores(docs: DataFrame, model: Ranking, name: str, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and the plain score w·x of its column ``text`` as ``name``."""
+    asked = docs.select(*kept) if "text" in kept else docs.select(*kept, "text")
+    at = asked.columns.index("text")
 
+    def rows(batches):
+        for batch in batches:
+            found = model.plain_scores(np.array([_of(t) for t in batch.column(at)])) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, name])
 
-def rank(docs: DataFrame, model: Ranking | None) -> DataFrame:
-    """Score every row of ``docs``: doc_id, score. Without a model every score is ``ACCEPTED``.
+    return asked.mapInArrow(rows, docs.select(*kept).schema.add(name, "double"))
 
-    Empty and null texts are scored from zero features, equal rows alike, rows with a null doc_id like any other.
-    """
 
-    def rows(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)), pa.float64())], ["doc_id", "score"])
+def best_border(n: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> int:
+    """The range from which on to accept, so that most labels come out right.
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, score double")
+    The arrays count the texts, labels 1 and labels 0 of each range, in ascending order. Of several borders that are as
+    good, the one whose quantile, the share of all texts below it, is nearest to the middle of theirs.
+    """
+    below = np.concatenate([[0], np.cumsum(n)])
+    right = np.concatenate([[0], np.cumsum(zeros)]) + np.concatenate([np.cumsum(ones[::-1])[::-1], [0]])
+    best = np.flatnonzero(right == right.max())
+    middle = (below[best[0]] + below[best[-1]]) / 2
+    return int(best[np.argmin(np.abs(below[best] - middle))])
 
 
-def keep_accepted(docs: DataFrame, model: Ranking | None) -> DataFrame:
-    """The rows of ``docs`` that are accepted, all columns as they are."""
-    at = docs.columns.index("text")
+def quantile_cut(scored: DataFrame, labels: DataFrame, model: Ranking, name: str) -> float:
+    """The plain score at the quantile of all of ``scored`` (doc_id, ``name``) that separates ``labels`` (doc_id, label) best.
 
-    def rows(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch.column(at)) >= ACCEPTED, pa.bool_()))
+    Every text and every label of a text in ``scored`` counts. Counts are added up before they are shuffled; only those of at most
+    ``2 * FURTHEST`` ranges reach the driver. If not both labels occur, nothing tells a border: the sample's own cut holds.
+    """
+    place = F.floor((F.col(name) - F.lit(model.cut)) / F.lit(model.range))
+    range_ = F.least(F.greatest(place, F.lit(-FURTHEST)), F.lit(FURTHEST - 1)).cast("int").alias("_range")
+    texts = scored.groupBy(range_).agg(F.count(F.lit(1)).alias("_n"))
+    known = scored.select(F.col("doc_id").cast("long").alias("doc_id"), range_).join(labels, "doc_id")
+    marks = known.groupBy("_range").agg(F.sum("label").alias("_ones"), F.sum(1 - F.col("label")).alias("_zeros"))
+    counts = texts.join(marks, "_range", "left").na.fill(0, ["_ones", "_zeros"]).orderBy("_range").toPandas()
+    n, ones, zeros = (counts[c].to_numpy(np.int64) for c in ("_n", "_ones", "_zeros"))
+    if not ones.sum() or not zeros.sum():
+        return model.cut
+    ranges, border = counts["_range"].to_numpy(np.float64), best_border(n, ones, zeros)
+    if border in (0, len(ranges)):
+        return float("inf" if border else "-inf")
+    return float(model.cut + model.range * (ranges[border - 1] + 1 + ranges[border]) / 2)
+
+
+def _score(plain: Column, cut: float) -> Column:
+    """Between 0 and 1; ``ACCEPTED`` at the cut."""
+    away = F.least(F.greatest(plain - F.lit(cut), F.lit(-30.0)), F.lit(30.0))
+    return 1 / (1 + F.exp(-away) * F.lit((1 - ACCEPTED) / ACCEPTED))
+
+
+def _scored(docs: DataFrame, model: Ranking | None, labels: DataFrame | None, name: str, kept: list[str]) -> DataFrame:
+    """``kept`` and the score as ``name``. Texts are scored once: that is written before the cut is sought."""
+    if model is None:
+        return docs.select(*kept, F.lit(ACCEPTED).alias(name))
+    plain, cut = _plain_scores(docs, model, name, kept), model.cut
+    if labels is not None:
+        plain = cut_lineage(plain)
+        cut = quantile_cut(plain.select("doc_id", name), labels, model, name)
+    return plain.withColumn(name, _score(F.col(name), cut))
+
+
+def rank(docs: DataFrame, model: Ranking | None, labels: DataFrame | None = None) -> DataFrame:
+    """Score every row of ``docs``: doc_id, score, which is ``ACCEPTED`` or more for accepted ones.
+
+    The cut is the quantile of all scores that separates ``labels`` (doc_id, label; one row a document) best; without labels,
+    the sample's own. Without a model every score is ``ACCEPTED``. Empty and null texts are scored from zero features, equal
+    rows alike, rows with a null doc_id like any other.
+    """
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(asked, model, labels, "score", ["doc_id"])
 
-    return docs.mapInArrow(rows, docs.schema)
+
+def keep_accepted(docs: DataFrame, model: Ranking | None, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`rank` accepts, all columns as they are. The quantile is that of the scores of ``docs``."""
+    name = "_plain"
+    while name in docs.columns:
+        name += "_"
+    return _scored(docs, model, labels, name, docs.columns).filter(F.col(name) >= ACCEPTED).drop(name)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, folder: str) -> Ranking | None:
@@ -179,9 +235,14 @@ def fitted(spark: SparkSession, docs: DataFrame, folder: str) -> Ranking | None:
     return fit(docs, sample)
 
 
+def usable_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """All labels that may be learned from: doc_id, label."""
+    return clear_labels(given(spark, folder, "labels"), "quality", 4, 2)
+
+
 def op3_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
     docs = given(spark, folder, "documents")
-    return rank(docs, fitted(spark, docs, folder)).select(
+    return rank(docs, fitted(spark, docs, folder), usable_labels(spark, folder)).select(
         "doc_id",
         (remainder("doc_id", 4) == 2).alias("held_out"),
         "score",
