@@ -18,9 +18,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ranking_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the preference ranking accepts.
 
-    It is learned on the labelled ones of all given documents: those that the rules have left may show one label only.
+    It is learned on the labelled ones of all given documents: those that the rules have left may show one label only. The
+    cut is a quantile of the scores of those that are left.
     """
-    return quality_rank.keep_accepted(docs, quality_rank.fitted(spark, given(spark, sf_dir, "documents"), sf_dir))
+    model = quality_rank.fitted(spark, given(spark, sf_dir, "documents"), sf_dir)
+    return quality_rank.keep_accepted(docs, model, quality_rank.usable_labels(spark, sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
