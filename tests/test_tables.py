@@ -85,6 +85,18 @@ def test_block_operators_keep_null_keys(spark):
         assert {(r.k, r.at): r.l for r in B.next_known(rows, ["k"], "at", {"l": F.col("v")}, block).collect()} == {(None, 1): 7, (None, 2): None, ("k", 1): None}
 
 
+def test_next_known_takes_linear_time_in_a_block(spark):
+    from timeline_lake.operators import blocks as B
+
+    n = 300_000
+    rows = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("at"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"))
+    following = (F.floor(F.col("at") / 1000) + 1) * 1000
+    for with_own in (False, True):
+        found = B.next_known(rows, ["k"], "at", {"l": F.col("v")}, F.lit(0), include_current=with_own)
+        want = F.coalesce(F.col("v") if with_own else F.lit(None), F.when(following < n, following))
+        assert found.count() == n and found.filter(~F.col("l").eqNullSafe(want)).isEmpty()
+
+
 def test_interval_joins_of_very_different_lengths(spark):
     from timeline_lake.operators import joins as J
 

@@ -154,12 +154,13 @@ def next_known(
     """Mirror of :func:`last_known`: the nearest non-null value after (or at) each row."""
     blocked = _slotted(df, keys, block)
     first = [F.min_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"_t_{n}") for n, c in values.items()]
-    later = _neighbours(keys, 1, Window.unboundedFollowing)
+    # Backwards, since Spark works a frame that ends at the last row out anew for every row.
+    later = Window.partitionBy(*[f"{SLOT}.{k}" for k in keys]).orderBy(F.col(f"{SLOT}.{BLOCK}").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocked.groupBy(SLOT).agg(*first).select(
-        SLOT, *[F.first(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in values]
+        SLOT, *[F.last(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in values]
     )
-    inside = _slot_window(order).rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
+    inside = Window.partitionBy(SLOT).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     joined = blocked.join(carried, SLOT)
     for name, value in values.items():
-        joined = joined.withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(inside), F.col(f"_c_{name}")))
+        joined = joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col(f"_c_{name}")))
     return joined.drop(SLOT, *[f"_c_{n}" for n in values])
